@@ -68,6 +68,16 @@ def by_volume(df: DataFrame, table: DataFrame, keep: Column, literal=None) -> Da
     return df.join(table, "volume").filter(keep).select(*df.columns)
 
 
+def drop_volumes(df: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose volume is not listed."""
+    rows = volumes.select("volume").limit(BROADCAST_VOLUMES + 1).collect()
+    if len(rows) <= LITERAL_VOLUMES:
+        return df.filter(~F.col("volume").isin([r.volume for r in rows]))
+    if len(rows) <= BROADCAST_VOLUMES:
+        volumes = F.broadcast(df.sparkSession.createDataFrame(rows, "volume string"))
+    return df.join(volumes.select("volume"), "volume", "left_anti")
+
+
 def in_window(log: DataFrame, bounds: DataFrame) -> DataFrame:
     """Log rows inside the windows."""
     return by_volume(

@@ -8,12 +8,13 @@ from ledgertree.schema import CREATED, DELETED, RENAMED
 
 
 def human_size(size: Column) -> Column:
-    """1536 -> "1.50 KB"."""
+    """1536 -> "1.50 KB"; exact halves round to even."""
     out = F.concat(size.cast("string"), F.lit(" B"))
     for power, unit in enumerate(["KB", "MB", "GB", "TB"], start=1):
         scale = 1024**power
         out = F.when(
-            size >= scale, F.concat(F.format_string("%.2f", size.cast("double") / F.lit(float(scale))), F.lit(" " + unit))
+            size >= scale,
+            F.concat(F.format_string("%.2f", F.bround(size.cast("double") / F.lit(float(scale)), 2)), F.lit(" " + unit)),
         ).otherwise(out)
     return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -75,8 +76,6 @@ def substring_match(query: str) -> Column:
 
 def phrase_match(query: str) -> Column:
     """The query's tokens stand next to each other in the name."""
-    import re
-
     wanted = [t for t in re.split(r"[\W_]+", query.strip().lower()) if t]
     if not wanted:
         return F.lit(False)
@@ -89,7 +88,10 @@ def all_terms_match(query: str) -> Column:
 
 
 def prefix_match(query: str) -> Column:
-    return _all([_any_token(lambda t, w=w: t.startswith(w)) for w in _words(query)])
+    def starts(word: str) -> Column:
+        return _any_token(lambda t: t.startswith(word))
+
+    return _all([starts(w) for w in _words(query)])
 
 
 def query_grams(query: str) -> list[str]:
@@ -108,7 +110,11 @@ def infix_match(query: str) -> Column:
     words = _words(query)
     if any(len(w.encode()) < 2 for w in words):
         return F.lit(False)
-    return _all([_any_token(lambda t, w=w: F.contains(t, F.lit(w))) for w in words])
+
+    def holds(word: str) -> Column:
+        return _any_token(lambda t: F.contains(t, F.lit(word)))
+
+    return _all([holds(w) for w in words])
 
 
 def fuzzy_words(query: str) -> list[str]:
@@ -120,12 +126,12 @@ def fuzzy_match(query: str) -> Column:
     words = fuzzy_words(query)
     if not words:
         return F.lit(False)
-    return _all(
-        [
-            _any_token(lambda t, w=w: X.within_edits(t, w, 2 if len(w.encode()) >= TWO_EDITS_FROM else 1))
-            for w in words
-        ]
-    )
+
+    def near(word: str) -> Column:
+        limit = 2 if len(word.encode()) >= TWO_EDITS_FROM else 1
+        return _any_token(lambda t: X.within_edits(t, word, limit))
+
+    return _all([near(w) for w in words])
 
 
 def tier_weights(query: str) -> dict[str, Column]:
@@ -161,10 +167,14 @@ def bm25_weights(docs: DataFrame, query: str) -> Column:
     ).first()
     length = LENGTH_WEIGHT * F.size("tokens") / F.lit(float(stats["mean"] or 1.0))
     score = F.lit(0.0)
+
+    def frequency(word: str) -> Column:
+        return F.size(F.filter("tokens", lambda t: t == word)).cast("double")
+
     for i, word in enumerate(words):
         df = stats[f"df{i}"]
         idf = math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))
-        tf = F.size(F.filter("tokens", lambda t, w=word: t == w)).cast("double")
+        tf = frequency(word)
         score = score + F.lit(idf * (K1 + 1)) * tf / (tf + K1 * (1 - LENGTH_WEIGHT + length))
     return score
 

@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgertree.plans import ingest_queries, log_queries, tree_queries  # noqa: F401
+from ledgertree.plans import (  # noqa: F401
+    attribution_queries,
+    ingest_queries,
+    job_queries,
+    log_queries,
+    search_queries,
+    tree_queries,
+)
 from ledgertree.plans.registry import CHECKS, QUERIES, check_sql, runnable
 
 

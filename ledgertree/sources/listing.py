@@ -10,7 +10,11 @@ from ledgertree.schema import ARCHIVE, DIRECTORY, HIDDEN
 
 
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, modified_at) of every file below a folder, contents unread."""
+    """(path, length, modified_at) of every file below a folder, contents unread.
+
+    Spark's file sources pass over names that begin with "." or "_"; where those
+    matter, give :func:`inventory_from_paths` a listing made elsewhere.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", F.col("modificationTime").alias("modified_at"))
 

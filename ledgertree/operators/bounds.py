@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # Up to this many volumes the window is a literal predicate, which reaches the
 # partition pruning and the row-group statistics of the scan.
@@ -51,21 +51,47 @@ def bounds_between(volume_snapshots: DataFrame, id_a: str, id_b: str) -> DataFra
     )
 
 
-def by_volume(df: DataFrame, table: DataFrame, keep: Column, literal=None) -> DataFrame:
-    """Rows of ``df`` kept by a per-volume ``table``.
+class Windows:
+    """A per-volume table of windows, fetched once while it is short."""
 
-    ``literal(row)`` turns a table row into a predicate. A table too long for
-    that is broadcast while its counted size is small, and joined otherwise.
-    """
-    rows = table.limit(BROADCAST_VOLUMES + 1).collect()
-    if literal is not None and len(rows) <= LITERAL_VOLUMES:
+    def __init__(self, table: DataFrame):
+        self.table = table.select("volume", "start_seq", "end_seq")
+        rows = self.table.limit(BROADCAST_VOLUMES + 1).collect()
+        self.rows = rows if len(rows) <= BROADCAST_VOLUMES else None
+
+    @property
+    def literal(self) -> bool:
+        return self.rows is not None and len(self.rows) <= LITERAL_VOLUMES
+
+    def for_volume(self, volume: str) -> "Windows":
+        narrowed = object.__new__(Windows)
+        narrowed.table = self.table.filter(F.col("volume") == volume)
+        narrowed.rows = None if self.rows is None else [r for r in self.rows if r.volume == volume]
+        return narrowed
+
+    def joinable(self) -> DataFrame:
+        """The table for a join: broadcast while its counted size is small."""
+        if self.rows is None:
+            return self.table
+        return F.broadcast(self.table.sparkSession.createDataFrame(self.rows, self.table.schema))
+
+
+def windows(bounds: "DataFrame | Windows") -> Windows:
+    return bounds if isinstance(bounds, Windows) else Windows(bounds)
+
+
+def _keep(log: DataFrame, bounds: "DataFrame | Windows", test) -> DataFrame:
+    """Log rows for which ``test(start_seq, end_seq)`` holds in their volume."""
+    known = windows(bounds)
+    if known.literal:
         condition = F.lit(False)
-        for row in rows:
-            condition = condition | literal(row)
-        return df.filter(condition)
-    if len(rows) <= BROADCAST_VOLUMES:
-        table = F.broadcast(df.sparkSession.createDataFrame(rows, table.schema))
-    return df.join(table, "volume").filter(keep).select(*df.columns)
+        for row in known.rows:
+            condition = condition | (
+                (F.col("volume") == row.volume) & test(F.lit(row.start_seq), F.lit(row.end_seq))
+            )
+        return log.filter(condition)
+    joined = log.join(known.joinable(), "volume")
+    return joined.filter(test(F.col("start_seq"), F.col("end_seq"))).select(*log.columns)
 
 
 def drop_volumes(df: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -78,26 +104,14 @@ def drop_volumes(df: DataFrame, volumes: DataFrame) -> DataFrame:
     return df.join(volumes.select("volume"), "volume", "left_anti")
 
 
-def in_window(log: DataFrame, bounds: DataFrame) -> DataFrame:
+def in_window(log: DataFrame, bounds: "DataFrame | Windows") -> DataFrame:
     """Log rows inside the windows."""
-    return by_volume(
-        log,
-        bounds.select("volume", "start_seq", "end_seq"),
-        (F.col("sequence") > F.col("start_seq")) & (F.col("sequence") <= F.col("end_seq")),
-        lambda r: (F.col("volume") == r.volume)
-        & (F.col("sequence") > r.start_seq)
-        & (F.col("sequence") <= r.end_seq),
-    )
+    return _keep(log, bounds, lambda start, end: (F.col("sequence") > start) & (F.col("sequence") <= end))
 
 
-def before_window(log: DataFrame, bounds: DataFrame) -> DataFrame:
+def before_window(log: DataFrame, bounds: "DataFrame | Windows") -> DataFrame:
     """Log rows up to the start of the windows."""
-    return by_volume(
-        log,
-        bounds.select("volume", "start_seq"),
-        F.col("sequence") <= F.col("start_seq"),
-        lambda r: (F.col("volume") == r.volume) & (F.col("sequence") <= r.start_seq),
-    )
+    return _keep(log, bounds, lambda start, end: F.col("sequence") <= start)
 
 
 def after_cursor(log: DataFrame, cursors: DataFrame) -> DataFrame:
@@ -140,10 +154,11 @@ def check_history(log: DataFrame, since: datetime, now: datetime) -> None:
         )
 
 
-def window_findings(log: DataFrame, bounds: DataFrame) -> DataFrame:
+def window_findings(log: DataFrame, bounds: "DataFrame | Windows") -> DataFrame:
     """Whether each window starts before the oldest log row still kept."""
     oldest = log.groupBy("volume").agg(F.min("sequence").alias("oldest_seq"))
-    joined = bounds.join(oldest, "volume", "left").withColumn("oldest_seq", F.coalesce("oldest_seq", F.lit(0)))
+    joined = windows(bounds).joinable().join(oldest, "volume", "left")
+    joined = joined.withColumn("oldest_seq", F.coalesce("oldest_seq", F.lit(0)))
     return joined.select(
         "volume",
         "start_seq",
@@ -152,7 +167,7 @@ def window_findings(log: DataFrame, bounds: DataFrame) -> DataFrame:
     )
 
 
-def check_window(log: DataFrame, bounds: DataFrame) -> None:
+def check_window(log: DataFrame, bounds: "DataFrame | Windows") -> None:
     late = window_findings(log, bounds).filter("expired").first()
     if late:
         raise WindowExpired(f"{late.volume}: window starts at {late.start_seq}, oldest row kept is {late.oldest_seq}")

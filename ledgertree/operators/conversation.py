@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgertree.operators.ordered import CHUNK_ROWS, chunked, look_back
+from ledgertree.operators.ordered import CHUNK_ROWS, Ordered
 
 # When a question is shortened, to what length, and the round limit.
 QUESTION_MAX, QUESTION_CUT, MAX_ROUNDS = 60, 57, 12
@@ -109,8 +109,8 @@ def _rule(rules: dict[str, str]):
 
 def _numbered(df: DataFrame, keys: list[str], order: str, chunk_rows: int) -> DataFrame:
     """Add ``position``, counting from 1 in order."""
-    counted = look_back(chunked(df, keys, order, chunk_rows), keys, order, total={"before": F.lit(1)})
-    return counted.select(*df.columns, (F.col("before") + 1).cast("long").alias("position"))
+    counted = Ordered(df, keys, order, chunk_rows).look_back(total={"before": F.lit(1)})
+    return counted.df.select(*df.columns, (F.col("before") + 1).cast("long").alias("position"))
 
 
 def reduce_appends(writes: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

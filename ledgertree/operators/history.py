@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgertree.functions.display import displayable
 from ledgertree.functions.text import ascii_lower
-from ledgertree.operators.ordered import CHUNK_ROWS, chunked, look_back
+from ledgertree.operators.ordered import CHUNK_ROWS, Ordered
 from ledgertree.schema import MODIFIED
 
 DEFAULT_LIMIT = 100
@@ -76,14 +76,12 @@ def merge_runs(rows: DataFrame, collapse: bool = False, chunk_rows: int = CHUNK_
     children in between break a run. A row that starts a run lends its sequence
     as run number, so runs group without a running count.
     """
-    cut = chunked(rows, _ITEM, "sequence", chunk_rows)
-    seen = look_back(cut, _ITEM, "sequence", last={"prev": F.struct("kind", "file_id", "name")})
+    seen = Ordered(rows, _ITEM, "sequence", chunk_rows).look_back(last={"prev": F.struct("kind", "file_id", "name")})
     same = (F.col("prev.kind") == F.col("kind")) & (F.col("prev.file_id") == F.col("file_id"))
     if not collapse:
         same = same & (F.col("prev.name") == F.col("name")) & (F.col("kind") != MODIFIED)
-    starts = ~F.coalesce(same, F.lit(False))
-    marked = seen.withColumn("start", F.when(starts, F.col("sequence")))
-    runs = look_back(marked, _ITEM, "sequence", last={"open": F.col("start")})
+    starts = F.when(~F.coalesce(same, F.lit(False)), F.col("sequence"))
+    runs = seen.then(lambda df: df.withColumn("start", starts)).look_back(last={"open": F.col("start")}).df
     return (
         runs.withColumn("run", F.coalesce("start", "open"))
         .groupBy(*_ITEM, "run", "kind", "file_id")
@@ -140,7 +138,7 @@ def truncated(log: DataFrame, now: datetime, retention: timedelta, since: dateti
 def renamed_from(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add the name a file was last displayed under, on its rename rows."""
     keys = [*_ITEM, "file_id"]
-    seen = look_back(chunked(rows, keys, "sequence", chunk_rows), keys, "sequence", last={"prev": F.struct("name")})
+    seen = Ordered(rows, keys, "sequence", chunk_rows).look_back(last={"prev": F.struct("name")}).df
     return seen.select(
         *rows.columns, F.when(F.col("kind") == "Renamed", F.col("prev.name")).alias("renamed_from")
     )

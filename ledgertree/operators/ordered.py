@@ -1,102 +1,110 @@
 """Look-back along an ordered key that stays parallel when one key is huge.
 
-A window partitioned by key hands each key to one task. Here a key that holds
-more than ``CHUNK_ROWS`` rows is cut into chunks of the ordering column. Each
-chunk is a window of its own; what it needs from earlier chunks comes from one
-summary row per chunk. The ordering column must be unique within a key, so no
-chunk can exceed the number of order values it spans.
+A window partitioned by key hands each key to one task. Keys that hold more than
+``CHUNK_ROWS`` rows are therefore found first and cut into chunks of the ordering
+column. Each chunk is a window of its own; what it needs from earlier chunks
+comes from one summary row per chunk. The ordering column must be unique within
+a key, so no chunk can exceed the number of order values it spans.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK_ROWS = 4_000_000
-# The sketch below returns at most this many keys, which bounds the broadcast.
+# The sketch below reports at most this many keys.
 HOT_KEYS = 1_000
 SKETCH_ITEMS = 100_000
 
-CHUNK = "_chunk"
+_CHUNK = "_chunk"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], over: int) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], over: int) -> list[int]:
     """Hashes of the keys with more than ``over`` rows, at most HOT_KEYS of them.
 
     A frequent-items sketch never under-counts a key it reports, and reports
-    every key above about 3.5 / SKETCH_ITEMS of the rows. It is merged like any
-    aggregate: one pass over the key columns, one small row per task.
+    every key above about 3.5 / SKETCH_ITEMS of the rows. It merges like any
+    aggregate: one pass over the key columns alone, one small row per task.
     """
     top = df.select(F.xxhash64(*keys).alias("k")).agg(
         F.expr(f"approx_top_k(k, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top")
     )
-    return (
-        top.select(F.explode("top").alias("t"))
-        .filter(F.col("t.count") > over)
-        .select(F.col("t.item").alias("_hot"))
-    )
+    rows = top.select(F.explode("top").alias("t")).filter(F.col("t.count") > over).select("t.item").collect()
+    return [r.item for r in rows]
 
 
-def chunked(
-    df: DataFrame, keys: Sequence[str], order: str, rows: int = CHUNK_ROWS, every_key: bool = False
-) -> DataFrame:
-    """Add the chunk number: NULL for keys small enough to be one window."""
-    position = F.floor(F.col(order) / rows).cast("long")
-    if every_key:
-        return df.withColumn(CHUNK, position)
-    hot = F.broadcast(hot_keys(df, keys, rows))
-    return (
-        df.join(hot, F.xxhash64(*keys) == F.col("_hot"), "left")
-        .withColumn(CHUNK, F.when(F.col("_hot").isNotNull(), position))
-        .drop("_hot")
-    )
+class Ordered:
+    """Rows of a table, to be looked back on along ``order`` within ``keys``.
 
+    ``counted`` is where to look for hot keys when ``df`` itself is costly: any
+    table with the same keys and about as many rows for each.
+    """
 
-def look_back(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    last: Mapping[str, Column] | None = None,
-    total: Mapping[str, Column] | None = None,
-) -> DataFrame:
-    """Add columns computed from the strictly earlier rows of the same key.
+    def __init__(
+        self,
+        df: DataFrame,
+        keys: Sequence[str],
+        order: str,
+        chunk_rows: int = CHUNK_ROWS,
+        counted: DataFrame | None = None,
+    ):
+        self.keys, self.order = list(keys), order
+        hot = hot_keys(df if counted is None else counted, self.keys, chunk_rows)
+        self.split = bool(hot)
+        if hot:
+            position = F.floor(F.col(order) / chunk_rows).cast("long")
+            df = df.withColumn(_CHUNK, F.when(F.xxhash64(*self.keys).isin(hot), position))
+        self.df = df
 
-    ``last``: the latest non-null value of the expression, else NULL.
-    ``total``: the sum of the expression, else 0.
-    ``df`` comes from :func:`chunked` with the same keys and order.
-    """
-    last, total = dict(last or {}), dict(total or {})
-    keys = list(keys)
-    w = Window.partitionBy(*keys, CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    near = df.select(
-        "*",
-        *[F.last(expr, ignorenulls=True).over(w).alias(name) for name, expr in last.items()],
-        *[F.coalesce(F.sum(expr).over(w), F.lit(0)).alias(name) for name, expr in total.items()],
-    )
+    def then(self, change: Callable[[DataFrame], DataFrame]) -> "Ordered":
+        """The same rows after a row-wise change; it must keep all columns."""
+        out = object.__new__(Ordered)
+        out.keys, out.order, out.split = self.keys, self.order, self.split
+        out.df = change(self.df)
+        return out
+
+    def look_back(
+        self, last: Mapping[str, Column] | None = None, total: Mapping[str, Column] | None = None
+    ) -> "Ordered":
+        """Add columns computed from the strictly earlier rows of the same key.
+
+        ``last``: the latest non-null value of the expression, else NULL.
+        ``total``: the sum of the expression, else 0.
+        """
+        last, total = dict(last or {}), dict(total or {})
+        return self.then(lambda df: self._across(df, last, total) if self.split else self._within(df, self.keys, last, total))
 
-    # One row per chunk of a hot key; empty, and skipped at run time, without hot keys.
-    per_chunk = (
-        df.filter(F.col(CHUNK).isNotNull())
-        .groupBy(*keys, CHUNK)
-        .agg(
-            *[
-                F.max_by(expr, F.when(expr.isNotNull(), F.col(order))).alias("_in_" + name)
-                for name, expr in last.items()
-            ],
-            *[F.sum(expr).alias("_in_" + name) for name, expr in total.items()],
+    def _within(self, df: DataFrame, by: list[str], last: dict, total: dict) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(self.order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(
+            "*",
+            *[F.last(expr, ignorenulls=True).over(w).alias(name) for name, expr in last.items()],
+            *[F.coalesce(F.sum(expr).over(w), F.lit(0)).alias(name) for name, expr in total.items()],
+        )
+
+    def _across(self, df: DataFrame, last: dict, total: dict) -> DataFrame:
+        keys, order = self.keys, F.col(self.order)
+        near = self._within(df, [*keys, _CHUNK], last, total)
+        # One row per chunk of a hot key.
+        chunks = (
+            df.filter(F.col(_CHUNK).isNotNull())
+            .groupBy(*keys, _CHUNK)
+            .agg(
+                *[F.max_by(expr, F.when(expr.isNotNull(), order)).alias("_in_" + n) for n, expr in last.items()],
+                *[F.sum(expr).alias("_in_" + n) for n, expr in total.items()],
+            )
+        )
+        before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        carried = chunks.select(
+            *keys,
+            _CHUNK,
+            *[F.last("_in_" + n, ignorenulls=True).over(before).alias("_in_" + n) for n in last],
+            *[F.sum("_in_" + n).over(before).alias("_in_" + n) for n in total],
+        )
+        return near.join(carried, [*keys, _CHUNK], "left").select(
+            *df.columns,
+            *[F.coalesce(F.col(n), F.col("_in_" + n)).alias(n) for n in last],
+            *[(F.col(n) + F.coalesce(F.col("_in_" + n), F.lit(0))).alias(n) for n in total],
         )
-    )
-    across = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_chunk.select(
-        *keys,
-        CHUNK,
-        *[F.last("_in_" + n, ignorenulls=True).over(across).alias("_in_" + n) for n in last],
-        *[F.sum("_in_" + n).over(across).alias("_in_" + n) for n in total],
-    )
-    out = near.join(carried, [*keys, CHUNK], "left")
-    return out.select(
-        *df.columns,
-        *[F.coalesce(F.col(n), F.col("_in_" + n)).alias(n) for n in last],
-        *[(F.col(n) + F.coalesce(F.col("_in_" + n), F.lit(0))).alias(n) for n in total],
-    )

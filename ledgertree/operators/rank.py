@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgertree.functions.display import exact_delta, human_delta, human_size
 from ledgertree.operators import bounds as B
 from ledgertree.operators import tree
+from ledgertree.session import materialize
 
 DEFAULT_LIMIT = 20
 # Growth below this many bytes is noise.
@@ -88,8 +89,8 @@ def files_by_change(items: DataFrame, churn: bool = False) -> DataFrame:
     )
 
 
-def change_chains(facts: DataFrame, items: DataFrame) -> DataFrame:
-    """Chains over the directories as the window leaves them.
+def change_nodes(facts: DataFrame, items: DataFrame) -> DataFrame:
+    """Directories as the window leaves them.
 
     A directory with log rows takes the parent and name of its latest row.
     """
@@ -97,7 +98,11 @@ def change_chains(facts: DataFrame, items: DataFrame) -> DataFrame:
     stale = tree.directories(facts).join(
         items.select("volume", "file_id"), ["volume", "file_id"], "left_anti"
     )
-    return tree.chains(stale.unionByName(moved))
+    return stale.unionByName(moved)
+
+
+def change_chains(facts: DataFrame, items: DataFrame) -> DataFrame:
+    return tree.chains(change_nodes(facts, items))
 
 
 def folders_by_change(items: DataFrame, chain: DataFrame, churn: bool = False) -> DataFrame:
@@ -127,12 +132,10 @@ def suppress_nested(ranked: DataFrame, chain: DataFrame) -> DataFrame:
     taken: an ancestor that was skipped lies under a taken one itself, which is
     then an ancestor here too. It needs no global order.
     """
-    keyed = ranked.withColumn("key", rank_key())
-    ups = (
-        chain.join(ranked.select("volume", "file_id"), ["volume", "file_id"], "left_semi")
-        .select("volume", "file_id", F.explode(F.slice("visited", F.lit(2), F.size("visited"))).alias("a"))
-        .select("volume", "file_id", F.col("a.id").alias("up"))
-    )
+    keyed = materialize(ranked.withColumn("key", rank_key()), "ranked")
+    ups = chain.select(
+        "volume", "file_id", F.explode(F.slice("visited", F.lit(2), F.size("visited"))).alias("a")
+    ).select("volume", "file_id", F.col("a.id").alias("up"))
     best = (
         ups.join(keyed.select("volume", F.col("file_id").alias("up"), "key"), ["volume", "up"])
         .groupBy("volume", "file_id")
@@ -163,15 +166,13 @@ def page(ranked: DataFrame, limit: int = DEFAULT_LIMIT, cursor: str | None = Non
     return ranked.orderBy(F.desc("value"), "name", F.desc("file_id"), "volume").limit(limit)
 
 
-def with_parent_path(ranked: DataFrame, chain: DataFrame) -> DataFrame:
-    """Add ``path``: the folders above the item, below the volume.
+# Up to this many rows, a page's folders are looked up level by level.
+CLIMB_ROWS = 1_000
 
-    For a page of a ranking; the folder table is narrowed to the page first.
-    """
-    needed = ranked.select(
-        "volume", F.when(F.col("parent_file_id").isNull(), F.col("file_id")).otherwise(F.col("parent_file_id")).alias("file_id")
-    ).distinct()
-    paths = tree.directory_paths(chain.join(needed, ["volume", "file_id"], "left_semi"))
+
+def with_parent_path(ranked: DataFrame, chain: DataFrame) -> DataFrame:
+    """Add ``path``: the folders above the item, below the volume."""
+    paths = tree.directory_paths(chain)
     joined = ranked.withColumn("_dir", F.coalesce("parent_file_id", "file_id")).join(
         paths.withColumnRenamed("file_id", "_dir"), ["volume", "_dir"], "left"
     )
@@ -183,6 +184,40 @@ def with_parent_path(ranked: DataFrame, chain: DataFrame) -> DataFrame:
     return joined.select(*ranked.columns, above.alias("path"))
 
 
+def page_with_paths(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same for one page of files, without chains of all folders.
+
+    Only the page's own folders are fetched, one level of the tree per lookup
+    and each by literal ids, which the scan can skip row groups on.
+    """
+    page_rows = rows.collect()
+    known: dict[tuple[str, int], tuple[int, str]] = {}
+    wanted = {(r.volume, r.parent_file_id) for r in page_rows}
+    while wanted:
+        ids = sorted({f for _, f in wanted})
+        level = nodes.filter(F.col("volume").isin(sorted({v for v, _ in wanted})) & F.col("file_id").isin(ids)).collect()
+        found = {(r.volume, r.file_id): (r.parent_file_id, r.name) for r in level}
+        known.update({key: found[key] for key in wanted if key in found})
+        wanted = {(v, known[v, f][0]) for v, f in wanted if (v, f) in known} - set(known)
+
+    def path(volume: str, folder: int) -> str:
+        names, seen = [], set()
+        while (volume, folder) in known and folder not in seen:
+            parent, name = known[volume, folder]
+            if name in ("", volume):
+                break
+            seen.add(folder)
+            names.append(name)
+            if parent in (folder, 0):
+                break
+            folder = parent
+        return "/".join(reversed(names))
+
+    schema = rows.schema.add("path", "string")
+    out = [(*r, path(r.volume, r.parent_file_id)) for r in page_rows]
+    return rows.sparkSession.createDataFrame(out, schema)
+
+
 def top(
     facts: DataFrame,
     log: DataFrame | None = None,
@@ -198,13 +233,15 @@ def top(
     limit: int = DEFAULT_LIMIT,
     cursor: str | None = None,
     now: datetime | None = None,
+    chain: DataFrame | None = None,
 ) -> DataFrame:
     """One ranking, as a page with paths.
 
     ``within`` is the (volume, folder id) to look below. With ``since`` or
     ``between`` (two snapshot ids) the ranking is by change, of folders unless
     ``files`` is set; otherwise it is by current size, of files unless
-    ``folders`` is set.
+    ``folders`` is set. ``chain`` saves computing the folder chains when the caller
+    keeps them: those of ``facts``, or those of :func:`change_chains`.
     """
     if since is not None and between is not None:
         raise ValueError("since and between are mutually exclusive")
@@ -218,25 +255,33 @@ def top(
         facts = facts.filter(F.col("volume") == within[0])
         log = log.filter(F.col("volume") == within[0]) if log is not None else None
 
-    if not interval:
-        chain = tree.chains(tree.directories(facts))
-        ranked = folders_by_size(facts, chain) if by_folder else files_by_size(facts)
-    else:
+    items = None
+    if interval:
         if since is not None:
             if now is not None:
                 B.check_history(log, since, now)
-            window = B.bounds_since(log, since)
+            window = B.windows(B.bounds_since(log, since))
         else:
-            window = B.bounds_between(volume_snapshots, *between)
+            window = B.windows(B.bounds_between(volume_snapshots, *between))
             B.check_window(log, window)
         items = changed_items(B.in_window(log, window))
-        chain = change_chains(facts, items)
+    if by_folder or within is not None or limit > CLIMB_ROWS:
+        if chain is None:
+            chain = change_chains(facts, items) if interval else tree.chains(tree.directories(facts))
+    else:
+        chain = None
+    if interval:
         ranked = folders_by_change(items, chain, churn) if by_folder else files_by_change(items, churn)
+    else:
+        ranked = folders_by_size(facts, chain) if by_folder else files_by_size(facts)
     if within is not None:
         ranked = inside(ranked, chain, *within) if by_folder else tree.subtree(ranked, chain, *within)
     if by_folder:
         ranked = suppress_nested(ranked, chain)
-    return with_parent_path(page(ranked, limit, cursor), chain)
+    shown = page(ranked, limit, cursor)
+    if chain is not None:
+        return with_parent_path(shown, chain)
+    return page_with_paths(shown, change_nodes(facts, items) if interval else tree.directories(facts))
 
 
 def ranking_report(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgertree.operators import bounds as B
-from ledgertree.operators.ordered import CHUNK_ROWS, chunked, look_back
+from ledgertree.operators.ordered import CHUNK_ROWS, Ordered
 from ledgertree.schema import CREATED, DELETED, MODIFIED
 from ledgertree.sources.listing import baseline_merge
 
@@ -45,14 +45,10 @@ def _timeline(facts: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def _with_previous(facts: DataFrame, log: DataFrame, chunk_rows: int) -> DataFrame:
-    rows = chunked(_timeline(facts, log), _KEYS, "sequence", chunk_rows)
+    rows = Ordered(_timeline(facts, log), _KEYS, "sequence", chunk_rows, counted=log)
     content = F.col("kind").isin(_BASELINE, CREATED, MODIFIED, DELETED)
-    return look_back(
-        rows,
-        _KEYS,
-        "sequence",
-        last={"was": F.when(content, F.struct("size", (F.col("kind") != DELETED).alias("alive")))},
-    )
+    was = F.when(content, F.struct("size", (F.col("kind") != DELETED).alias("alive")))
+    return rows.look_back(last={"was": was}).df
 
 
 def correct_deltas(facts: DataFrame, log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

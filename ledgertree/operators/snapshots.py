@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgertree.functions.display import displayable
 from ledgertree.operators import bounds as B
 from ledgertree.operators import tree
-from ledgertree.operators.ordered import CHUNK_ROWS, chunked, look_back
+from ledgertree.operators.ordered import CHUNK_ROWS, Ordered
 from ledgertree.schema import CREATED, DELETED, MODIFIED, PARENT_SNAPSHOTS, RENAMED
 
 DEFAULT_LIMIT = 20
@@ -137,7 +137,7 @@ def delete_snapshot(parents: DataFrame, children: DataFrame, key: str) -> tuple[
 # --- net difference ------------------------------------------------------------------------
 
 
-def net_changes(log: DataFrame, bounds: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def net_changes(log: DataFrame, bounds: DataFrame | B.Windows, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Net effect per file of the rows inside the windows.
 
     Read in order, a file's rows fall into lives, each ended by a deletion. A
@@ -147,6 +147,7 @@ def net_changes(log: DataFrame, bounds: DataFrame, chunk_rows: int = CHUNK_ROWS)
     is flags from earlier rows plus aggregates per file; no list of a file's
     rows is ever built.
     """
+    bounds = B.windows(bounds)
     inside = B.in_window(log, bounds).withColumn("inside", F.lit(True))
     # The name before a rename that opens the window is in the log before it.
     opens = (
@@ -166,27 +167,23 @@ def net_changes(log: DataFrame, bounds: DataFrame, chunk_rows: int = CHUNK_ROWS)
     rows = inside.select(*columns).unionByName(earlier, allowMissingColumns=True)
 
     kind = F.col("kind")
-    rows = look_back(
-        chunked(rows, _KEYS, "sequence", chunk_rows).withColumn("counts", F.col("inside").isNotNull()),
-        _KEYS,
-        "sequence",
-        last={
-            "prev_kind": F.when(F.col("counts"), kind),
-            "prev": F.struct("name", "parent_file_id"),
-        },
-        total={"spent": F.when(F.col("counts") & (kind != RENAMED), F.col("size_delta")).otherwise(F.lit(0))},
-    ).filter("counts")
+    counts = F.col("inside").isNotNull()
+    seen = Ordered(rows, _KEYS, "sequence", chunk_rows, counted=inside).look_back(
+        last={"prev_kind": F.when(counts, kind), "prev": F.struct("name", "parent_file_id")},
+        total={"spent": F.when(counts & (kind != RENAMED), F.col("size_delta")).otherwise(F.lit(0))},
+    )
     begins = F.col("prev_kind").isNull() | (F.col("prev_kind") == DELETED)
-    rows = rows.withColumn("begins", begins).withColumn("settles", begins & (kind != CREATED))
-    rows = look_back(
-        rows,
-        _KEYS,
-        "sequence",
+    lives = seen.then(
+        lambda df: df.filter(counts)
+        .withColumn("begins", begins)
+        .withColumn("settles", F.col("begins") & (kind != CREATED))
+    )
+    rows = lives.look_back(
         last={
             "was_settled": F.when(F.col("settles"), F.lit(True)),
             "turn_before": F.when(kind.isin(DELETED, RENAMED), kind),
-        },
-    )
+        }
+    ).df
     seq = F.col("sequence")
     settled = F.coalesce("was_settled", F.lit(False)) | F.col("settles")
     first_settled = F.col("settles") & F.col("was_settled").isNull()
@@ -235,7 +232,7 @@ def net_changes(log: DataFrame, bounds: DataFrame, chunk_rows: int = CHUNK_ROWS)
 def diff(
     log: DataFrame,
     facts: DataFrame,
-    bounds: DataFrame,
+    bounds: DataFrame | B.Windows,
     path_prefix: str | None = None,
     chain: DataFrame | None = None,
     chunk_rows: int = CHUNK_ROWS,
@@ -244,6 +241,7 @@ def diff(
 
     Order the result by path, volume and file_id for a report.
     """
+    bounds = B.windows(bounds)
     B.check_window(log, bounds)
     changes = net_changes(log, bounds, chunk_rows).filter(displayable(F.col("kind"), F.col("size_delta")))
     return diff_paths(changes, facts, log, path_prefix, chain)
@@ -278,12 +276,13 @@ def snapshot_diff(
     volume: str | None = None,
     path_prefix: str | None = None,
     limit: int | None = None,
+    chain: DataFrame | None = None,
 ) -> DataFrame:
     """Difference of two snapshots by id or label, ordered by path."""
-    bounds = B.bounds_between(children, snapshot_id(parents, a), snapshot_id(parents, b))
+    bounds = B.windows(B.bounds_between(children, snapshot_id(parents, a), snapshot_id(parents, b)))
     if volume is not None:
-        bounds = bounds.filter(F.col("volume") == volume.upper())
-    if bounds.isEmpty():
+        bounds = bounds.for_volume(volume.upper())
+    if bounds.rows == []:
         raise SnapshotError("the snapshots have no volume in common")
-    out = diff(log, facts, bounds, path_prefix).orderBy("path", "volume", "file_id")
+    out = diff(log, facts, bounds, path_prefix, chain).orderBy("path", "volume", "file_id")
     return out if limit is None else out.limit(limit)

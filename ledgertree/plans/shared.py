@@ -57,15 +57,16 @@ SNAPSHOTS = [
 
 
 def snapshot_tables(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
-    spark, end = fx.spark, log_end(fx)
-    parents = spark.createDataFrame([], PARENT_SNAPSHOTS)
-    children = None
-    for sid, label, at, tenths in SNAPSHOTS:
-        seen = log(fx).filter(F.col("sequence") <= end * tenths // 10)
-        p, c = snapshots.create_snapshot(seen, facts(fx), parents, at, label, snapshot_id=sid)
-        parents = parents.unionByName(p)
-        children = c if children is None else children.unionByName(c)
-    return fx.keep("parents", lambda: parents), fx.keep("children", lambda: children)
+    def build(which: int) -> DataFrame:
+        parents, children = fx.spark.createDataFrame([], PARENT_SNAPSHOTS), None
+        for sid, label, at, tenths in SNAPSHOTS:
+            seen = log(fx).filter(F.col("sequence") <= log_end(fx) * tenths // 10)
+            p, c = snapshots.create_snapshot(seen, facts(fx), parents, at, label, snapshot_id=sid)
+            parents = parents.unionByName(p)
+            children = c if children is None else children.unionByName(c)
+        return (parents, children)[which]
+
+    return fx.keep("parents", lambda: build(0)), fx.keep("children", lambda: build(1))
 
 
 def window_ab(fx: Fixtures) -> DataFrame:

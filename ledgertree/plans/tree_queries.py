@@ -135,7 +135,7 @@ from ranked_c r where not exists (
     and (a.size > r.size or (a.size = r.size and (a.name < r.name or (a.name = r.name and a.file_id > r.file_id)))))
 order by size desc, name, file_id desc limit 20""")
 def top_folders_by_size(fx: Fixtures):
-    ranked = rank.top(S.facts(fx), folders=True, within=("C:", 1))
+    ranked = rank.top(S.facts(fx), folders=True, within=("C:", 1), chain=S.chain(fx))
     return ranked.select("volume", "file_id", "name", "size", "item_count", "path")
 
 

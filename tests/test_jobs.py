@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgertree.functions import display as D
 from ledgertree.operators import adhoc, attribution as A, bounds as B, conversation as C, maintain as M, snapshots as S
-from ledgertree.operators.ordered import chunked, hot_keys, look_back
+from ledgertree.operators.ordered import Ordered, hot_keys
 from ledgertree.schema import PARENT_SNAPSHOTS, VOLUME_STATES
 from ledgertree.sources import journal, listing
 
@@ -43,10 +43,10 @@ def test_look_back_splits_hot_keys(spark):
     rng = random.Random(3)
     rows = [(0 if rng.random() < 0.6 else i % 50, i, rng.randint(0, 5) or None) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, o long, v long")
-    assert hot_keys(df, ["k"], 100).count() == 1
-    cut = chunked(df, ["k"], "o", 100)
-    assert cut.filter("_chunk is not null").select("k").distinct().count() == 1
-    got = look_back(cut, ["k"], "o", last={"p": F.col("v")}, total={"n": F.lit(1)})
+    assert len(hot_keys(df, ["k"], 100)) == 1
+    cut = Ordered(df, ["k"], "o", 100)
+    assert cut.split and cut.df.filter("_chunk is not null").select("k").distinct().count() == 1
+    got = cut.look_back(last={"p": F.col("v")}, total={"n": F.lit(1)}).df
     last, count = {}, {}
     want = set()
     for k, o, v in rows:

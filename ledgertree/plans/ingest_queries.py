@@ -8,7 +8,7 @@ from ledgertree.operators import replay, search, tree
 from ledgertree.plans import shared as S
 from ledgertree.plans.fixtures import Fixtures
 from ledgertree.plans.registry import part, query, stamp
-from ledgertree.schema import FACTS, RAW_CHANGES
+from ledgertree.schema import RAW_CHANGES
 from ledgertree.session import new_path
 from ledgertree.sources import journal, listing, tables
 from ledgertree.streaming import ingest as ingest_streaming
@@ -206,20 +206,13 @@ def baseline_reconcile(fx: Fixtures):
 @query("replay_stream", "select volume, file_id, sequence, kind, size_delta from logc")
 def replay_stream(fx: Fixtures):
     spark = fx.spark
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    source, sink = new_path(spark, "log"), new_path(spark, "folded")
-    log = S.raw_log(fx).select(*replay_streaming.LOG_IN)
-    half = S.log_end(fx) // 2
+    source, sink = new_path(spark, "log"), new_path(spark, "replayed")
+    log, half = S.raw_log(fx), S.log_end(fx) // 2
     for piece in (log.filter(F.col("sequence") <= half), log.filter(F.col("sequence") > half)):
         piece.coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    replay_streaming.replay_stream(
-        stream, S.facts(fx).select(*FACTS.names), sink, new_path(spark, "progress")
-    ).awaitTermination()
-    return replay_streaming.corrected_log(spark, sink)
+    replay_streaming.replay_stream(stream, S.facts(fx), sink, new_path(spark, "progress")).awaitTermination()
+    return replay_streaming.corrected_log(spark, sink).select("volume", "file_id", "sequence", "kind", "size_delta")
 
 
 @query("search_index_sync", """

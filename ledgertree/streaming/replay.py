@@ -1,153 +1,82 @@
-"""Continuous replay: corrected log rows and fact changes from a log stream."""
+"""Continuous replay: corrected log rows and maintained facts from a log stream.
 
-from __future__ import annotations
+Each micro-batch is folded with the batch operators, so it stays in the JVM and
+splits hot files like any batch. Facts are a base table plus one small table of
+changed facts per micro-batch; every ``FOLD_EVERY`` batches these are merged into
+a new base. A micro-batch writes only folders named by its own number and reads
+only earlier ones, so a retried batch gives the same result.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
-
-from ledgertree.schema import CREATED, DELETED, FACTS, MODIFIED, RENAMED
-
-_STATE = StructType(
-    [
-        StructField("sequence", LongType()),
-        StructField("alive", BooleanType()),
-        StructField("parent_file_id", LongType()),
-        StructField("name", StringType()),
-        StructField("is_directory", BooleanType()),
-        StructField("size", LongType()),
-        StructField("created_at", TimestampType()),
-        StructField("modified_at", TimestampType()),
-        StructField("attributes", IntegerType()),
-    ]
-)
-_FIELDS = _STATE.names
-
-LOG_IN = ["volume", "file_id", "sequence", "parent_file_id", "name", "kind", "is_directory", "observed_size", "at"]
-
-OUTPUT = StructType(
-    [
-        StructField("volume", StringType()),
-        StructField("file_id", LongType()),
-        StructField("sequence", LongType()),
-        StructField("kind", StringType()),
-        StructField("size_delta", LongType()),
-        # The fact after this key's last row in the micro-batch; NULL on other rows.
-        StructField("fact", StructType([f for f in _STATE if f.name != "sequence"])),
-    ]
-)
-
-
-class FoldFile(StatefulProcessor):
-    """Keeps one file's fact and rewrites its change sizes."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._fact = handle.getValueState("fact", _STATE)
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self._fact.update(
-            (-1, True, int(row.parent_file_id), row["name"], bool(row.is_directory), int(row["size"]),
-             row.created_at, row.modified_at, int(row.attributes))
-        )
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A micro-batch brings one file's rows unordered; its size bounds this list.
-        batch = pd.concat(list(rows)).sort_values("sequence")
-        stored = self._fact.get() if self._fact.exists() else None
-        fact = dict(zip(_FIELDS, stored)) if stored else dict.fromkeys(_FIELDS)
-        seen = fact["sequence"] if stored else -1
-        fact["alive"] = bool(fact["alive"])
-        kept, deltas = [], []
-        for row in batch.itertuples():
-            if row.sequence <= seen:
-                continue
-            before = fact["size"] if fact["alive"] else 0
-            delta = 0
-            if row.kind in (CREATED, MODIFIED):
-                size = 0 if row.is_directory else max(int(row.observed_size), 0)
-                delta = 0 if row.is_directory else size - before
-                created = fact["created_at"] if fact["alive"] else row.at
-                fact.update(
-                    alive=True, parent_file_id=row.parent_file_id, name=row.name, is_directory=row.is_directory,
-                    size=size, created_at=created, modified_at=row.at, attributes=0,
-                )
-            elif row.kind == DELETED:
-                delta = 0 if row.is_directory else -before
-                fact["alive"] = False
-            elif row.kind == RENAMED and fact["alive"]:
-                fact.update(parent_file_id=row.parent_file_id, name=row.name)
-            kept.append((key[0], key[1], row.sequence, row.kind, delta, None))
-        if not kept:
-            return
-        fact["sequence"] = max(k[2] for k in kept)
-        self._fact.update(tuple(fact[f] for f in _FIELDS))
-        last = {f: fact[f] for f in _FIELDS if f != "sequence"}
-        kept[-1] = (*kept[-1][:5], last)
-        yield pd.DataFrame(kept, columns=OUTPUT.names)
-
-    def close(self) -> None:
-        pass
-
-
-def fold_stream(log: DataFrame, facts: DataFrame) -> DataFrame:
-    """Stream of corrected rows, with the resulting fact on each key's last row.
-
-    State is one fact per file, kept by the RocksDB state store and partitioned
-    by file; the session must name that provider.
-    """
-    start = facts.select(*FACTS.names).groupBy("volume", "file_id")
-    return (
-        log.select(*LOG_IN)
-        .groupBy("volume", "file_id")
-        .transformWithStateInPandas(
-            statefulProcessor=FoldFile(),
-            outputStructType=OUTPUT,
-            outputMode="Append",
-            timeMode="None",
-            initialState=start,
-        )
-    )
+from ledgertree.operators import replay
+from ledgertree.schema import FACTS
+from ledgertree.sources.tables import conform
+
+FOLD_EVERY = 20
+
+_KEYS = ["volume", "file_id"]
+_REST = [c for c in FACTS.names if c not in _KEYS]
+_CHANGES = StructType([*FACTS.fields, StructField("alive", BooleanType()), StructField("batch", LongType())])
 
 
 def replay_stream(log: DataFrame, facts: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Write corrected rows to ``sink/log`` and fact changes to ``sink/facts``, one folder per batch."""
+    """Fold a log stream over ``facts``; results are read with the functions below.
+
+    Rows of a file must not arrive in an earlier micro-batch than the rows
+    before them.
+    """
+    start = f"{sink}/base/0"
+    conform(facts, "facts").write.mode("ignore").parquet(start)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        path = f"{sink}/folded/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(path)
+        session = batch.sparkSession
+        arrived = f"{sink}/arrived/{batch_id}"
+        batch.write.mode("overwrite").parquet(arrived)
+        rows = session.read.schema(batch.schema).parquet(arrived)
+        touched = rows.select(*_KEYS).distinct()
+        known = _facts_before(session, sink, batch_id).join(touched, _KEYS, "left_semi")
+        replay.correct_deltas(known, rows).write.mode("overwrite").parquet(f"{sink}/log/batch={batch_id}")
+        after = conform(replay.replay(known, rows), "facts")
+        changed = touched.join(after, _KEYS, "left").select(
+            *FACTS.names, F.col("name").isNotNull().alias("alive")
+        )
+        changed.write.mode("overwrite").parquet(f"{sink}/changes/batch={batch_id}")
+        if (batch_id + 1) % FOLD_EVERY == 0:
+            merged = _facts_before(session, sink, batch_id + 1)
+            merged.write.mode("overwrite").parquet(f"{sink}/base/{batch_id + 1}")
 
     return (
-        fold_stream(log, facts)
-        .writeStream.foreachBatch(write)
-        .outputMode("append")
+        log.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _facts_before(spark: SparkSession, sink: str, batch_id: int) -> DataFrame:
+    """Facts before a micro-batch: the last base, overlaid by the changes since."""
+    base_id = (batch_id - 1) // FOLD_EVERY * FOLD_EVERY if batch_id else 0
+    base = spark.read.schema(FACTS).parquet(f"{sink}/base/{base_id}")
+    if batch_id == base_id:
+        return base
+    changes = (
+        spark.read.schema(_CHANGES).parquet(f"{sink}/changes")
+        .filter((F.col("batch") >= base_id) & (F.col("batch") < batch_id))
+    )
+    rows = base.withColumns({"alive": F.lit(True), "batch": F.lit(-1).cast("long")}).unionByName(changes)
+    newest = rows.groupBy(*_KEYS).agg(F.max_by(F.struct("alive", *_REST), "batch").alias("r"))
+    return newest.filter("r.alive").select(*_KEYS, *[f"r.{c}" for c in _REST]).select(*FACTS.names)
+
+
 def corrected_log(spark: SparkSession, sink: str) -> DataFrame:
-    return spark.read.parquet(f"{sink}/folded").select("volume", "file_id", "sequence", "kind", "size_delta")
+    return spark.read.parquet(f"{sink}/log").drop("batch")
 
 
-def current_facts(spark: SparkSession, sink: str, facts: DataFrame) -> DataFrame:
-    """Starting facts overlaid by the newest change of each file."""
-    changes = (
-        spark.read.parquet(f"{sink}/folded")
-        .filter("fact is not null")
-        .select("volume", "file_id", "sequence", "fact.*")
-    )
-    base = facts.select(*FACTS.names).withColumns(
-        {"sequence": F.lit(-1).cast("long"), "alive": F.lit(True)}
-    )
-    rest = [c for c in FACTS.names if c not in ("volume", "file_id")]
-    newest = (
-        base.unionByName(changes)
-        .groupBy("volume", "file_id")
-        .agg(F.max_by(F.struct("alive", *rest), "sequence").alias("r"))
-    )
-    return newest.filter("r.alive").select("volume", "file_id", *[f"r.{c}" for c in rest])
+def current_facts(spark: SparkSession, sink: str, batches: int) -> DataFrame:
+    """Facts after the first ``batches`` micro-batches."""
+    return _facts_before(spark, sink, batches)

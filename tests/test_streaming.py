@@ -1,28 +1,27 @@
 from __future__ import annotations
 
 import models
+import pytest
 
 from ledgertree.operators import replay
 from ledgertree.schema import FACTS
 from ledgertree.streaming import replay as stream
 
 
-def test_folding_a_stream_equals_a_batch(spark, tmp_path):
+@pytest.mark.parametrize("fold_every", [1, 2, 20])
+def test_folding_a_stream_equals_a_batch(spark, tmp_path, monkeypatch, fold_every):
+    monkeypatch.setattr(stream, "FOLD_EVERY", fold_every)
     facts, log = models.random_log(9, files=25, most=6)
     facts_df = spark.createDataFrame(facts, models.FACT_DDL)
-    # Renames carry no size in the stream, as the journal records none.
-    log_df = spark.createDataFrame([(*r[:8], 0, *r[9:]) for r in log], models.LOG_DDL)
-    source = f"{tmp_path}/log"
+    log_df = spark.createDataFrame(log, models.LOG_DDL)
+    source, sink = f"{tmp_path}/log", f"{tmp_path}/out"
     third = len(log) // 3
     for i in range(3):
         high = len(log) if i == 2 else third * (i + 1)
-        log_df.filter(f"sequence > {third * i} and sequence <= {high}").select(*stream.LOG_IN).coalesce(1).write.mode(
-            "append"
-        ).parquet(source)
-    reader = spark.readStream.schema(log_df.select(*stream.LOG_IN).schema).option("maxFilesPerTrigger", 1)
-    stream.replay_stream(reader.parquet(source), facts_df, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    want = {(r.sequence, r.size_delta) for r in replay.correct_deltas(facts_df, log_df).collect()}
-    got = {(r.sequence, r.size_delta) for r in stream.corrected_log(spark, f"{tmp_path}/out").collect()}
-    assert got == want
-    state = {tuple(r) for r in stream.current_facts(spark, f"{tmp_path}/out", facts_df).select(*FACTS.names).collect()}
-    assert state == {tuple(r) for r in replay.replay(facts_df, log_df).select(*FACTS.names).collect()}
+        piece = log_df.filter(f"sequence > {third * i} and sequence <= {high}")
+        piece.coalesce(1).write.mode("append").parquet(source)
+    reader = spark.readStream.schema(log_df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream.replay_stream(reader, facts_df, sink, f"{tmp_path}/ck").awaitTermination()
+    state, deltas = models.replay(facts, log)
+    assert {r.sequence: r.size_delta for r in stream.corrected_log(spark, sink).collect()} == deltas
+    assert {tuple(r) for r in stream.current_facts(spark, sink, 3).select(*FACTS.names).collect()} == state

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgertree.functions.display import displayable
 from ledgertree.functions.text import ascii_lower
-from ledgertree.operators.ordered import CHUNK_ROWS, Ordered
+from ledgertree.operators.ordered import CHUNK_ROWS, Ordered, join_unique
 from ledgertree.schema import MODIFIED
 
 DEFAULT_LIMIT = 100
@@ -26,22 +26,26 @@ def for_item(log: DataFrame, volume: str, file_id: int, is_directory: bool) -> D
     return log.filter((F.col("volume") == volume) & mine).withColumn("item_id", F.lit(file_id).cast("long"))
 
 
-def for_items(log: DataFrame, items: DataFrame) -> DataFrame:
+def for_items(log: DataFrame, items: DataFrame, hot_rows: int = CHUNK_ROWS) -> DataFrame:
     """The same for a table of items: volume, item_id, is_directory.
 
     A row of a child appears under its own item and under its folder's.
     """
-    own = log.join(
-        items.select("volume", F.col("item_id").alias("file_id")).withColumn("item_id", F.col("file_id")),
-        ["volume", "file_id"],
+    own = join_unique(
+        log.withColumn("item_id", F.col("file_id")),
+        items.select("volume", "item_id"),
+        ["volume", "item_id"],
+        "left_semi",
+        hot_rows,
     )
-    folders = items.filter("is_directory").select("volume", F.col("item_id").alias("parent_file_id"))
-    below = (
-        log.filter("file_id <> parent_file_id")
-        .join(folders, ["volume", "parent_file_id"], "left_semi")
-        .withColumn("item_id", F.col("parent_file_id"))
+    below = join_unique(
+        log.filter("file_id <> parent_file_id").withColumn("item_id", F.col("parent_file_id")),
+        items.filter("is_directory").select("volume", "item_id"),
+        ["volume", "item_id"],
+        "left_semi",
+        hot_rows,
     )
-    return own.select(*below.columns).unionByName(below)
+    return own.unionByName(below)
 
 
 def is_directory(facts: DataFrame, log: DataFrame, volume: str, file_id: int) -> bool:

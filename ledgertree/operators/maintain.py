@@ -107,13 +107,14 @@ def incomplete_volumes(states: DataFrame) -> DataFrame:
 
 def with_incomplete(df: DataFrame, states: DataFrame) -> DataFrame:
     """Mark result rows of volumes that are not live."""
-    waiting = [r.volume for r in incomplete_volumes(states).select("volume").limit(B.BROADCAST_VOLUMES + 1).collect()]
-    if len(waiting) <= B.BROADCAST_VOLUMES:
-        return df.withColumn("volume_incomplete", F.col("volume").isin(waiting))
-    marked = incomplete_volumes(states).select("volume", F.lit(True).alias("volume_incomplete"))
-    return df.join(marked, "volume", "left").withColumn(
-        "volume_incomplete", F.coalesce("volume_incomplete", F.lit(False))
-    )
+    late = incomplete_volumes(states).select("volume")
+    rows = late.limit(B.BROADCAST_VOLUMES + 1).collect()
+    if len(rows) <= B.LITERAL_VOLUMES:
+        return df.withColumn("volume_incomplete", F.col("volume").isin([r.volume for r in rows]))
+    if len(rows) <= B.BROADCAST_VOLUMES:
+        late = F.broadcast(df.sparkSession.createDataFrame(rows, late.schema))
+    marked = df.join(late.withColumn("volume_incomplete", F.lit(True)), "volume", "left")
+    return marked.withColumn("volume_incomplete", F.coalesce("volume_incomplete", F.lit(False)))
 
 
 def audit(

@@ -235,17 +235,28 @@ def _lookup_deleted(live: DataFrame, facts: DataFrame, log: DataFrame) -> DataFr
     chain = chains(overlay_nodes(facts, log)).select(
         "volume", F.col("file_id").alias("folder_id"), "visited"
     )
-    tried = missing.join(candidates, ["volume", "leaf"]).join(chain, ["volume", "folder_id"])
-    depth = F.size("parts") - 1
+    # Each candidate under every ending of its path: the name alone when it lies
+    # at the top, the name with one folder, with two, and so on. The latest
+    # candidate per ending is kept before the join, which is then one to one.
     names = F.transform("visited", lambda a: ascii_lower(a["name"]))
-    expected = F.reverse(F.slice("parts", F.lit(1), depth))
-    fits = F.when(depth == 0, F.col("visited")[0]["top"]).otherwise(
-        F.slice(names, F.lit(1), F.greatest(depth, F.lit(1))) == expected
+    endings = (
+        candidates.join(chain, ["volume", "folder_id"])
+        .select(
+            "volume", "leaf", "file_id", "sequence", names.alias("names"), F.col("visited")[0]["top"].alias("top"),
+            F.explode(F.sequence(F.lit(0), F.size("visited"))).alias("depth"),
+        )
+        .filter("depth > 0 or top")
+        .select(
+            "volume", "depth", "file_id", "sequence",
+            F.concat(F.reverse(F.slice("names", F.lit(1), F.col("depth"))), F.array("leaf")).alias("parts"),
+        )
+        .groupBy("volume", "depth", "parts")
+        .agg(F.max_by("file_id", "sequence").alias("log_id"))
     )
     found = (
-        tried.filter(fits)
-        .groupBy("path")
-        .agg(F.max_by("file_id", "sequence").alias("log_id"))
+        missing.withColumn("depth", F.size("parts") - 1)
+        .join(endings, ["volume", "depth", "parts"])
+        .select("path", "log_id")
     )
     out = live.join(found, "path", "left")
     return out.select(

@@ -100,3 +100,13 @@ def test_history_page_both_ways(spark):
         return [r.sequence for r in history.page(rows, 3, cursor).collect()]
 
     assert page(None) == [1, 2, 3] and page("f:3") == [4, 5, 6] and page("b:4") == [1, 2, 3] and page("8") == [9, 10]
+
+
+def test_items_with_hot_keys(case, spark):
+    _, log, _, log_df = case
+    rows = [("V:", 1, False), ("V:", 2, False), ("V:", 1001, True), ("V:", 1002, True), ("W:", 1, False)]
+    items = spark.createDataFrame(rows, "volume string, item_id long, is_directory boolean")
+    want = sorted((i, r[0]) for _, i, d in rows[:4] for r in log if r[2] == i or (d and r[3] == i))
+    for hot_rows in (5, 4_000_000):
+        got = history.for_items(log_df, items, hot_rows).select("item_id", "sequence").collect()
+        assert sorted(map(tuple, got)) == want

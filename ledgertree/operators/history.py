@@ -6,10 +6,10 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgertree.functions.display import displayable
+from ledgertree.functions.display import displayable, human_delta, relative_age
 from ledgertree.functions.text import ascii_lower
 from ledgertree.operators.ordered import CHUNK_ROWS, Ordered, join_unique
-from ledgertree.schema import MODIFIED
+from ledgertree.schema import MODIFIED, RENAMED
 
 DEFAULT_LIMIT = 100
 _ITEM = ["volume", "item_id"]
@@ -144,7 +144,25 @@ def renamed_from(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     keys = [*_ITEM, "file_id"]
     seen = Ordered(rows, keys, "sequence", chunk_rows).look_back(last={"prev": F.struct("name")}).df
     return seen.select(
-        *rows.columns, F.when(F.col("kind") == "Renamed", F.col("prev.name")).alias("renamed_from")
+        *rows.columns, F.when(F.col("kind") == RENAMED, F.col("prev.name")).alias("renamed_from")
+    )
+
+
+def history_report(rows: DataFrame, now: datetime) -> DataFrame:
+    """Text columns of displayed rows from :func:`renamed_from`."""
+    renamed = F.when(
+        F.col("kind") == RENAMED,
+        F.when(F.col("renamed_from").isNull(), F.lit("Renamed")).otherwise(F.concat(F.lit("Renamed from "), F.col("renamed_from"))),
+    )
+    return rows.select(
+        "volume",
+        "sequence",
+        "kind",
+        "name",
+        human_delta(F.col("size_delta")).alias("size_text"),
+        F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at_text"),
+        relative_age(F.col("at"), F.lit(now)).alias("age"),
+        F.coalesce(renamed, F.lit("")).alias("details"),
     )
 
 

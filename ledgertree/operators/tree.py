@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgertree.functions.display import human_delta
 from ledgertree.functions.text import after_drive, ascii_lower, drive_of, prefixes, segments
+from ledgertree.schema import CREATED, DELETED, RENAMED
 from ledgertree.session import materialize
 
 # Doublings planned together before the result is written.
@@ -289,20 +291,17 @@ def tree_scores(hits: DataFrame) -> DataFrame:
     )
 
 
-def as_tree(hits: DataFrame, by_score: bool = True) -> DataFrame:
+def as_tree(hits: DataFrame, by_score: bool = True, texts: DataFrame | None = None) -> DataFrame:
     """Display rows of the result tree in ``sort_path`` order.
 
     Siblings go by score (best first) then name, or by name alone. The last
     sibling is found by an aggregate per parent and the order by an array of
-    sibling keys, so a folder with very many hits needs no window.
+    sibling keys, so a folder with very many hits needs no window. ``texts``
+    (volume, node, text) replaces the label of some nodes.
     """
-    nodes = tree_scores(hits)
-    rank = F.struct(
-        (F.lit(0.0) if not by_score else -F.col("score")).cast("double").alias("rank"),
-        F.col("label"),
-    )
     parts = F.split("node", "/")
-    labelled = nodes.select(
+    rank = (-F.col("score") if by_score else F.lit(0.0)).cast("double")
+    nodes = tree_scores(hits).select(
         "volume",
         "node",
         "score",
@@ -312,39 +311,52 @@ def as_tree(hits: DataFrame, by_score: bool = True) -> DataFrame:
         F.when(
             F.col("node") != "", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
         ).alias("parent"),
-    ).withColumn("key", rank)
-    ends = (
-        labelled.filter("parent is not null")
-        .groupBy("volume", "parent")
-        .agg(F.max("key").alias("end"))
-    )
-    sib = labelled.join(ends, ["volume", "parent"], "left").withColumn(
+    ).withColumn("key", F.struct(rank.alias("rank"), "label"))
+    ends = nodes.filter("parent is not null").groupBy("volume", "parent").agg(F.max("key").alias("end"))
+    siblings = nodes.join(ends, ["volume", "parent"], "left").withColumn(
         "is_last", F.coalesce(F.col("key") == F.col("end"), F.lit(True))
     )
     # Every node looks up the keys of the nodes on its own path: depth rows each.
-    path_nodes = F.when(F.col("node") == "", F.array(F.lit(""))).otherwise(
+    on_path = F.when(F.col("node") == "", F.array(F.lit(""))).otherwise(
         F.concat(F.array(F.lit("")), prefixes(parts))
     )
-    ups = sib.select("volume", "node", F.explode(path_nodes).alias("up"))
-    marks = sib.select("volume", F.col("node").alias("up"), "depth", "key", "is_last")
-    line = (
+    ups = siblings.select("volume", "node", F.explode(on_path).alias("up"))
+    marks = siblings.select("volume", F.col("node").alias("up"), "depth", "key", "is_last")
+    ways = (
         ups.join(marks, ["volume", "up"])
         .groupBy("volume", "node")
         .agg(F.array_sort(F.collect_list(F.struct("depth", "key", "is_last"))).alias("way"))
     )
-    inner = F.slice(F.col("way"), F.lit(2), F.greatest(F.size("way") - 2, F.lit(0)))
-    guide = F.array_join(
-        F.transform(inner, lambda s: F.when(s["is_last"], F.lit("    ")).otherwise(F.lit("│   "))), ""
-    )
-    out = sib.join(line, ["volume", "node"])
-    text = F.when(F.col("depth") == 0, F.concat("label", F.lit("\\"))).otherwise(
-        F.concat(
-            guide,
-            F.when(F.col("is_last"), F.lit("└── ")).otherwise(F.lit("├── ")),
-            F.when(F.col("is_match"), F.col("label")).otherwise(F.concat("label", F.lit("/"))),
-        )
-    )
+    out = siblings.join(ways, ["volume", "node"])
+    plain = F.when(F.col("is_match"), F.col("label")).otherwise(F.concat("label", F.lit("/")))
+    text = plain
+    if texts is not None:
+        out = out.join(texts.select("volume", "node", "text"), ["volume", "node"], "left")
+        text = F.coalesce("text", plain)
+    between = F.slice("way", F.lit(2), F.greatest(F.size("way") - 2, F.lit(0)))
+    guide = F.array_join(F.transform(between, lambda s: F.when(s["is_last"], F.lit("    ")).otherwise(F.lit("│   "))), "")
+    branch = F.when(F.col("is_last"), F.lit("└── ")).otherwise(F.lit("├── "))
+    line = F.when(F.col("depth") == 0, F.concat("label", F.lit("\\"))).otherwise(F.concat(guide, branch, text))
     return out.select(
-        "volume", "node", "parent", "depth", "score", "is_match", "is_last", text.alias("line"),
+        "volume", "node", "parent", "depth", "score", "is_match", "is_last", line.alias("line"),
         F.transform("way", lambda s: s["key"]).alias("sort_path"),
     )
+
+
+def diff_tree(changes: DataFrame) -> DataFrame:
+    """Display rows of a difference (volume, path, kind, size_delta, old_name, file_id), by name.
+
+    Of several changes at one path the one with the highest id is shown.
+    """
+    node = F.array_join(F.slice(segments(F.col("path")), F.lit(2), F.size(segments(F.col("path")))), "/")
+    placed = changes.select("volume", node.alias("node"), "name", "kind", "size_delta", "old_name", "file_id")
+    size = human_delta(F.col("size_delta"))
+    sign = F.when(F.col("kind") == CREATED, F.lit("+ ")).when(F.col("kind") == DELETED, F.lit("- ")).otherwise(F.lit("~ "))
+    note = F.when(
+        F.col("kind") == RENAMED, F.concat(F.lit("Renamed from "), F.coalesce("old_name", F.lit("unknown")), F.lit(", "))
+    ).otherwise(F.lit(""))
+    text = F.concat(sign, F.col("name"), F.lit(" ("), note, size, F.lit(")"))
+    texts = placed.groupBy("volume", "node").agg(F.max_by(text, "file_id").alias("text"))
+    folder = F.when(F.instr("node", "/") > 0, F.regexp_replace("node", "/[^/]*$", "")).otherwise(F.lit(""))
+    hits = placed.select("volume", folder.alias("path"), "name", F.lit(0.0).alias("score"))
+    return as_tree(hits, by_score=False, texts=texts)

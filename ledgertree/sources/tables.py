@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgertree.schema import TABLES
@@ -43,6 +44,31 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/{name}").select(*schema.names)
 
 
+def publish(df: DataFrame, root: str, name: str) -> int:
+    """Write a new version of a table, for results that read the old one.
+
+    Returns its number. A version appears when its write commits, and readers
+    take the highest, so a failed or repeated write leaves the table whole.
+    """
+    spark = df.sparkSession
+    number = versions(spark, root, name) + 1
+    save(df, f"{root}/{name}/version={number}", name)
+    return number
+
+
+def versions(spark: SparkSession, root: str, name: str) -> int:
+    """Highest version present; 0 when there is none."""
+    try:
+        listed = spark.read.schema("version long").parquet(f"{root}/{name}").select("version")
+        return listed.agg({"version": "max"}).first()[0] or 0
+    except AnalysisException:
+        return 0
+
+
+def current(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return load(spark, f"{root}/{name}/version={versions(spark, root, name)}", name)
+
+
 def to_json_rows(df: DataFrame) -> DataFrame:
     """Each row as JSON text; NULL fields are kept, binary becomes text."""
     columns = [

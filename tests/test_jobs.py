@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgertree.functions import display as D
-from ledgertree.operators import adhoc, attribution as A, bounds as B, conversation as C, maintain as M, snapshots as S
+from ledgertree.operators import adhoc, attribution as A, bounds as B, conversation as C, history, maintain as M
+from ledgertree.operators import snapshots as S
 from ledgertree.operators.ordered import Ordered, hot_keys
 from ledgertree.schema import PARENT_SNAPSHOTS, VOLUME_STATES
-from ledgertree.sources import journal, listing
+from ledgertree.sources import journal, listing, tables
 
 T = datetime(2024, 1, 1)
 
@@ -281,3 +282,22 @@ def test_only_queries_run(spark):
                 "with x as (select 1) insert into t select * from x", "set a=b"):
         with pytest.raises(Exception):
             adhoc.read_only_sql(spark, bad)
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    root = str(tmp_path)
+    first = spark.createDataFrame([("C:", 1)], "volume string, last_sequence long")
+    assert tables.publish(first, root, "drain_state") == 1
+    old = tables.current(spark, root, "drain_state")
+    assert tables.publish(old.withColumn("last_sequence", F.col("last_sequence") + 1), root, "drain_state") == 2
+    assert tables.current(spark, root, "drain_state").first().last_sequence == 2
+
+
+def test_history_report(spark):
+    ddl = "volume string, sequence long, kind string, name string, size_delta long, at timestamp, renamed_from string"
+    rows = [("C:", 1, "Created", "a", 2048, at(0), None), ("C:", 2, "Renamed", "b", 0, at(7200), "a"),
+            ("C:", 3, "Renamed", "c", 0, at(7260), None)]
+    got = history.history_report(spark.createDataFrame(rows, ddl), at(7290)).orderBy("sequence").collect()
+    assert [(r.size_text, r.age, r.details) for r in got] == [
+        ("+2.00 KB", "2h ago", ""), ("0 B", "1m ago", "Renamed from a"), ("0 B", "just now", "Renamed")]
+    assert got[0].at_text == "2024-01-01 00:00:00"

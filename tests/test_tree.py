@@ -133,3 +133,13 @@ def test_subtree_is_strict(rolled):
     chain = tree.chains(tree.directories(rolled))
     assert {r.file_id for r in tree.subtree(rolled, chain, "C:", 2).collect()} == {3, 4}
     assert {r.file_id for r in tree.subtree(rolled, chain, "C:", 1).collect()} == {2, 3, 4, 5}
+
+
+def test_diff_tree(spark):
+    rows = [("C:", "C:/a/new.txt", "new.txt", "Created", 2048, None, 1), ("C:", "C:/a/b/gone", "gone", "Deleted", -1, None, 2),
+            ("C:", "C:/z", "z", "Renamed", 0, "y", 3), ("D:", "D:/m", "m", "Modified", 5, None, 4)]
+    ddl = "volume string, path string, name string, kind string, size_delta long, old_name string, file_id long"
+    lines = tree.diff_tree(spark.createDataFrame(rows, ddl)).orderBy("volume", "sort_path").collect()
+    assert [r.line for r in lines] == [
+        "C:\\", "├── a/", "│   ├── b/", "│   │   └── - gone (-1 B)", "│   └── + new.txt (+2.00 KB)",
+        "└── ~ z (Renamed from y, 0 B)", "D:\\", "└── ~ m (+5 B)"]

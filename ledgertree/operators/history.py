@@ -48,6 +48,12 @@ def for_items(log: DataFrame, items: DataFrame, hot_rows: int = CHUNK_ROWS) -> D
     return own.unionByName(below)
 
 
+def item_keys(log: DataFrame) -> DataFrame:
+    """Item keys of all log rows, to find hot ones in without the joins above."""
+    own = log.select("volume", F.col("file_id").alias("item_id"))
+    return own.unionByName(log.select("volume", F.col("parent_file_id").alias("item_id")))
+
+
 def is_directory(facts: DataFrame, log: DataFrame, volume: str, file_id: int) -> bool:
     """Whether an id is a folder: as facts say, else as the log says."""
     at = (F.col("volume") == volume) & (F.col("file_id") == file_id)
@@ -71,7 +77,9 @@ def in_range(
     return rows
 
 
-def merge_runs(rows: DataFrame, collapse: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def merge_runs(
+    rows: DataFrame, collapse: bool = False, chunk_rows: int = CHUNK_ROWS, counted: DataFrame | None = None
+) -> DataFrame:
     """Merge consecutive rows of an item that show the same thing.
 
     Consecutive rows of one file with the same kind and name become one row with
@@ -80,7 +88,8 @@ def merge_runs(rows: DataFrame, collapse: bool = False, chunk_rows: int = CHUNK_
     children in between break a run. A row that starts a run lends its sequence
     as run number, so runs group without a running count.
     """
-    seen = Ordered(rows, _ITEM, "sequence", chunk_rows).look_back(last={"prev": F.struct("kind", "file_id", "name")})
+    ordered = Ordered(rows, _ITEM, "sequence", chunk_rows, counted)
+    seen = ordered.look_back(last={"prev": F.struct("kind", "file_id", "name")})
     same = (F.col("prev.kind") == F.col("kind")) & (F.col("prev.file_id") == F.col("file_id"))
     if not collapse:
         same = same & (F.col("prev.name") == F.col("name")) & (F.col("kind") != MODIFIED)
@@ -113,9 +122,10 @@ def history(
     kind: str | None = None,
     collapse: bool = False,
     chunk_rows: int = CHUNK_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Displayed history of the item rows from :func:`for_item` or :func:`for_items`."""
-    return shown(merge_runs(in_range(rows, since, until, kind), collapse, chunk_rows))
+    return shown(merge_runs(in_range(rows, since, until, kind), collapse, chunk_rows, counted))
 
 
 def page(rows: DataFrame, limit: int = DEFAULT_LIMIT, cursor: str | None = None) -> DataFrame:

@@ -101,7 +101,10 @@ def change_nodes(facts: DataFrame, items: DataFrame) -> DataFrame:
     return stale.unionByName(moved)
 
 
-def change_chains(facts: DataFrame, items: DataFrame) -> DataFrame:
+def change_chains(facts: DataFrame, items: DataFrame, chain: DataFrame | None = None) -> DataFrame:
+    """Chains over those; ``chain``, that of ``facts``, serves while no folder changed."""
+    if chain is not None and items.filter("is_directory").isEmpty():
+        return chain
     return tree.chains(change_nodes(facts, items))
 
 
@@ -240,8 +243,8 @@ def top(
     ``within`` is the (volume, folder id) to look below. With ``since`` or
     ``between`` (two snapshot ids) the ranking is by change, of folders unless
     ``files`` is set; otherwise it is by current size, of files unless
-    ``folders`` is set. ``chain`` saves computing the folder chains when the caller
-    keeps them: those of ``facts``, or those of :func:`change_chains`.
+    ``folders`` is set. ``chain`` saves computing the folder chains of ``facts`` when
+    the caller keeps them.
     """
     if since is not None and between is not None:
         raise ValueError("since and between are mutually exclusive")
@@ -264,10 +267,12 @@ def top(
         else:
             window = B.windows(B.bounds_between(volume_snapshots, *between))
             B.check_window(log, window)
-        items = changed_items(B.in_window(log, window))
+        items = materialize(changed_items(B.in_window(log, window)), "items")
     if by_folder or within is not None or limit > CLIMB_ROWS:
-        if chain is None:
-            chain = change_chains(facts, items) if interval else tree.chains(tree.directories(facts))
+        if interval:
+            chain = change_chains(facts, items, chain)
+        elif chain is None:
+            chain = tree.chains(tree.directories(facts))
     else:
         chain = None
     if interval:

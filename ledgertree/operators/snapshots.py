@@ -12,6 +12,7 @@ from ledgertree.operators import bounds as B
 from ledgertree.operators import tree
 from ledgertree.operators.ordered import CHUNK_ROWS, Ordered
 from ledgertree.schema import CREATED, DELETED, MODIFIED, PARENT_SNAPSHOTS, RENAMED
+from ledgertree.session import materialize
 
 DEFAULT_LIMIT = 20
 SCHEMA_VERSION = 2
@@ -254,9 +255,13 @@ def diff_paths(
     path_prefix: str | None = None,
     chain: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``volume/folders/name``; folders from facts, else as the log last had them."""
-    if chain is None:
-        chain = tree.chains(tree.overlay_nodes(facts, log))
+    """Add ``volume/folders/name``; folders from facts, else as the log last had them.
+
+    ``chain`` saves computing the folder chains of ``facts``.
+    """
+    changes = materialize(changes, "changes")
+    folders = changes.select("volume", F.col("parent_file_id").alias("file_id"))
+    chain = tree.known_chains(folders, facts, log, chain)
     dirs = tree.directory_paths(chain).withColumnRenamed("file_id", "parent_file_id")
     placed = changes.join(dirs, ["volume", "parent_file_id"], "left")
     parts = F.filter(F.array(F.col("volume"), F.coalesce("dir_path", F.lit("")), F.col("name")), lambda s: s != "")

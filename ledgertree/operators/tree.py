@@ -209,24 +209,41 @@ def lookup_paths(
     live = live.withColumn("found_in", F.when(F.col("file_id").isNotNull(), F.lit("facts")))
     if log is None:
         return live.select("path", "volume", "file_id", "found_in")
-    return _lookup_deleted(live, facts, log)
-
-
-def overlay_nodes(facts: DataFrame, log: DataFrame) -> DataFrame:
-    """Directories of ``facts`` plus parents only the log still knows, latest row each."""
-    known = directories(facts)
-    parents = log.select("volume", F.col("parent_file_id").alias("file_id")).distinct()
-    gone = (
-        log.join(parents, ["volume", "file_id"], "left_semi")
-        .groupBy("volume", "file_id")
-        .agg(F.max_by(F.struct("parent_file_id", "name"), "sequence").alias("r"))
-        .select("volume", "file_id", "r.parent_file_id", "r.name")
-        .join(facts.select("volume", "file_id"), ["volume", "file_id"], "left_anti")
-    )
-    return known.unionByName(gone)
+    return _lookup_deleted(live, facts, log, chain)
+
 
+def known_chains(
+    wanted: DataFrame, facts: DataFrame, log: DataFrame, chain: DataFrame | None = None
+) -> DataFrame:
+    """Chains that cover the folders in ``wanted`` (volume, file_id), also deleted ones.
 
-def _lookup_deleted(live: DataFrame, facts: DataFrame, log: DataFrame) -> DataFrame:
+    Folders missing from facts take their latest log row, and so on for the
+    parents of those: one look into the log per level of deleted folders, none
+    in the usual case. ``chain`` is used when it already covers everything.
+    """
+    keys = ["volume", "file_id"]
+    live = facts.select(*keys)
+    gone: DataFrame | None = None
+    missing = materialize(wanted.select(*keys).distinct().join(live, keys, "left_anti"), "missing")
+    while not missing.isEmpty():
+        latest = (
+            log.join(missing, keys, "left_semi")
+            .groupBy(*keys)
+            .agg(F.max_by(F.struct("parent_file_id", "name"), "sequence").alias("r"))
+            .select(*keys, "r.parent_file_id", "r.name")
+        )
+        found = materialize(latest, "deleted")
+        gone = found if gone is None else gone.unionByName(found)
+        above = found.filter("parent_file_id <> 0").select("volume", F.col("parent_file_id").alias("file_id")).distinct()
+        missing = materialize(
+            above.join(live, keys, "left_anti").join(gone.select(*keys), keys, "left_anti"), "missing"
+        )
+    if gone is None:
+        return chain if chain is not None else chains(directories(facts))
+    return chains(directories(facts).unionByName(gone))
+
+
+def _lookup_deleted(live: DataFrame, facts: DataFrame, log: DataFrame, chain: DataFrame) -> DataFrame:
     missing = live.filter("file_id is null and leaf is not null").select("path", "volume", "parts", "leaf")
     candidates = (
         log.withColumn("leaf", ascii_lower(F.col("name")))
@@ -234,9 +251,9 @@ def _lookup_deleted(live: DataFrame, facts: DataFrame, log: DataFrame) -> DataFr
         .groupBy("volume", "leaf", "file_id", F.col("parent_file_id").alias("folder_id"))
         .agg(F.max("sequence").alias("sequence"))
     )
-    chain = chains(overlay_nodes(facts, log)).select(
-        "volume", F.col("file_id").alias("folder_id"), "visited"
-    )
+    candidates = materialize(candidates, "candidates")
+    folders = candidates.select("volume", F.col("folder_id").alias("file_id"))
+    chain = known_chains(folders, facts, log, chain).select("volume", F.col("file_id").alias("folder_id"), "visited")
     # Each candidate under every ending of its path: the name alone when it lies
     # at the top, the name with one folder, with two, and so on. The latest
     # candidate per ending is kept before the join, which is then one to one.

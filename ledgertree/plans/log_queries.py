@@ -89,19 +89,23 @@ def _every_item(fx: Fixtures):
     return history.for_items(S.log(fx), files.unionByName(folders))
 
 
+def _keys(fx: Fixtures):
+    return history.item_keys(S.log(fx))
+
+
 @query("history_aggregate_identical", f"select {_RUN_TEXT} from merged_runs")
 def history_aggregate_identical(fx: Fixtures):
-    return history.merge_runs(_every_item(fx)).select(*_RUN_COLUMNS)
+    return history.merge_runs(_every_item(fx), counted=_keys(fx)).select(*_RUN_COLUMNS)
 
 
 @query("history_collapse", f"select {_RUN_TEXT} from collapsed_runs")
 def history_collapse(fx: Fixtures):
-    return history.merge_runs(_every_item(fx), collapse=True).select(*_RUN_COLUMNS)
+    return history.merge_runs(_every_item(fx), collapse=True, counted=_keys(fx)).select(*_RUN_COLUMNS)
 
 
 @query("displayable_filter", f"select {_RUN_TEXT} from merged_runs where {_SHOWN}")
 def displayable_filter(fx: Fixtures):
-    return history.history(_every_item(fx)).select(*_RUN_COLUMNS)
+    return history.history(_every_item(fx), counted=_keys(fx)).select(*_RUN_COLUMNS)
 
 
 part("folder_runs", "", f"""
@@ -140,7 +144,7 @@ select item_id, volume, sequence, kind, name,
        case when kind = 'Renamed' then lag(name) over (partition by volume, item_id, file_id order by sequence) end as renamed_from
 from merged_runs where {_SHOWN}""")
 def renamed_from(fx: Fixtures):
-    rows = history.history(_every_item(fx))
+    rows = history.history(_every_item(fx), counted=_keys(fx))
     return history.renamed_from(rows).select("item_id", "volume", "sequence", "kind", "name", "renamed_from")
 
 
@@ -247,7 +251,7 @@ part("net_paths", "", f"""
 
 @query("snapshot_diff", "select volume, file_id, parent_file_id, name, is_directory, size_delta, kind, path from net_paths")
 def snapshot_diff(fx: Fixtures):
-    found = snapshots.snapshot_diff(S.log(fx), S.facts(fx), *S.snapshot_tables(fx), "b", "a")
+    found = snapshots.snapshot_diff(S.log(fx), S.facts(fx), *S.snapshot_tables(fx), "b", "a", chain=S.chain(fx))
     return found.drop("old_name", "old_parent_file_id")
 
 

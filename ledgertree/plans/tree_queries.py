@@ -181,7 +181,9 @@ _FOLDER = "volume, file_id, name, size_delta, churn, item_count"
 @query("top_growth_folders", f"""
 select {_FOLDER} from grown r where {_not_nested('grown')} order by value desc, name, file_id desc, volume limit 50""")
 def top_growth_folders(fx: Fixtures):
-    ranked = rank.top(S.facts(fx), S.log(fx), S.snapshot_tables(fx)[1], growth=True, between=("s_a", "s_b"), limit=50)
+    ranked = rank.top(
+        S.facts(fx), S.log(fx), S.snapshot_tables(fx)[1], growth=True, between=("s_a", "s_b"), limit=50, chain=S.chain(fx)
+    )
     return ranked.select("volume", "file_id", "name", "size_delta", "churn", "item_count")
 
 

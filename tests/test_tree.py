@@ -143,3 +143,22 @@ def test_diff_tree(spark):
     assert [r.line for r in lines] == [
         "C:\\", "├── a/", "│   ├── b/", "│   │   └── - gone (-1 B)", "│   └── + new.txt (+2.00 KB)",
         "└── ~ z (Renamed from y, 0 B)", "D:\\", "└── ~ m (+5 B)"]
+
+
+def test_chains_of_deleted_folders(spark):
+    """Two levels of deleted folders, one renamed, and a ring only the log knows."""
+    facts = facts_of(spark, [(1, 1, "C:", True, 0), (2, 1, "live", True, 0)])
+    gone = [(1, "C:", 3, 2, "first", "Created", True, 0, 0, T, "W"), (2, "C:", 3, 2, "second", "Renamed", True, 0, 0, T, "W"),
+            (3, "C:", 4, 3, "deep", "Deleted", True, 0, 0, T, "W"), (4, "C:", 5, 6, "r5", "Deleted", True, 0, 0, T, "W"),
+            (5, "C:", 6, 5, "r6", "Deleted", True, 0, 0, T, "W"), (6, "C:", 9, 4, "f", "Deleted", False, 0, 0, T, "W")]
+    log = spark.createDataFrame(gone, models.LOG_DDL)
+
+    def paths(ids, chain=None):
+        wanted = spark.createDataFrame([("C:", i) for i in ids], "volume string, file_id long")
+        known = tree.known_chains(wanted, facts, log, chain)
+        return {r.file_id: r.dir_path for r in tree.directory_paths(known).collect()}
+
+    got = paths([4, 5, 77])
+    assert got[4] == "live/second/deep" and got[3] == "live/second" and got[5] == "r6/r5" and 77 not in got
+    kept = tree.chains(tree.directories(facts))
+    assert paths([2], kept) == {1: "", 2: "live"}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgertree.functions.text import prefixes, segments, slashes
 from ledgertree.operators import tree
+from ledgertree.operators.ordered import CHUNK_ROWS, as_of
 from ledgertree.sources.listing import upsert_latest
 
 # What marks an installer image, a runtime folder, an ignored process.
@@ -45,7 +46,7 @@ def _has_any(text: Column, marks: list[str]) -> Column:
     return out
 
 
-def session_members(processes: DataFrame) -> DataFrame:
+def session_members(processes: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Every process with the install session it belongs to, if any.
 
     ``processes``: pid, ppid, image, started, stopped (NULL while running). A
@@ -55,27 +56,21 @@ def session_members(processes: DataFrame) -> DataFrame:
     installer above a process.
     """
     own = processes.select("*", F.xxhash64("pid", "started").alias("key"))
-    parents = own.select(
-        F.col("pid").alias("ppid"),
-        F.col("key").alias("parent_key"),
-        F.col("started").alias("p_started"),
-        F.col("stopped").alias("p_stopped"),
-    )
-    alive = (
-        (own.ppid == parents.ppid)
-        & (own.key != parents.parent_key)
-        & (own.started >= parents.p_started)
-        & (parents.p_stopped.isNull() | (own.started <= parents.p_stopped))
-    )
-    links = (
-        own.join(parents, alive)
-        .groupBy(own.key.alias("key"))
-        .agg(F.max_by("parent_key", "p_started").alias("parent_key"))
-    )
-    nodes = own.join(links, "key", "left").select(
+    linked = as_of(
+        own.select("key", "ppid", "image", "started"),
+        own.select("pid", "key", "started", "stopped"),
+        ("ppid", "started"),
+        ("pid", "started"),
+        "parent",
+        chunk_rows=chunk_rows,
+    )
+    alive = (F.col("parent.key") != F.col("key")) & (
+        F.col("parent.stopped").isNull() | (F.col("started") <= F.col("parent.stopped"))
+    )
+    nodes = linked.select(
         F.lit("").alias("volume"),
         F.col("key").alias("file_id"),
-        F.col("parent_key").alias("parent_file_id"),
+        F.when(alive, F.col("parent.key")).alias("parent_file_id"),
         F.col("image").alias("name"),
     )
     installers = F.filter("visited", lambda a: _has_any(F.lower(a["name"]), INSTALLER_MARKS))
@@ -98,15 +93,12 @@ def install_sessions(members: DataFrame) -> DataFrame:
     )
 
 
-def _during(events: DataFrame, members: DataFrame) -> DataFrame:
-    """Events joined with the process that was alive under their pid."""
+def _during(events: DataFrame, members: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Events with image and session of the process alive under their pid; others are dropped."""
     lives = members.select("pid", "image", "started", "stopped", "root_key")
-    alive = (
-        (events.pid == lives.pid)
-        & (events.ts >= lives.started)
-        & (lives.stopped.isNull() | (events.ts <= lives.stopped))
-    )
-    return events.join(lives, alive).select(*[events[c] for c in events.columns], "image", "root_key")
+    placed = as_of(events, lives, ("pid", "ts"), ("pid", "started"), "life", chunk_rows=chunk_rows)
+    alive = F.col("life").isNotNull() & (F.col("life.stopped").isNull() | (F.col("ts") <= F.col("life.stopped")))
+    return placed.filter(alive).select(*events.columns, "life.image", "life.root_key")
 
 
 def install_footprints(members: DataFrame, file_events: DataFrame, registry_events: DataFrame) -> DataFrame:
@@ -117,9 +109,9 @@ def install_footprints(members: DataFrame, file_events: DataFrame, registry_even
     named = registry_events.filter(
         F.contains(slashes(F.col("key_name")), F.lit(UNINSTALL_KEY)) & (F.col("value_name") == NAME_VALUE)
     )
-    inside = members.filter("root_key is not null")
     names = (
-        _during(named, inside)
+        _during(named, members)
+        .filter("root_key is not null")
         .groupBy("root_key")
         .agg(F.max_by("data", F.struct("ts", "data")).alias("display_name"))
     )
@@ -129,10 +121,8 @@ def install_footprints(members: DataFrame, file_events: DataFrame, registry_even
         F.coalesce("display_name", F.concat(F.lit("installer_"), F.col("root_pid").cast("string"))).alias("app_name"),
         F.col("closed_at").alias("install_time"),
     )
-    written = _during(
-        file_events.filter(F.col("event_id").isin(FILE_CREATE_EVENT, FILE_WRITE_EVENT)), inside
-    )
-    files = written.select("root_key", F.col("path").alias("file_path")).distinct()
+    touched = file_events.filter(F.col("event_id").isin(FILE_CREATE_EVENT, FILE_WRITE_EVENT))
+    files = _during(touched, members).filter("root_key is not null").select("root_key", F.col("path").alias("file_path")).distinct()
     return (
         files.join(apps, "root_key")
         .groupBy("app_name", "file_path")

@@ -56,7 +56,8 @@ class Ordered:
     """Rows of a table, to be looked back on along ``order`` within ``keys``.
 
     ``counted`` is where to look for hot keys when ``df`` itself is costly: any
-    table with the same keys and about as many rows for each.
+    table with the same keys and about as many rows for each. ``width`` is the
+    span of a chunk where ``order`` is sparse, as times are.
     """
 
     def __init__(
@@ -66,12 +67,13 @@ class Ordered:
         order: str,
         chunk_rows: int = CHUNK_ROWS,
         counted: DataFrame | None = None,
+        width: int | None = None,
     ):
         self.keys, self.order = list(keys), order
         hot = hot_keys(df if counted is None else counted, self.keys, chunk_rows)
         self.split = bool(hot)
         if hot:
-            position = F.floor(F.col(order) / chunk_rows).cast("long")
+            position = F.floor(F.col(order) / (width or chunk_rows)).cast("long")
             df = df.withColumn(_CHUNK, F.when(F.xxhash64(*self.keys).isin(hot), position))
         self.df = df
 
@@ -125,3 +127,35 @@ class Ordered:
             *[F.coalesce(F.col(n), F.col("_in_" + n)).alias(n) for n in last],
             *[(F.col(n) + F.coalesce(F.col("_in_" + n), F.lit(0))).alias(n) for n in total],
         )
+
+
+# Span of a chunk of times, in half microseconds: ten minutes.
+_TIME_WIDTH = 1_200_000_000
+
+
+def as_of(
+    left: DataFrame,
+    right: DataFrame,
+    left_on: tuple[str, str],
+    right_on: tuple[str, str],
+    name: str,
+    forward: bool = False,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Each row of ``left`` with the nearest row of ``right`` at or before its time.
+
+    ``left_on`` and ``right_on`` are (key, time). The found row is the struct
+    ``name``, NULL when there is none; ``forward`` looks for the nearest at or
+    after instead. Both sides are merged in time order, so no pairs arise however
+    often a key recurs.
+    """
+
+    def shaped(df: DataFrame, on: tuple[str, str], side: str, late: int) -> DataFrame:
+        micros = F.unix_micros(on[1]) * (-2 if forward else 2) + late
+        return df.select(F.col(on[0]).alias("_key"), micros.alias("_at"), F.struct(*df.columns).alias(side))
+
+    asking, offered = shaped(left, left_on, "_asking", 1), shaped(right, right_on, "_offered", 0)
+    both = asking.unionByName(offered, allowMissingColumns=True)
+    counted = both.select("_key")
+    rows = Ordered(both, ["_key"], "_at", chunk_rows, counted, _TIME_WIDTH).look_back(last={name: F.col("_offered")})
+    return rows.df.filter("_asking is not null").select("_asking.*", name)

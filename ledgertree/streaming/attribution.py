@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from ledgertree.operators import attribution as A
+from ledgertree.operators.ordered import as_of
 
 # One row per event; type is start, stop, file or registry.
 EVENTS = StructType(
@@ -20,11 +21,9 @@ EVENTS = StructType(
 def processes(events: DataFrame) -> DataFrame:
     """Start rows with the first stop of the pid at or after them."""
     starts = events.filter("type = 'start'").select("pid", "ppid", "image", F.col("ts").alias("started"))
-    stops = events.filter("type = 'stop'").select(F.col("pid").alias("p"), F.col("ts").alias("stop_ts"))
-    ended = starts.join(stops, (starts.pid == stops.p) & (stops.stop_ts >= starts.started), "left")
-    return ended.groupBy("pid", "started").agg(
-        F.first("ppid").alias("ppid"), F.first("image").alias("image"), F.min("stop_ts").alias("stopped")
-    ).select("pid", "ppid", "image", "started", "stopped")
+    stops = events.filter("type = 'stop'").select("pid", F.col("ts").alias("stopped"))
+    ended = as_of(starts, stops, ("pid", "started"), ("pid", "stopped"), "stop", forward=True)
+    return ended.select("pid", "ppid", "image", "started", F.col("stop.stopped").alias("stopped"))
 
 
 def file_events(events: DataFrame) -> DataFrame:
@@ -64,21 +63,18 @@ def attribution_stream(
             f"{sink}/runtime/batch={batch_id}"
         )
 
-        still = (
-            A.install_sessions(members).filter("closed_at is null").select("root_key")
+        still = A.install_sessions(members).filter("closed_at is null").select("root_key")
+        lasting = members.filter("stopped is null and root_key is null").unionByName(
+            members.join(still, "root_key", "left_semi").select(*members.columns)
         )
-        lasting = (
-            members.filter("stopped is null and root_key is null")
-            .unionByName(members.join(still, "root_key", "left_semi").select(*members.columns))
-            .select(F.col("pid").alias("live_pid"), "started", "stopped", "root_key")
+        lives = lasting.select("pid", "started", "stopped", "root_key")
+        placed = as_of(known, lives, ("pid", "ts"), ("pid", "started"), "life")
+        kept = placed.filter(
+            F.col("life").isNotNull()
+            & (F.col("life.stopped").isNull() | (F.col("ts") <= F.col("life.stopped")))
+            & (F.col("type").isin("start", "stop") | F.col("life.root_key").isNotNull())
         )
-        inside = (
-            (known.pid == lasting.live_pid)
-            & (known.ts >= lasting.started)
-            & (lasting.stopped.isNull() | (known.ts <= lasting.stopped))
-            & (known.type.isin("start", "stop") | lasting.root_key.isNotNull())
-        )
-        known.join(lasting, inside, "left_semi").write.mode("overwrite").parquet(f"{sink}/open/{batch_id}")
+        kept.select(*EVENTS.names).write.mode("overwrite").parquet(f"{sink}/open/{batch_id}")
 
     return (
         events.writeStream.foreachBatch(write)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgertree.functions import display as D
 from ledgertree.operators import adhoc, attribution as A, bounds as B, conversation as C, history, maintain as M
 from ledgertree.operators import snapshots as S
-from ledgertree.operators.ordered import Ordered, hot_keys
+from ledgertree.operators.ordered import Ordered, as_of, hot_keys
 from ledgertree.schema import PARENT_SNAPSHOTS, VOLUME_STATES
 from ledgertree.sources import journal, listing, tables
 
@@ -57,6 +57,23 @@ def test_look_back_splits_hot_keys(spark):
     assert {(r.k, r.o, r.v, r.p, r.n) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("forward", [False, True])
+@pytest.mark.parametrize("chunk_rows", [20, 4_000_000])
+def test_as_of(spark, forward, chunk_rows):
+    rng = random.Random(11)
+    left = [(i, rng.choice([1, 1, 1, 2]), at(rng.randint(0, 5000))) for i in range(300)]
+    right = [(k, at(t)) for k in (1, 2, 3) for t in rng.sample(range(5000), 60)]
+    got = as_of(
+        spark.createDataFrame(left, "i long, k long, t timestamp"), spark.createDataFrame(right, "k long, u timestamp"),
+        ("k", "t"), ("k", "u"), "near", forward, chunk_rows,
+    )
+    want = {}
+    for i, k, t in left:
+        fits = [u for kk, u in right if kk == k and (u >= t if forward else u <= t)]
+        want[i] = (min(fits) if forward else max(fits)) if fits else None
+    assert {r.i: r.near and r.near.u for r in got.collect()} == want
+
+
 def test_sequences_are_dense_across_spans(spark):
     rng = random.Random(1)
     rows = [("C:" if rng.random() < 0.8 else "D:", i) for i in rng.sample(range(10_000), 600)]
@@ -135,21 +152,22 @@ def _live_sessions(events):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_sessions_against_events_one_at_a_time(spark, seed):
     rng = random.Random(seed)
-    alive, procs, events, clock, next_pid = {}, {}, [], 0, 1
+    alive, procs, events, clock, serial = {}, {}, [], 0, 0
     for _ in range(500):
         clock += 1
         roll = rng.random()
         if roll < 0.25 or not alive:
-            pid, ppid = next_pid, rng.choice(list(alive) or [0])
-            next_pid += 1
+            # Pids come back once their process is gone.
+            pid = next((p for p in range(1, 40) if p not in alive))
+            ppid = rng.choice([p for p in alive if p != pid] or [0])
+            serial += 1
             name = rng.choice(["Setup.exe", "app.exe", "tool.exe", "explorer.exe", "updater.exe"])
-            procs[pid] = [pid, ppid, name, at(clock), None]
-            alive[pid] = True
+            procs[serial] = [pid, ppid, name, at(clock), None]
+            alive[pid] = serial
             events.append((at(clock), "start", pid, ppid, name, None, None, None))
         elif roll < 0.45:
             pid = rng.choice(list(alive))
-            del alive[pid]
-            procs[pid][4] = at(clock)
+            procs[alive.pop(pid)][4] = at(clock)
             events.append((at(clock), "stop", pid, None, None, None, None, None))
         elif roll < 0.55:
             events.append((at(clock), "registry", rng.choice(list(alive)), None, None, None, None, f"App{clock}"))
@@ -167,7 +185,7 @@ def test_sessions_against_events_one_at_a_time(spark, seed):
         [(e[0], e[2], "Software\\CurrentVersion\\Uninstall\\x", "DisplayName", e[7]) for e in events if e[1] == "registry"],
         "ts timestamp, pid long, key_name string, value_name string, data string",
     )
-    members = A.session_members(processes).cache()
+    members = A.session_members(processes, 20 if seed == 1 else 4_000_000).cache()
     got = {(r.app_name, r.file_path) for r in A.install_footprints(members, files, registry).collect()}
     assert got == want_install
     got = {(r.process_name, r.target_path): r.access_time for r in A.runtime_artifacts(members, files).collect()}

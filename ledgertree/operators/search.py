@@ -240,6 +240,56 @@ def search(
     return hits.orderBy(F.desc("score"), "name", "uid").limit(limit)
 
 
+# Folders the gram table is split into on disk.
+GRAM_BUCKETS = 256
+
+
+def _gram_bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_BUCKETS))
+
+
+def gram_table(docs: DataFrame) -> DataFrame:
+    """Every distinct 3-gram of every name: bucket, gram, volume, file_id.
+
+    Save it partitioned by bucket and sorted by gram; a search then reads a few
+    row groups instead of all names.
+    """
+    name = F.col("name_lower")
+    spots = F.sequence(F.lit(1), F.length(name) - 2)
+    grams = F.array_distinct(F.transform(spots, lambda i: F.substr(name, i, F.lit(3))))
+    rows = docs.filter(F.length(name) >= 3).select(F.explode(grams).alias("gram"), "volume", "file_id")
+    return rows.select(_gram_bucket(F.col("gram")).alias("bucket"), "gram", "volume", "file_id")
+
+
+def save_gram_table(docs: DataFrame, path: str) -> None:
+    """A common gram spreads over many files: the ids are part of the range too."""
+    order = ["bucket", "gram", "volume", "file_id"]
+    rows = gram_table(docs).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def search_grams(docs: DataFrame, grams: DataFrame, query: str) -> DataFrame:
+    """Every document of a substring search, found through the gram table.
+
+    A name that holds the text holds all its 3-grams; those names are then
+    compared in full. Texts under three characters scan the names.
+    """
+    text = query.strip().lower()
+    wanted = X.grams(text, 3, 3)
+    if not wanted:
+        return search(docs, query, limit=None)
+    spark = docs.sparkSession
+    one_row = spark.range(1).select(*[_gram_bucket(F.lit(g)) for g in wanted])
+    buckets = sorted(set(one_row.first()))
+    having = (
+        grams.filter(F.col("bucket").isin(buckets) & F.col("gram").isin(wanted))
+        .groupBy("volume", "file_id")
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") == len(wanted))
+    )
+    return search(docs.join(having, ["volume", "file_id"], "left_semi"), query, limit=None)
+
+
 def reconcile(hits: DataFrame, facts: DataFrame) -> DataFrame:
     """Drop hits whose file is gone from facts; hits without a key stay."""
     keyless = F.col("volume").isNull() | F.col("file_id").isNull()

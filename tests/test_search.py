@@ -65,3 +65,13 @@ def test_reconcile_keeps_rows_without_key(spark):
     hits = spark.createDataFrame([("C:", 1), ("C:", 2), (None, None)], "volume string, file_id long")
     facts = spark.createDataFrame([("C:", 1)], "volume string, file_id long")
     assert {tuple(r) for r in search.reconcile(hits, facts).collect()} == {("C:", 1), (None, None)}
+
+
+def test_gram_table_finds_what_a_scan_finds(spark, docs, tmp_path):
+    path = f"{tmp_path}/grams"
+    search.save_gram_table(docs, path)
+    grams = spark.read.parquet(path)
+    for query in ("important", "E.TXT", "c file", "rop", "me", "imptnt", "*"):
+        assert names(search.search_grams(docs, grams, query)) == names(search.search(docs, query, limit=None))
+    plan = search.search_grams(docs, grams, "proposal")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgertree.functions.display import displayable, human_delta, relative_age
 from ledgertree.functions.text import ascii_lower
+from ledgertree.operators import tree
 from ledgertree.operators.ordered import CHUNK_ROWS, Ordered, join_unique
 from ledgertree.schema import MODIFIED, RENAMED
 
@@ -48,6 +49,12 @@ def for_items(log: DataFrame, items: DataFrame, hot_rows: int = CHUNK_ROWS) -> D
     return own.unionByName(below)
 
 
+def for_path(log: DataFrame, facts: DataFrame, path: str) -> DataFrame:
+    """Log rows of the file or folder at a path, also a deleted one."""
+    volume, file_id = tree.resolve_path(path, facts, log)
+    return for_item(log, volume, file_id, is_directory(facts, log, volume, file_id))
+
+
 def item_keys(log: DataFrame) -> DataFrame:
     """Item keys of all log rows, to find hot ones in without the joins above."""
     own = log.select("volume", F.col("file_id").alias("item_id"))

@@ -212,6 +212,38 @@ def lookup_paths(
     return _lookup_deleted(live, facts, log, chain)
 
 
+def resolve_path(path: str, facts: DataFrame, log: DataFrame | None = None) -> tuple[str, int]:
+    """(volume, id) of a single path; LookupError when there is none.
+
+    Goes down from the root by literal predicates, one narrow scan per segment,
+    so no chains are needed unless the path has to be found in the log.
+    """
+    norm = path.replace("\\", "/")
+    if norm[1:2] != ":":
+        raise LookupError(f"no volume in path: {path}")
+    volume, names = norm[:2].upper(), [n for n in norm[2:].split("/") if n]
+    here = facts.filter(F.col("volume") == volume)
+    top = F.col("parent_file_id") == F.col("file_id")
+    named = F.col("name").isin(volume, volume.rstrip(":"))
+    row = here.filter(top | named).agg(
+        F.coalesce(F.min(F.when(top, F.col("file_id"))), F.min("file_id")).alias("id")
+    ).first()
+    at = row.id
+    for name in names:
+        if at is None:
+            break
+        child = (F.col("parent_file_id") == at) & (F.col("file_id") != at)
+        same = ascii_lower(F.col("name")) == ascii_lower(F.lit(name))
+        at = here.filter(child & same).agg(F.min("file_id").alias("id")).first().id
+    if at is None and log is not None and names:
+        asked = facts.sparkSession.createDataFrame([(path,)], "path string")
+        row = lookup_paths(asked, here, chains(directories(here)), log.filter(F.col("volume") == volume)).first()
+        at = row.file_id
+    if at is None:
+        raise LookupError(f"path not found: {path}")
+    return volume, at
+
+
 def known_chains(
     wanted: DataFrame, facts: DataFrame, log: DataFrame, chain: DataFrame | None = None
 ) -> DataFrame:

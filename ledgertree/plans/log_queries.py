@@ -28,9 +28,11 @@ def _busiest(fx: Fixtures, column: str):
 
 @query("history_file", f"select {LOG_TEXT} from logc semi join busy_file using (volume, file_id)")
 def history_file(fx: Fixtures):
+    """By the path of the file with most rows."""
     row = _busiest(fx, "file_id")
-    folder = history.is_directory(S.facts(fx), S.log(fx), row.volume, row.file_id)
-    return history.for_item(S.log(fx), row.volume, row.file_id, folder).select(*LOG_COLUMNS)
+    own = S.facts(fx).filter((F.col("volume") == row.volume) & (F.col("file_id") == row.file_id))
+    place = tree.with_path(own, S.chain(fx)).first()
+    return history.for_path(S.log(fx), S.facts(fx), f"{place.volume}/{place.path}").select(*LOG_COLUMNS)
 
 
 @query("history_directory", f"""

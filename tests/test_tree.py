@@ -6,7 +6,7 @@ import models
 import pytest
 from pyspark.sql import functions as F
 
-from ledgertree.operators import rank, tree
+from ledgertree.operators import history, rank, tree
 
 NODE_DDL = "volume string, file_id long, parent_file_id long, name string, is_directory boolean, size long"
 T = models.T0
@@ -117,6 +117,13 @@ def test_lookup_paths(spark):
     log = spark.createDataFrame(gone, models.LOG_DDL)
     asked = ["c:\\docs\\a.TXT", "C:/", "C:", "c:/Docs/", "C:/docs/tmp/OLD.txt", "c:/top.txt", "C:/nope", "nodrive"]
     paths = spark.createDataFrame([(p,) for p in asked], "path string")
+    for path, want in zip(asked, (3, 1, 1, 2, 7, 6)):
+        assert tree.resolve_path(path, facts, log) == ("C:", want)
+    for path in ("C:/nope", "nodrive"):
+        with pytest.raises(LookupError):
+            tree.resolve_path(path, facts, log)
+    assert {r.sequence for r in history.for_path(log, facts, "c:/DOCS").collect()} == {2}
+    assert {r.sequence for r in history.for_path(log, facts, "c:/docs/tmp/old.txt").collect()} == {3}
     chain = tree.chains(tree.directories(facts))
     got = {r.path: (r.file_id, r.found_in) for r in tree.lookup_paths(paths, facts, chain, log).collect()}
     assert got == {asked[0]: (3, "facts"), "C:/": (1, "facts"), "C:": (1, "facts"), "c:/Docs/": (2, "facts"),

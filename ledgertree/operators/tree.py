@@ -51,29 +51,33 @@ def chains(nodes: DataFrame) -> DataFrame:
 
 
 def _double(walk: DataFrame) -> DataFrame:
+    """Walks still under way, continued by the walk of the node they reached.
+
+    Finished rows keep their own id as join key, so they do not pile up on NULL.
+    """
     further = walk.select(
         F.col("volume").alias("v"),
         F.col("file_id").alias("f"),
         F.col("visited").alias("more"),
         F.col("next").alias("then"),
+        F.col("looped").alias("rings"),
     )
-    # Finished rows keep their own id as key, so that they do not pile up on NULL.
     on = (
         (F.col("volume") == F.col("v"))
         & (F.coalesce("next", "file_id") == F.col("f"))
         & F.col("next").isNotNull()
     )
-    joined = walk.join(further, on, "left").withColumn(
-        "all", F.when(F.col("more").isNull(), F.col("visited")).otherwise(F.concat("visited", "more"))
-    )
-    met = joined.withColumn("visited", F.array_distinct("all"))
-    again = F.size("visited") < F.size("all")
-    return met.select(
+    joined = walk.join(further, on, "left")
+    # After the first repeated node everything repeats, so the distinct ids are a prefix.
+    whole = joined.withColumn("all", F.when(F.col("more").isNotNull(), F.concat("visited", "more")))
+    kept = whole.withColumn("kept", F.size(F.array_distinct(F.transform("all", lambda a: a["id"]))))
+    again = F.col("all").isNotNull() & (F.col("kept") < F.size("all"))
+    return kept.select(
         "volume",
         "file_id",
-        "visited",
+        F.when(again, F.slice("all", F.lit(1), F.col("kept"))).otherwise(F.coalesce("all", "visited")).alias("visited"),
         F.when(~again, F.col("then")).alias("next"),
-        (F.col("looped") | again).alias("looped"),
+        (F.col("looped") | again | (F.coalesce("rings", F.lit(False)) & F.col("then").isNull())).alias("looped"),
     )
 
 

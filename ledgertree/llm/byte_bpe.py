@@ -11,6 +11,9 @@ often as they come; extra columns of the input are not read. An empty table stay
 
 The vocabulary is read on the driver, so its size (at most ``MAX_TOKENS``) bounds what is
 broadcast. Each Python worker keeps at most ``CACHE`` resolved pre-tokens.
+
+Letters and numbers are those of the Unicode version that the ``regex`` package knows;
+code points that another version does not assign yet may be cut differently there.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgertree.llm.arrays import U64, fingerprints, mix
 
 MAX_TOKENS = 4_000_000
-CACHE = 400_000
+CACHE = 1_000_000
 _PER_BUCKET = 4
 _STEP = U64(0x9E3779B97F4A7C15)
 #: White space as the pattern's engine defines it (fixed values).

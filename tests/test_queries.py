@@ -6,9 +6,10 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from ledgertree.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
+QUERIES, CHECKS = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")

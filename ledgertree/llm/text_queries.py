@@ -1,11 +1,11 @@
-"""Queries over whole texts: op10."""
+"""Queries over whole texts, one result row for each document: op2 and op10."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgertree.llm import byte_bpe
+from ledgertree.llm import byte_bpe, quality_rules
 from ledgertree.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -25,3 +25,9 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 @query("op10_byte_bpe")
 def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_rules")
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judged(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))

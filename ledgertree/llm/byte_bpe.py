@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgertree.llm.arrays import U64, fingerprints, mix
 
 MAX_TOKENS = 4_000_000
-CACHE = 1_000_000
+CACHE = 600_000
 _PER_BUCKET = 4
 _STEP = U64(0x9E3779B97F4A7C15)
 #: White space as the pattern's engine defines it (fixed values).

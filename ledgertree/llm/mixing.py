@@ -160,7 +160,8 @@ def taken_words(docs: DataFrame) -> DataFrame:
     table = materialize(sources(sizes), "sources")
     rows = materialize(placed(sizes, table), "places")
     times = slots(table).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    used = pieces(rows).join(times, ["sid", "block"])
+    # The planner takes the few sources for the size of all slots; never broadcast those.
+    used = pieces(rows).join(times.hint("merge"), ["sid", "block"])
     used = used.groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # A start is unique among the documents with words; the others take nothing.
     used = used.select(F.col("sid").alias("_sid"), F.col("start").alias("_start"), "taken")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,12 +14,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Spark hand this package's code to its Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in package.rglob("*.py"):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
+def shipped(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``build``, whose first argument is the session, with the code handed out before."""
+
+    @wraps(build)
+    def run(spark: SparkSession, *args):
+        ship(spark)
+        return build(spark, *args)
+
+    return run
+
+
 def query(key: str, check: str | None = None):
     def register(build: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[key] = build
+        QUERIES[key] = shipped(build)
         if check is not None:
             CHECKS[key] = check
-        return build
+        return QUERIES[key]
 
     return register
 

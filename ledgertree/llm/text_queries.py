@@ -1,11 +1,11 @@
-"""Queries over whole texts, one result row for each document: op2 and op10."""
+"""Queries over whole texts, one result row for each document: op2, op4 and op10."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgertree.llm import byte_bpe, quality_rules
+from ledgertree.llm import byte_bpe, language_id, quality_rules
 from ledgertree.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -31,3 +31,9 @@ def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judged(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_language_id")
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predicted(docs, language_id.train(docs))

@@ -333,21 +333,17 @@ def remaining(data: bytes, starts: np.ndarray, strings: np.ndarray, length: int
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` holds the bytes that stay."""
-    found = materialize(repeated_strings(docs), "repeats")
-    ranges = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "strings")).alias("ranges"))
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    # The smallest id of each text that comes more than once.
-    copies = (
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.sha2("text", 256).alias("_text"))
-        .groupBy("_text")
-        .agg(F.min("doc").alias("_least"), F.max("doc").alias("_most"))
-        .filter("_least < _most")
-        .select("_text", "_least")
-    )
-    rows = own.join(ranges, F.col("doc") == F.col("_doc"), "left").withColumn("_sha", F.sha2("text", 256))
-    rows = rows.join(copies, F.col("_sha") == F.col("_text"), "left").select(
-        "doc_id", "text", "ranges", F.coalesce(F.col("_least") < F.col("doc"), F.lit(False)).alias("copy")
+    # Later copies of a whole text are one run of repeats; found without moving the texts.
+    marks = own.filter(F.octet_length("text") >= LENGTH).select(
+        "doc", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size")
     )
+    least = marks.groupBy(F.col("sha").alias("_sha")).agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    copies = marks.join(least.filter("least < most"), (F.col("sha") == F.col("_sha")) & (F.col("doc") > F.col("least")))
+    whole = copies.select("doc", F.lit(0).cast("long").alias("start"), (F.col("size") - LENGTH + 1).alias("strings"))
+    found = materialize(repeated_strings(docs).unionByName(whole), "repeats")
+    ranges = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "strings")).alias("ranges"))
+    rows = own.join(ranges, F.col("doc") == F.col("_doc"), "left").select("doc_id", "text", "ranges")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,11 +351,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 out = []
-                for text, ranges, copy in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                for text, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     data = (text or "").encode()
-                    if copy and len(data) >= LENGTH:
-                        kept = (b"", len(data), 1)
-                    elif ranges:
+                    if ranges:
                         kept = remaining(
                             data, np.array([x["start"] for x in ranges]), np.array([x["strings"] for x in ranges])
                         )

@@ -105,7 +105,7 @@ def featured(tokens: Tokens, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def summed(owner: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
-    return np.column_stack([np.bincount(owner, rows[:, i], count) for i in range(rows.shape[1])])
+    return np.column_stack([np.bincount(owner, rows[:, i], count).astype(float) for i in range(rows.shape[1])])
 
 
 def marginals(

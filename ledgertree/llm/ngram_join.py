@@ -297,7 +297,9 @@ def classes(docs: DataFrame, leaf: int = LEAF_SETS) -> DataFrame:
     members = materialize(clusters.join(distinct, "set_id"), "members")
 
     wanted = members.select(F.col("rep").alias("_rep"), F.col("set_id").alias("_set"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_rep")).select("text", "_set")
+    # The members grow with the documents, so they are not to be broadcast at any size.
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("_rep"))
+    texts = texts.select("text", "_set")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -69,9 +69,9 @@ def rarity(docs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["at", "n"])
 
-    found = docs.select("text").mapInArrow(work, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select("text").mapInArrow(work, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, dtype=np.int32)
-    out[found["at"]] = np.minimum(found["n"], 2**31 - 1)
+    out[found["at"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
     return out
 
 

@@ -209,7 +209,7 @@ def similar(docs: DataFrame, lines: DataFrame) -> DataFrame:
         for batch in batches:
             for at, part in chunks(batch.column(0).to_pylist()):
                 lines = Lines(part)
-                order = np.lexsort((lines.token, lines.line))
+                token = lines.token[np.lexsort((lines.token, lines.line))].view(np.int64)
                 end = np.cumsum(lines.count)
                 places = {key: i for i, key in enumerate(zip(lines.doc.tolist(), lines.number.tolist(), strict=True))}
                 ids, sets = [], []
@@ -218,7 +218,8 @@ def similar(docs: DataFrame, lines: DataFrame) -> DataFrame:
                         i = places.get((doc, x["line_no"]))
                         if i is not None:
                             ids.append(x["set_id"])
-                            sets.append(np.unique(lines.token[order][end[i] - lines.count[i] : end[i]]).view(np.int64))
+                            own = token[end[i] - lines.count[i] : end[i]]
+                            sets.append(own[np.append(True, own[1:] != own[:-1])])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["_id", "tokens"]
                 )

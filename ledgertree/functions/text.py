@@ -47,14 +47,10 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"^.+\.([^.]*)$", 1))
 
 
-# Fixed value: tokens of this many bytes or more are not indexed.
-TOKEN_BYTES = 40
-
-
 def tokens(name: Column) -> Column:
-    """Lower-case runs of letters and digits."""
+    """Lower-case runs of letters and digits, however long."""
     parts = F.split(F.lower(name), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda t: (t != "") & (F.octet_length(t) < TOKEN_BYTES))
+    return F.filter(parts, lambda t: t != "")
 
 
 def grams(text: str, low: int = 3, high: int = 10) -> list[str]:

@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgertree.sources.tables import to_json_rows
 
+# Functions that call any Java method, and plan nodes that run a program or name a
+# relation that is known only later.
+_CALLS = re.compile(r"\b(reflect|try_reflect|java_method)\(", re.IGNORECASE)
+_NODES = ("ScriptTransformation", "UnresolvedIdentifier", "UnresolvedInlineTable [reflect")
+_REGISTERED: set[str] = set()
+
+
+class NotAllowed(ValueError):
+    """The statement does more than read the registered tables."""
+
 
 def register(tables: dict[str, DataFrame]) -> None:
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
+        _REGISTERED.add(name.lower())
 
 
 def read_only_sql(spark: SparkSession, text: str) -> DataFrame:
-    """Run one query; anything else fails to parse.
+    """Run one query over registered tables; anything else is refused.
 
-    The text is placed where only a query may stand, so commands, writes and a
-    second statement are refused by Spark's own parser.
+    The text is placed where only a query may stand, so commands, writes and a second
+    statement fail in Spark's own parser. In the parsed plan, subqueries included, every
+    relation must be a registered table or a name that the query itself defines; files
+    by path, reflection and scripts are refused.
     """
-    return spark.sql(f"select * from (\n{text.strip().rstrip(';')}\n)")
+    whole = f"select * from (\n{text.strip().rstrip(';')}\n)"
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(whole).toString()
+    if (call := _CALLS.search(plan)) or any(node in plan for node in _NODES):
+        raise NotAllowed(f"not read-only: {call[1] if call else 'script or late name'}")
+    own = {name.lower() for name in re.findall(r"SubqueryAlias `?(\w+)`?", plan)}
+    for found in re.findall(r"UnresolvedRelation \[(.*?)\](?:, \[|\n|$)", plan):
+        if found.lower() not in _REGISTERED | own:
+            raise NotAllowed(f"not a registered table: {found}")
+    return spark.sql(whole)
 
 
 def read_only_json(spark: SparkSession, text: str) -> DataFrame:

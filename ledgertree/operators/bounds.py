@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Up to this many volumes the window is a literal predicate, which reaches the
-# partition pruning and the row-group statistics of the scan.
+# partition pruning and the row-group statistics of the scan; more are joined. Both
+# give the same rows: a row without volume is in no window and has no cursor.
 LITERAL_VOLUMES = 64
-# Up to this many rows a volume table is broadcast; beyond it is an ordinary join.
-BROADCAST_VOLUMES = 100_000
 
 
 class InsufficientHistory(ValueError):
@@ -56,12 +55,11 @@ class Windows:
 
     def __init__(self, table: DataFrame):
         self.table = table.select("volume", "start_seq", "end_seq")
-        rows = self.table.limit(BROADCAST_VOLUMES + 1).collect()
-        self.rows = rows if len(rows) <= BROADCAST_VOLUMES else None
+        self.rows = few(self.table)
 
     @property
     def literal(self) -> bool:
-        return self.rows is not None and len(self.rows) <= LITERAL_VOLUMES
+        return self.rows is not None
 
     def for_volume(self, volume: str) -> "Windows":
         narrowed = object.__new__(Windows)
@@ -76,6 +74,18 @@ class Windows:
         return F.broadcast(self.table.sparkSession.createDataFrame(self.rows, self.table.schema))
 
 
+def few(table: DataFrame) -> list | None:
+    """All rows of a table of volumes, or None if they are more than LITERAL_VOLUMES."""
+    rows = table.limit(LITERAL_VOLUMES + 1).collect()
+    return rows if len(rows) <= LITERAL_VOLUMES else None
+
+
+def listed(rows: list) -> Column:
+    """Whether the volume is one of those of ``rows``; never NULL."""
+    names = [r.volume for r in rows if r.volume is not None]
+    return F.coalesce(F.col("volume").isin(names), F.lit(False))
+
+
 def windows(bounds: "DataFrame | Windows") -> Windows:
     return bounds if isinstance(bounds, Windows) else Windows(bounds)
 
@@ -96,11 +106,9 @@ def _keep(log: DataFrame, bounds: "DataFrame | Windows", test) -> DataFrame:
 
 def drop_volumes(df: DataFrame, volumes: DataFrame) -> DataFrame:
     """Rows of ``df`` whose volume is not listed."""
-    rows = volumes.select("volume").limit(BROADCAST_VOLUMES + 1).collect()
-    if len(rows) <= LITERAL_VOLUMES:
-        return df.filter(~F.col("volume").isin([r.volume for r in rows]))
-    if len(rows) <= BROADCAST_VOLUMES:
-        volumes = F.broadcast(df.sparkSession.createDataFrame(rows, "volume string"))
+    rows = few(volumes.select("volume").distinct())
+    if rows is not None:
+        return df.filter(~listed(rows))
     return df.join(volumes.select("volume"), "volume", "left_anti")
 
 
@@ -116,15 +124,13 @@ def before_window(log: DataFrame, bounds: "DataFrame | Windows") -> DataFrame:
 
 def after_cursor(log: DataFrame, cursors: DataFrame) -> DataFrame:
     """Log rows a replay has not consumed; a volume without cursor is read whole."""
-    rows = cursors.select("volume", "last_sequence").limit(BROADCAST_VOLUMES + 1).collect()
-    if len(rows) <= LITERAL_VOLUMES:
-        condition = ~F.col("volume").isin([r.volume for r in rows])
+    table = cursors.select("volume", "last_sequence").filter("volume is not null and last_sequence is not null")
+    rows = few(table)
+    if rows is not None:
+        condition = ~listed(rows)
         for r in rows:
             condition = condition | ((F.col("volume") == r.volume) & (F.col("sequence") > r.last_sequence))
         return log.filter(condition)
-    table = cursors.select("volume", "last_sequence")
-    if len(rows) <= BROADCAST_VOLUMES:
-        table = F.broadcast(log.sparkSession.createDataFrame(rows, table.schema))
     return (
         log.join(table, "volume", "left")
         .filter("last_sequence is null or sequence > last_sequence")

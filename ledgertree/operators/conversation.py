@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgertree.operators.ordered import CHUNK_ROWS, Ordered
+from ledgertree.session import materialize
 
 # When a question is shortened, to what length, and the round limit.
 QUESTION_MAX, QUESTION_CUT, MAX_ROUNDS = 60, 57, 12
@@ -84,7 +85,7 @@ def reduce_scalars(writes: DataFrame, rules: dict[str, str]) -> DataFrame:
     """
     rule = _rule(rules)
     sums = writes.groupBy(*_CHANNEL).agg(
-        F.max_by("value", "step").alias("last"), F.sum("value").alias("sum"), F.max("value").alias("max"),
+        F.max_by("value", F.struct("step", *_ties(writes))).alias("last"), F.sum("value").alias("sum"), F.max("value").alias("max"),
         F.min("value").alias("min"), F.max("step").alias("step"),
     )
     now = sums.groupBy("thread_id").agg(F.max("step").alias("now"))
@@ -100,6 +101,11 @@ def reduce_scalars(writes: DataFrame, rules: dict[str, str]) -> DataFrame:
     )
 
 
+def _ties(writes: DataFrame) -> list[str]:
+    """What orders the writes of one step: their ``write`` number, where they carry one."""
+    return ["write"] if "write" in writes.columns else []
+
+
 def _rule(rules: dict[str, str]):
     out = F.lit("last")
     for channel, name in rules.items():
@@ -109,30 +115,37 @@ def _rule(rules: dict[str, str]):
 
 def _numbered(df: DataFrame, keys: list[str], order: str, chunk_rows: int) -> DataFrame:
     """Add ``position``, counting from 1 in order."""
-    counted = Ordered(df, keys, order, chunk_rows).look_back(total={"before": F.lit(1)})
+    counted = Ordered(df, keys, order, chunk_rows, ties=_ties(df)).look_back(total={"before": F.lit(1)})
     return counted.df.select(*df.columns, (F.col("before") + 1).cast("long").alias("position"))
 
 
 def reduce_appends(writes: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Appended list of each channel, one row per element with its position."""
-    rows = writes.select(*_CHANNEL, "step", "value")
+    """Appended list of each channel, one row per element with its position.
+
+    Several writes of one step need their number within the step as ``write``.
+    """
+    rows = writes.select(*_CHANNEL, "step", *_ties(writes), "value")
     return _numbered(rows, _CHANNEL, "step", chunk_rows).select(*_CHANNEL, "position", "value")
 
 
 def reduce_unions(writes: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Distinct values of each channel in order of first write, one row each."""
-    first = writes.groupBy(*_CHANNEL, "value").agg(F.min("step").alias("step"))
+    order = ["step", *_ties(writes)]
+    first = writes.groupBy(*_CHANNEL, "value").agg(F.min(F.struct(*order)).alias("at"))
+    first = materialize(first.select(*_CHANNEL, "value", *[f"at.{c}" for c in order]), "first-writes")
     return _numbered(first, _CHANNEL, "step", chunk_rows).select(*_CHANNEL, "position", "value")
 
 
 def reduce_maps(writes: DataFrame) -> DataFrame:
     """Overlaid map of each channel: latest value per key; writes carry ``key``."""
-    return writes.groupBy(*_CHANNEL, "key").agg(F.max_by("value", "step").alias("value"))
+    return writes.groupBy(*_CHANNEL, "key").agg(
+        F.max_by("value", F.struct("step", *_ties(writes))).alias("value")
+    )
 
 
 def channel_versions(writes: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Each write with the version it gave its channel: the writes so far."""
-    rows = writes.select(*_CHANNEL, "step")
+    rows = writes.select(*_CHANNEL, "step", *_ties(writes))
     return _numbered(rows, _CHANNEL, "step", chunk_rows).withColumnRenamed("position", "version")
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgertree.functions.display import duration_problem, duration_seconds
 from ledgertree.operators import bounds as B
 from ledgertree.operators import tree
 from ledgertree.schema import LIVE
+from ledgertree.session import materialize
 
 # How often pruning is due, and what a skipped run reports.
 PRUNE_EVERY = timedelta(hours=24)
@@ -23,29 +26,52 @@ def _ready() -> Column:
 def retention_prune(
     log: DataFrame, states: DataFrame, retention: timedelta, now: datetime
 ) -> tuple[DataFrame, DataFrame]:
-    """The log without expired rows of live volumes, and one run row per volume."""
+    """The log without expired rows of live volumes, and one run row per volume.
+
+    A row without time has not expired, and one without volume belongs to no live
+    volume; both stay. The runs say what the prune will have done once its result
+    is written; see :func:`prune_runs`.
+    """
     cutoff = now - retention
-    expired = F.col("at") < F.lit(cutoff)
-    busy = states.filter(~_ready()).select("volume")
-    kept = log.filter(~expired).unionByName(_of_volumes(log.filter(expired), busy, states))
-    counts = log.filter(expired).groupBy("volume").agg(F.count("*").alias("n"))
+    ready = states.filter(_ready()).select("volume").distinct()
+    rows = B.few(ready)
+    if rows is None:
+        marked = log.join(ready.withColumn("_live", F.lit(True)), "volume", "left")
+        live = F.col("_live")
+    else:
+        marked, live = log, B.listed(rows)
+    gone = F.coalesce((F.col("at") < F.lit(cutoff)) & live, F.lit(False))
+    kept = marked.filter(~gone).select(*log.columns)
+    counts = marked.filter(gone).groupBy("volume").agg(F.count("*").alias("n"))
+    return kept, prune_runs(states, counts, cutoff, now)
+
+
+def prune_runs(
+    states: DataFrame, counts: DataFrame, cutoff: datetime, now: datetime, failure: str | None = None
+) -> DataFrame:
+    """Run rows of a prune that removed ``counts`` (volume, n); with ``failure`` the live volumes' runs failed."""
     stamp = cutoff.strftime("%Y-%m-%dT%H:%M:%S+00:00")
-    runs = states.join(counts, "volume", "left").select(
+    done = F.concat(F.lit("Deleted "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(f" rows older than {stamp}"))
+    return states.join(counts, "volume", "left").select(
         "volume",
         F.lit(now).alias("run_at"),
-        F.when(_ready(), F.lit("SUCCESS")).otherwise(F.lit("SKIPPED")).alias("status"),
-        F.when(
-            _ready(),
-            F.concat(F.lit("Deleted "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(f" rows older than {stamp}")),
-        ).otherwise(F.lit(SKIPPED_TEXT)).alias("details"),
+        F.when(_ready(), F.lit("SUCCESS" if failure is None else "FAILED")).otherwise(F.lit("SKIPPED")).alias("status"),
+        F.when(_ready(), done if failure is None else F.lit(failure)).otherwise(F.lit(SKIPPED_TEXT)).alias("details"),
     )
-    return kept, runs
 
 
-def _of_volumes(df: DataFrame, busy: DataFrame, states: DataFrame) -> DataFrame:
-    """Rows of busy volumes and of volumes without a state; those are not pruned."""
-    ready = states.join(busy, "volume", "left_anti").select("volume")
-    return B.drop_volumes(df, ready)
+def prune(
+    log: DataFrame, states: DataFrame, retention: timedelta, now: datetime, write: Callable[[DataFrame], object]
+) -> DataFrame:
+    """Prune and write; the run rows are SUCCESS only if ``write`` returned."""
+    kept, runs = retention_prune(log, states, retention, now)
+    runs = materialize(runs, "prune-runs")
+    try:
+        write(kept)
+    except PySparkException as error:
+        nothing = states.select("volume", F.lit(0).alias("n"))
+        return prune_runs(states, nothing, now - retention, now, f"Prune failed: {type(error).__name__}")
+    return runs
 
 
 def prune_due(runs: DataFrame, now: datetime) -> DataFrame:
@@ -108,11 +134,9 @@ def incomplete_volumes(states: DataFrame) -> DataFrame:
 def with_incomplete(df: DataFrame, states: DataFrame) -> DataFrame:
     """Mark result rows of volumes that are not live."""
     late = incomplete_volumes(states).select("volume")
-    rows = late.limit(B.BROADCAST_VOLUMES + 1).collect()
-    if len(rows) <= B.LITERAL_VOLUMES:
-        return df.withColumn("volume_incomplete", F.col("volume").isin([r.volume for r in rows]))
-    if len(rows) <= B.BROADCAST_VOLUMES:
-        late = F.broadcast(df.sparkSession.createDataFrame(rows, late.schema))
+    rows = B.few(late)
+    if rows is not None:
+        return df.withColumn("volume_incomplete", B.listed(rows))
     marked = df.join(late.withColumn("volume_incomplete", F.lit(True)), "volume", "left")
     return marked.withColumn("volume_incomplete", F.coalesce("volume_incomplete", F.lit(False)))
 

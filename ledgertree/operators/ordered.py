@@ -1,10 +1,11 @@
 """Look-back along an ordered key that stays parallel when one key is huge.
 
 A window partitioned by key hands each key to one task. Keys that hold more than
-``CHUNK_ROWS`` rows are therefore found first and cut into chunks of the ordering
-column. Each chunk is a window of its own; what it needs from earlier chunks
-comes from one summary row per chunk. The ordering column must be unique within
-a key, so no chunk can exceed the number of order values it spans.
+``CHUNK_ROWS`` rows are therefore counted first and cut into chunks along the
+ordering column, at quantiles of the key's own rows, so a chunk has about
+``CHUNK_ROWS`` rows however dense or sparse the order is. Each chunk is a window of
+its own; what it needs from earlier chunks comes from one summary row per chunk.
+The ordering column, with ``ties``, must be unique within a key.
 """
 
 from __future__ import annotations
@@ -13,26 +14,21 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgertree.session import materialize
+
 CHUNK_ROWS = 4_000_000
-# The sketch below reports at most this many keys.
-HOT_KEYS = 10_000
-SKETCH_ITEMS = 100_000
 
 _CHUNK = "_chunk"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], over: int) -> list[int]:
-    """Hashes of the keys with more than ``over`` rows, at most HOT_KEYS of them.
+def hot_keys(df: DataFrame, keys: Sequence[str], over: int) -> DataFrame | None:
+    """(*keys, n) of all keys with more than ``over`` rows, or None if there are none.
 
-    A frequent-items sketch never under-counts a key it reports, and reports
-    every key above about 3.5 / SKETCH_ITEMS of the rows. It merges like any
-    aggregate: one pass over the key columns alone, one small row per task.
+    Exact: counts combine on the map side, and the hot keys are kept as a table.
     """
-    top = df.select(F.xxhash64(*keys).alias("k")).agg(
-        F.expr(f"approx_top_k(k, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top")
-    )
-    rows = top.select(F.explode("top").alias("t")).filter(F.col("t.count") > over).select("t.item").collect()
-    return [r.item for r in rows]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > over)
+    hot = materialize(counts, "hot-keys")
+    return None if hot.isEmpty() else hot
 
 
 def join_unique(
@@ -41,23 +37,29 @@ def join_unique(
     """Join with a side that is unique by ``keys`` and whose result is grouped by them next.
 
     There the adaptive skew join does not split a hot key, since that would cost
-    another shuffle. The hot keys are few, and so are their rows on the unique
-    side: those are broadcast, and the rest is joined as usual.
+    another shuffle. Rows of hot keys are joined apart from the rest, spread by a
+    salt for which the unique side, which has one row for each, is repeated.
     """
     hot = hot_keys(left, keys, over)
-    if not hot:
+    if hot is None:
         return left.join(right, list(keys), how)
-    busy = F.xxhash64(*keys).isin(hot)
-    calm = left.filter(~busy).join(right, list(keys), how)
-    return calm.unionByName(left.filter(busy).join(F.broadcast(right.filter(busy)), list(keys), how))
+    keys = list(keys)
+    salts = (F.floor(F.col("n") / over) + 1).cast("int")
+    calm = left.join(hot, keys, "left_anti").join(right, keys, how)
+    # A random salt decides only where a row is joined, never what it meets.
+    busy = left.join(hot.select(*keys, salts.alias("_salts")), keys)
+    busy = busy.withColumn("_salt", F.floor(F.rand(7) * F.col("_salts")).cast("int")).drop("_salts")
+    wide = right.join(hot.select(*keys, salts.alias("_salts")), keys)
+    wide = wide.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return calm.unionByName(busy.join(wide, [*keys, "_salt"], how).drop("_salt"))
 
 
 class Ordered:
     """Rows of a table, to be looked back on along ``order`` within ``keys``.
 
     ``counted`` is where to look for hot keys when ``df`` itself is costly: any
-    table with the same keys and about as many rows for each. ``width`` is the
-    span of a chunk where ``order`` is sparse, as times are.
+    table with the same keys, the same ``order`` column if it has one, and about as
+    many rows for each. ``ties`` order the rows of one ``order`` value.
     """
 
     def __init__(
@@ -67,20 +69,35 @@ class Ordered:
         order: str,
         chunk_rows: int = CHUNK_ROWS,
         counted: DataFrame | None = None,
-        width: int | None = None,
+        ties: Sequence[str] = (),
     ):
-        self.keys, self.order = list(keys), order
-        hot = hot_keys(df if counted is None else counted, self.keys, chunk_rows)
-        self.split = bool(hot)
-        if hot:
-            position = F.floor(F.col(order) / (width or chunk_rows)).cast("long")
-            df = df.withColumn(_CHUNK, F.when(F.xxhash64(*self.keys).isin(hot), position))
+        self.keys, self.order, self.ties = list(keys), order, list(ties)
+        counted = df if counted is None else counted
+        hot = hot_keys(counted, self.keys, chunk_rows)
+        self.split = hot is not None
+        if hot is not None:
+            df = self._chunked(df, hot, counted if order in counted.columns else df, chunk_rows)
         self.df = df
 
+    def _chunked(self, df: DataFrame, hot: DataFrame, counted: DataFrame, chunk_rows: int) -> DataFrame:
+        """``df`` with the chunk of each row of a hot key, NULL for the others."""
+        most = hot.agg(F.max("n")).first()[0]
+        pieces = max(2, -(-most // chunk_rows))
+        at = [i / pieces for i in range(1, pieces)]
+        cuts = (
+            counted.join(hot.select(*self.keys), self.keys, "left_semi")
+            .groupBy(*self.keys)
+            .agg(F.percentile_approx(self.order, at, 20 * pieces).alias("_cuts"))
+        )
+        cuts = materialize(cuts, "hot-cuts")
+        chunk = F.size(F.filter("_cuts", lambda c: c < F.col(self.order))).cast("long")
+        marked = df.join(cuts, self.keys, "left")
+        return marked.withColumn(_CHUNK, F.when(F.col("_cuts").isNotNull(), chunk)).drop("_cuts")
+
     def then(self, change: Callable[[DataFrame], DataFrame]) -> "Ordered":
         """The same rows after a row-wise change; it must keep all columns."""
         out = object.__new__(Ordered)
-        out.keys, out.order, out.split = self.keys, self.order, self.split
+        out.keys, out.order, out.ties, out.split = self.keys, self.order, self.ties, self.split
         out.df = change(self.df)
         return out
 
@@ -96,7 +113,7 @@ class Ordered:
         return self.then(lambda df: self._across(df, last, total) if self.split else self._within(df, self.keys, last, total))
 
     def _within(self, df: DataFrame, by: list[str], last: dict, total: dict) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(self.order).rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy(*by).orderBy(self.order, *self.ties).rowsBetween(Window.unboundedPreceding, -1)
         return df.select(
             "*",
             *[F.last(expr, ignorenulls=True).over(w).alias(name) for name, expr in last.items()],
@@ -104,7 +121,7 @@ class Ordered:
         )
 
     def _across(self, df: DataFrame, last: dict, total: dict) -> DataFrame:
-        keys, order = self.keys, F.col(self.order)
+        keys, order = self.keys, F.struct(self.order, *self.ties)
         near = self._within(df, [*keys, _CHUNK], last, total)
         # One row per chunk of a hot key.
         chunks = (
@@ -129,22 +146,19 @@ class Ordered:
         )
 
 
-# Span of a chunk of times, in half microseconds: ten minutes.
-_TIME_WIDTH = 1_200_000_000
-
-
 def as_of(
     left: DataFrame,
     right: DataFrame,
-    left_on: tuple[str, str],
-    right_on: tuple[str, str],
+    left_on: tuple[str | Sequence[str], str],
+    right_on: tuple[str | Sequence[str], str],
     name: str,
     forward: bool = False,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Each row of ``left`` with the nearest row of ``right`` at or before its time.
 
-    ``left_on`` and ``right_on`` are (key, time). The found row is the struct
+    ``left_on`` and ``right_on`` are (key, time), or (several keys, time) where one
+    column does not identify the thing, as a process id on several machines. The found row is the struct
     ``name``, NULL when there is none; ``forward`` looks for the nearest at or
     after instead. Both sides are merged in time order, so no pairs arise however
     often a key recurs.
@@ -152,10 +166,12 @@ def as_of(
 
     def shaped(df: DataFrame, on: tuple[str, str], side: str, late: int) -> DataFrame:
         micros = F.unix_micros(on[1]) * (-2 if forward else 2) + late
-        return df.select(F.col(on[0]).alias("_key"), micros.alias("_at"), F.struct(*df.columns).alias(side))
+        parts = [on[0]] if isinstance(on[0], str) else list(on[0])
+        key = F.struct(*[F.col(p).alias(f"k{i}") for i, p in enumerate(parts)])
+        return df.select(key.alias("_key"), micros.alias("_at"), F.struct(*df.columns).alias(side))
 
     asking, offered = shaped(left, left_on, "_asking", 1), shaped(right, right_on, "_offered", 0)
     both = asking.unionByName(offered, allowMissingColumns=True)
-    counted = both.select("_key")
-    rows = Ordered(both, ["_key"], "_at", chunk_rows, counted, _TIME_WIDTH).look_back(last={name: F.col("_offered")})
+    counted = both.select("_key", "_at")
+    rows = Ordered(both, ["_key"], "_at", chunk_rows, counted).look_back(last={name: F.col("_offered")})
     return rows.df.filter("_asking is not null").select("_asking.*", name)

@@ -102,10 +102,12 @@ def change_nodes(facts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def change_chains(facts: DataFrame, items: DataFrame, chain: DataFrame | None = None) -> DataFrame:
-    """Chains over those; ``chain``, that of ``facts``, serves while no folder changed."""
-    if chain is not None and items.filter("is_directory").isEmpty():
-        return chain
-    return tree.chains(change_nodes(facts, items))
+    """Chains over those; of ``chain``, that of ``facts``, all that lead past no changed folder serve."""
+    nodes = change_nodes(facts, items)
+    if chain is None:
+        return tree.chains(nodes)
+    moved = items.filter("is_directory").select("volume", "file_id")
+    return chain if moved.isEmpty() else tree.rechain(chain, nodes, moved)
 
 
 def folders_by_change(items: DataFrame, chain: DataFrame, churn: bool = False) -> DataFrame:
@@ -169,16 +171,16 @@ def page(ranked: DataFrame, limit: int = DEFAULT_LIMIT, cursor: str | None = Non
     return ranked.orderBy(F.desc("value"), "name", F.desc("file_id"), "volume").limit(limit)
 
 
-# Up to this many rows, a page's folders are looked up level by level.
-CLIMB_ROWS = 1_000
-
-
 def with_parent_path(ranked: DataFrame, chain: DataFrame) -> DataFrame:
-    """Add ``path``: the folders above the item, below the volume."""
-    paths = tree.directory_paths(chain)
-    joined = ranked.withColumn("_dir", F.coalesce("parent_file_id", "file_id")).join(
-        paths.withColumnRenamed("file_id", "_dir"), ["volume", "_dir"], "left"
-    )
+    """Add ``path``: the folders above the item, below the volume.
+
+    Only the chains of the page's own folders are made into paths; the page is the
+    side that may be broadcast.
+    """
+    placed = ranked.withColumn("_dir", F.coalesce("parent_file_id", "file_id"))
+    wanted = placed.select("volume", F.col("_dir").alias("file_id")).distinct()
+    paths = tree.directory_paths(chain.join(wanted, ["volume", "file_id"]))
+    joined = placed.join(paths.withColumnRenamed("file_id", "_dir"), ["volume", "_dir"], "left")
     whole = F.coalesce("dir_path", F.lit(""))
     above = F.when(
         F.col("parent_file_id").isNull(),
@@ -187,40 +189,6 @@ def with_parent_path(ranked: DataFrame, chain: DataFrame) -> DataFrame:
     return joined.select(*ranked.columns, above.alias("path"))
 
 
-def page_with_paths(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The same for one page of files, without chains of all folders.
-
-    Only the page's own folders are fetched, one level of the tree per lookup
-    and each by literal ids, which the scan can skip row groups on.
-    """
-    page_rows = rows.collect()
-    known: dict[tuple[str, int], tuple[int, str]] = {}
-    wanted = {(r.volume, r.parent_file_id) for r in page_rows}
-    while wanted:
-        ids = sorted({f for _, f in wanted})
-        level = nodes.filter(F.col("volume").isin(sorted({v for v, _ in wanted})) & F.col("file_id").isin(ids)).collect()
-        found = {(r.volume, r.file_id): (r.parent_file_id, r.name) for r in level}
-        known.update({key: found[key] for key in wanted if key in found})
-        wanted = {(v, known[v, f][0]) for v, f in wanted if (v, f) in known} - set(known)
-
-    def path(volume: str, folder: int) -> str:
-        names, seen = [], set()
-        while (volume, folder) in known and folder not in seen:
-            parent, name = known[volume, folder]
-            if name in ("", volume):
-                break
-            seen.add(folder)
-            names.append(name)
-            if parent in (folder, 0):
-                break
-            folder = parent
-        return "/".join(reversed(names))
-
-    schema = rows.schema.add("path", "string")
-    out = [(*r, path(r.volume, r.parent_file_id)) for r in page_rows]
-    return rows.sparkSession.createDataFrame(out, schema)
-
-
 def top(
     facts: DataFrame,
     log: DataFrame | None = None,
@@ -233,6 +201,7 @@ def top(
     since: datetime | None = None,
     between: tuple[str, str] | None = None,
     within: tuple[str, int] | None = None,
+    below_roots: bool = False,
     limit: int = DEFAULT_LIMIT,
     cursor: str | None = None,
     now: datetime | None = None,
@@ -240,7 +209,9 @@ def top(
 ) -> DataFrame:
     """One ranking, as a page with paths.
 
-    ``within`` is the (volume, folder id) to look below. With ``since`` or
+    ``within`` is the (volume, folder id) to look below; ``below_roots`` looks below
+    the top folder of every volume, so that folders rank beside those of other
+    volumes instead of vanishing under their root. With ``since`` or
     ``between`` (two snapshot ids) the ranking is by change, of folders unless
     ``files`` is set; otherwise it is by current size, of files unless
     ``folders`` is set. ``chain`` saves computing the folder chains of ``facts`` when
@@ -268,25 +239,23 @@ def top(
             window = B.windows(B.bounds_between(volume_snapshots, *between))
             B.check_window(log, window)
         items = materialize(changed_items(B.in_window(log, window)), "items")
-    if by_folder or within is not None or limit > CLIMB_ROWS:
-        if interval:
-            chain = change_chains(facts, items, chain)
-        elif chain is None:
-            chain = tree.chains(tree.directories(facts))
-    else:
-        chain = None
+    if interval:
+        chain = change_chains(facts, items, chain)
+    elif chain is None:
+        chain = tree.chains(tree.directories(facts))
     if interval:
         ranked = folders_by_change(items, chain, churn) if by_folder else files_by_change(items, churn)
     else:
         ranked = folders_by_size(facts, chain) if by_folder else files_by_size(facts)
     if within is not None:
         ranked = inside(ranked, chain, *within) if by_folder else tree.subtree(ranked, chain, *within)
+    if below_roots and by_folder:
+        roots = chain.filter(F.col("visited")[0]["top"]).select("volume", "file_id")
+        ranked = ranked.join(roots, ["volume", "file_id"], "left_anti")
     if by_folder:
         ranked = suppress_nested(ranked, chain)
     shown = page(ranked, limit, cursor)
-    if chain is not None:
-        return with_parent_path(shown, chain)
-    return page_with_paths(shown, change_nodes(facts, items) if interval else tree.directories(facts))
+    return with_parent_path(shown, chain)
 
 
 def ranking_report(

@@ -29,10 +29,15 @@ def chains(nodes: DataFrame) -> DataFrame:
     unique by (volume, file_id); one side of the join is therefore unique, and a
     directory with very many children is split by the adaptive skew join.
     """
+    return _finished(_walks(nodes))
+
+
+def _walks(nodes: DataFrame) -> DataFrame:
+    """Walks of one node each."""
     top = (F.col("parent_file_id") == F.col("file_id")) | (
         (F.col("name") == F.col("volume")) | (F.concat("name", F.lit(":")) == F.col("volume"))
     )
-    walk = nodes.select(
+    return nodes.select(
         "volume",
         "file_id",
         F.array(F.struct(F.col("file_id").alias("id"), "name", top.alias("top"))).alias("visited"),
@@ -42,6 +47,9 @@ def chains(nodes: DataFrame) -> DataFrame:
         ).alias("next"),
         F.lit(False).alias("looped"),
     )
+
+
+def _finished(walk: DataFrame) -> DataFrame:
     while True:
         for _ in range(DOUBLINGS):
             walk = _double(walk)
@@ -50,6 +58,41 @@ def chains(nodes: DataFrame) -> DataFrame:
             return walk.drop("next")
 
 
+def below(chain: DataFrame, folders: DataFrame) -> DataFrame:
+    """(volume, file_id) of the chains that lead past one of ``folders``, itself included."""
+    keys = ["volume", "file_id"]
+    steps = chain.select("volume", F.col("file_id").alias("_at"), F.explode("visited.id").alias("file_id"))
+    return steps.join(folders.select(*keys).distinct(), keys, "left_semi").select(
+        "volume", F.col("_at").alias("file_id")
+    ).distinct()
+
+
+def rechain(chain: DataFrame, nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """Chains of ``nodes``, given those from before the folders in ``changed`` did change.
+
+    Only chains that led past a changed folder, and those of new folders, are walked
+    anew; they end in the others, which are complete, so the rounds are as many as the
+    depth of the changed part takes.
+    """
+    keys = ["volume", "file_id"]
+    stale = materialize(below(chain, changed).unionByName(changed.select(*keys)).distinct(), "stale")
+    kept = chain.join(stale, keys, "left_anti")
+    # Parents that were missing may be there now: chains that ended at one are walked anew too.
+    redone = _walks(nodes.join(stale, keys, "left_semi"))
+    upper = kept.select(
+        F.col("volume").alias("v"), F.col("file_id").alias("f"), F.col("visited").alias("more"),
+        F.col("looped").alias("rings"),
+    )
+    joined = redone.join(upper, (F.col("volume") == F.col("v")) & (F.col("next") == F.col("f")), "left")
+    ended = joined.select(
+        *keys,
+        F.when(F.col("more").isNotNull(), F.concat("visited", "more")).otherwise(F.col("visited")).alias("visited"),
+        F.when(F.col("more").isNull(), F.col("next")).alias("next"),
+        (F.col("looped") | F.coalesce("rings", F.lit(False))).alias("looped"),
+    )
+    return kept.unionByName(_finished(ended).select(*kept.columns))
+
+
 def _double(walk: DataFrame) -> DataFrame:
     """Walks still under way, continued by the walk of the node they reached.
 

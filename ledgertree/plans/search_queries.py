@@ -37,7 +37,7 @@ _HIT = ["uid", "name", "score"]
 # Named parts, their tokens and padded tokens.
 part("words", "", """
  select 'P:-' || cast(file_id as varchar) as uid, name, lower(name) as name_lower,
-        [t for t in regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+') if t <> '' and strlen(t) < 40] as tokens
+        [t for t in regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+') if t <> ''] as tokens
  from fx_names""")
 
 

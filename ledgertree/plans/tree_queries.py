@@ -117,13 +117,14 @@ select p.volume, p.file_id, p.name, p.size, coalesce(d.dir_path, '') as path fro
 left join (select volume as v, file_id as parent, dir_path from dirpath) d on d.v = p.volume and d.parent = p.parent_file_id
 where not is_directory order by size desc, name, file_id desc limit 20""")
 def top_files_by_size(fx: Fixtures):
-    return rank.top(S.facts(fx), files=True).select("volume", "file_id", "name", "size", "path")
+    ranked = rank.top(S.facts(fx), files=True, chain=S.chain(fx))
+    return ranked.select("volume", "file_id", "name", "size", "path")
 
 
-# Folders of one volume, its root left out.
+# Folders of every volume, the roots left out.
 part("ranked_c", "", """
  select r.*, d.dir_path from rolled r join dirpath d on d.volume = r.volume and d.file_id = r.file_id
- where r.volume = 'C:' and r.file_id <> 1""")
+ where r.file_id <> 1""")
 
 
 @query("top_folders_by_size", """
@@ -133,9 +134,9 @@ from ranked_c r where not exists (
   select 1 from up u join ranked_c a on a.volume = u.volume and a.file_id = u.node
   where u.volume = r.volume and u.file_id = r.file_id and u.depth > 0
     and (a.size > r.size or (a.size = r.size and (a.name < r.name or (a.name = r.name and a.file_id > r.file_id)))))
-order by size desc, name, file_id desc limit 20""")
+order by size desc, name, file_id desc, volume limit 20""")
 def top_folders_by_size(fx: Fixtures):
-    ranked = rank.top(S.facts(fx), folders=True, within=("C:", 1), chain=S.chain(fx))
+    ranked = rank.top(S.facts(fx), folders=True, below_roots=True, chain=S.chain(fx))
     return ranked.select("volume", "file_id", "name", "size", "item_count", "path")
 
 
@@ -159,7 +160,8 @@ select volume, file_id, name, size_delta, churn from items where {_GROWN}
 order by abs(size_delta) desc, name, file_id desc, volume limit 50""")
 def top_growth_files(fx: Fixtures):
     ranked = rank.top(
-        S.facts(fx), S.log(fx), S.snapshot_tables(fx)[1], files=True, growth=True, between=("s_a", "s_b"), limit=50
+        S.facts(fx), S.log(fx), S.snapshot_tables(fx)[1], files=True, growth=True, between=("s_a", "s_b"), limit=50,
+        chain=S.chain(fx),
     )
     return ranked.select("volume", "file_id", "name", "size_delta", "churn")
 
@@ -197,7 +199,7 @@ part("since_items", "", """
 select volume, file_id, name, churn, size_delta from since_items
 order by churn desc, name, file_id desc, volume limit 50""")
 def top_churn(fx: Fixtures):
-    ranked = rank.top(S.facts(fx), S.log(fx), files=True, churn=True, since=S.SINCE, limit=50)
+    ranked = rank.top(S.facts(fx), S.log(fx), files=True, churn=True, since=S.SINCE, limit=50, chain=S.chain(fx))
     return ranked.select("volume", "file_id", "name", "churn", "size_delta")
 
 

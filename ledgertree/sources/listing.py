@@ -23,7 +23,8 @@ def inventory_from_paths(listing: DataFrame, volume: str = "/") -> DataFrame:
     """Facts of a listing with ``path``, ``length``, ``modified_at``.
 
     One row per file and per folder above one. Ids hash the volume and path, so
-    they are stable between scans and need no coordination. A path listed twice
+    they are stable between scans and need no coordination; two paths with one id
+    fail the job. A path listed twice
     keeps its largest length and latest time; a path that is also a folder of
     another counts as folder.
     """
@@ -36,11 +37,16 @@ def inventory_from_paths(listing: DataFrame, volume: str = "/") -> DataFrame:
         "modified_at",
     )
     is_file = F.col("depth") == F.col("n")
-    nodes = each.groupBy("node").agg(
+    nodes = each.groupBy(F.xxhash64(F.lit(volume), "node").alias("file_id")).agg(
+        F.min("node").alias("node"),
+        F.max("node").alias("_other"),
         F.max(F.when(is_file, F.col("length"))).alias("length"),
         F.max("modified_at").alias("modified_at"),
         F.max(~is_file).alias("is_directory"),
     )
+    # Two paths with one id would become one file: better no result than that one.
+    clash = F.raise_error(F.concat(F.lit("two paths share an id: "), "node", F.lit(" and "), "_other"))
+    nodes = nodes.withColumn("node", F.when(F.col("node") == F.col("_other"), F.col("node")).otherwise(clash))
     vol = F.lit(volume)
     last = F.substring_index("node", "/", -1)
     up = F.when(F.instr("node", "/") > 0, F.regexp_replace("node", "/[^/]*$", "")).otherwise(F.lit(""))
@@ -49,7 +55,7 @@ def inventory_from_paths(listing: DataFrame, volume: str = "/") -> DataFrame:
     ).otherwise(F.lit(0))
     return nodes.select(
         vol.alias("volume"),
-        F.xxhash64(vol, "node").alias("file_id"),
+        "file_id",
         F.xxhash64(vol, up).alias("parent_file_id"),
         F.when(F.col("node") == "", vol).otherwise(last).alias("name"),
         "is_directory",
@@ -81,7 +87,11 @@ def baseline_merge(facts: DataFrame, scan: DataFrame, purge: bool = False) -> Da
 
 
 def upsert_latest(table: DataFrame, new: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Insert or replace by key; the newest time wins."""
+    """Insert or replace by key; the newest time wins, and of equal times the new row.
+
+    A row without time is older than any with one.
+    """
     rest = [c for c in table.columns if c not in keys]
-    merged = table.unionByName(new).groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("r"))
+    both = table.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    merged = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(at, "_new")).alias("r"))
     return merged.select(*[F.col(c) if c in keys else F.col(f"r.{c}") for c in table.columns])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgertree.schema import TABLES
+from ledgertree.session import files, hadoop_path
 
 # Sort order inside the files: lets range predicates skip row groups.
 _LAYOUT = {"mutation_log": ["volume", "sequence"], "facts": ["volume", "file_id"]}
@@ -22,18 +25,26 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 
 def save(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> str:
-    """Write one table.
+    """Write one table under ``root``; see :func:`write`."""
+    return write(df, f"{root}/{name}", name, mode)
+
+
+def write(df: DataFrame, path: str, name: str, mode: str = "errorifexists") -> str:
+    """Write the table ``name`` to a folder.
 
     Log and facts are range-partitioned before the write, so a volume holding
     much of the data is spread over many files, and partitioned by volume on
-    disk, so that a query for one volume reads only its folder.
+    disk, so that a query for one volume reads only its folder. Their files carry
+    Bloom filters of the ids, for lookups that no sort order serves.
     """
     out = conform(df, name)
-    path = f"{root}/{name}"
     if name in _LAYOUT:
         keys = _LAYOUT[name]
         out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        out.write.mode(mode).partitionBy("volume").parquet(path)
+        writer = out.write.mode(mode).partitionBy("volume")
+        for column in ("file_id", "parent_file_id"):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(path)
     else:
         out.write.mode(mode).parquet(path)
     return path
@@ -47,26 +58,54 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
 def publish(df: DataFrame, root: str, name: str) -> int:
     """Write a new version of a table, for results that read the old one.
 
-    Returns its number. A version appears when its write commits, and readers
-    take the highest, so a failed or repeated write leaves the table whole.
+    The rows go to a folder of their own, which no other write touches. A version
+    exists once its file in ``commits`` does; that file is created exclusively, so of
+    two writers one takes the next number, and a failed write leaves the table whole.
     """
     spark = df.sparkSession
+    folder = f"data-{uuid.uuid4().hex}"
+    write(df, f"{root}/{name}/{folder}", name)
     number = versions(spark, root, name) + 1
-    save(df, f"{root}/{name}/version={number}", name)
+    while not _commit(spark, f"{root}/{name}/commits/{number}", folder):
+        number += 1
     return number
 
 
+def _commit(spark: SparkSession, pointer: str, folder: str) -> bool:
+    """Create ``pointer`` with the name of the folder; False if it exists."""
+    target = hadoop_path(spark, pointer)
+    system = files(spark, pointer)
+    if system.exists(target):
+        return False
+    try:
+        out = system.create(target, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(bytearray(folder.encode()))
+    out.close()
+    return True
+
+
 def versions(spark: SparkSession, root: str, name: str) -> int:
     """Highest version present; 0 when there is none."""
-    try:
-        listed = spark.read.schema("version long").parquet(f"{root}/{name}").select("version")
-        return listed.agg({"version": "max"}).first()[0] or 0
-    except AnalysisException:
+    folder = f"{root}/{name}/commits"
+    system, path = files(spark, folder), hadoop_path(spark, folder)
+    if not system.exists(path):
         return 0
+    return max((int(s.getPath().getName()) for s in system.listStatus(path) if s.getPath().getName().isdigit()), default=0)
 
 
-def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return load(spark, f"{root}/{name}/version={versions(spark, root, name)}", name)
+def current(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """The latest version of a published table, or the given one."""
+    number = versions(spark, root, name) if version is None else version
+    pointer = f"{root}/{name}/commits/{number}"
+    if number < 1 or not files(spark, pointer).exists(hadoop_path(spark, pointer)):
+        raise LookupError(f"no version {number} of {name} under {root}")
+    folder = spark.read.text(pointer, wholetext=True).first()[0].strip()
+    schema = TABLES[name]
+    return spark.read.schema(schema).parquet(f"{root}/{name}/{folder}").select(*schema.names)
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:

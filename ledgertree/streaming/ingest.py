@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ledgertree.streaming import ONCE
 from ledgertree.schema import DRAIN_STATE, RAW_CHANGES
 from ledgertree.sources.journal import assign_sequence, classify_changes
 
@@ -19,7 +20,7 @@ def read_journal(
     return reader.parquet(path)
 
 
-def ingest_stream(raw: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def ingest_stream(raw: DataFrame, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Append classified, numbered rows to ``sink/log``.
 
     The stream's checkpoint is the journal cursor. Each micro-batch writes its
@@ -44,7 +45,7 @@ def ingest_stream(raw: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     return (
         raw.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .start()
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ledgertree.operators import replay
+from ledgertree.streaming import ONCE
 from ledgertree.schema import FACTS
 from ledgertree.sources.tables import conform
 
@@ -24,7 +25,7 @@ _REST = [c for c in FACTS.names if c not in _KEYS]
 _CHANGES = StructType([*FACTS.fields, StructField("alive", BooleanType()), StructField("batch", LongType())])
 
 
-def replay_stream(log: DataFrame, facts: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def replay_stream(log: DataFrame, facts: DataFrame, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Fold a log stream over ``facts``; results are read with the functions below.
 
     Rows of a file must not arrive in an earlier micro-batch than the rows
@@ -53,7 +54,7 @@ def replay_stream(log: DataFrame, facts: DataFrame, sink: str, checkpoint: str)
     return (
         log.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .start()
     )
 

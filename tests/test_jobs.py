@@ -6,11 +6,13 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from ledgertree import session
 from ledgertree.functions import display as D
 from ledgertree.operators import adhoc, attribution as A, bounds as B, conversation as C, history, maintain as M
 from ledgertree.operators import snapshots as S
-from ledgertree.operators.ordered import Ordered, as_of, hot_keys
-from ledgertree.schema import PARENT_SNAPSHOTS, VOLUME_STATES
+from ledgertree.functions import text
+from ledgertree.operators.ordered import Ordered, as_of, hot_keys, join_unique
+from ledgertree.schema import LIVE, PARENT_SNAPSHOTS, VOLUME_STATES
 from ledgertree.sources import journal, listing, tables
 
 T = datetime(2024, 1, 1)
@@ -44,7 +46,8 @@ def test_look_back_splits_hot_keys(spark):
     rng = random.Random(3)
     rows = [(0 if rng.random() < 0.6 else i % 50, i, rng.randint(0, 5) or None) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, o long, v long")
-    assert len(hot_keys(df, ["k"], 100)) == 1
+    assert [r.k for r in hot_keys(df, ["k"], 100).collect()] == [0]
+    assert hot_keys(df, ["k"], 10_000) is None
     cut = Ordered(df, ["k"], "o", 100)
     assert cut.split and cut.df.filter("_chunk is not null").select("k").distinct().count() == 1
     got = cut.look_back(last={"p": F.col("v")}, total={"n": F.lit(1)}).df
@@ -293,7 +296,7 @@ def test_checkpoints(spark):
 
 
 def test_only_queries_run(spark):
-    spark.range(3).createOrReplaceTempView("t")
+    adhoc.register({"t": spark.range(3)})
     assert adhoc.read_only_sql(spark, "with x as (select id from t) select sum(id) as s from x;").first().s == 3
     assert adhoc.read_only_json(spark, "select null as a, 1 as b").first().json == '{"a":null,"b":1}'
     for bad in ("drop view t", "create table x(a int)", "insert into t values (1)", "select 1; select 2",
@@ -302,6 +305,71 @@ def test_only_queries_run(spark):
             adhoc.read_only_sql(spark, bad)
 
 
+def test_sql_reads_registered_tables_only(spark, tmp_path):
+    adhoc.register({"t": spark.range(3)})
+    spark.range(2).createOrReplaceTempView("hidden")
+    (tmp_path / "x").write_text("secret")
+    for bad in (
+        "select reflect('java.lang.System', 'getProperty', 'java.home')",
+        "select java_method('java.lang.System', 'getProperty', 'java.home')",
+        "select try_reflect('java.lang.System', 'getProperty', 'java.home')",
+        f"select * from text.`{tmp_path}/x`", f"select 1 where exists (select * from text.`{tmp_path}/x`)",
+        f"with t2 as (select * from text.`{tmp_path}/x`) select * from t2", "select * from hidden", "select * from t, hidden",
+        "select transform(id) using 'cat' from t", "select (select max(id) from hidden)", "select * from identifier('hidden')",
+    ):
+        with pytest.raises(adhoc.NotAllowed):
+            adhoc.read_only_sql(spark, bad)
+    nested = "with a as (select id from t), b as (select * from a) select count(*) as n from b x join t on x.id = t.id"
+    assert adhoc.read_only_sql(spark, nested).first().n == 3
+    assert adhoc.read_only_sql(spark, "select 'reflect' as w from t where id in (select id from t)").count() == 3
+
+
+def test_versions_of_log_and_facts(spark, tmp_path):
+    root = str(tmp_path)
+    facts = spark.createDataFrame([("C:", 1, 1, "C:"), ("D:", 2, 1, "x")], "volume string, file_id long, parent_file_id long, name string")
+    for name in ("facts", "mutation_log"):
+        with pytest.raises(LookupError):
+            tables.current(spark, root, name)
+        assert tables.publish(facts, root, name) == 1
+        old = tables.current(spark, root, name)
+        assert tables.publish(old.filter("volume = 'C:'"), root, name) == 2
+        assert {r.volume for r in tables.current(spark, root, name).collect()} == {"C:"}
+        assert old.count() == tables.current(spark, root, name, version=1).count() == 2
+        assert tables.publish(old.filter("false"), root, name) == 3
+        assert tables.current(spark, root, name).count() == 0
+        # Another writer took number 4 meanwhile.
+        assert tables._commit(spark, f"{root}/{name}/commits/4", "elsewhere")
+        assert not tables._commit(spark, f"{root}/{name}/commits/4", "late")
+        assert tables.publish(old, root, name) == 5
+
+
+def test_writes_of_one_step_keep_their_order(spark):
+    rows = [("t", "c", step, w, 10 * step + w) for step in range(4) for w in range(3)]
+    for parts in (1, 4, 7):
+        df = spark.createDataFrame(rows, "thread_id string, channel string, step long, write long, value long").repartition(parts)
+        for chunk in (5, 4_000_000):
+            got = [r.value for r in C.reduce_appends(df, chunk).orderBy("position").collect()]
+            assert got == [r[4] for r in rows]
+            versions = {(r.step, r.write): r.version for r in C.channel_versions(df, chunk).collect()}
+            assert versions == {(s, w): 3 * s + w + 1 for _, _, s, w, _ in rows}
+        assert C.reduce_scalars(df, {}).first().value == 32
+
+
+def test_upsert_ties_and_missing_times(spark):
+    ddl = "k long, at timestamp, v string"
+    old = spark.createDataFrame([(1, at(5), "old"), (2, None, "old"), (3, at(9), "old")], ddl)
+    new = spark.createDataFrame([(1, at(5), "new"), (2, None, "new"), (3, at(1), "new"), (4, None, "new")], ddl)
+    got = {r.k: r.v for r in listing.upsert_latest(old, new, ["k"], "at").collect()}
+    assert got == {1: "new", 2: "new", 3: "old", 4: "new"}
+
+
+def test_scratch_is_gone_after_its_scope(spark):
+    with session.scratch(spark) as folder:
+        assert session.materialize(spark.range(5), "x").count() == 5
+        assert session.files(spark, folder).exists(session.hadoop_path(spark, folder))
+    assert not session.files(spark, folder).exists(session.hadoop_path(spark, folder))
+
+
 def test_versions_of_a_table(spark, tmp_path):
     root = str(tmp_path)
     first = spark.createDataFrame([("C:", 1)], "volume string, last_sequence long")
@@ -319,3 +387,91 @@ def test_history_report(spark):
     assert [(r.size_text, r.age, r.details) for r in got] == [
         ("+2.00 KB", "2h ago", ""), ("0 B", "1m ago", "Renamed from a"), ("0 B", "just now", "Renamed")]
     assert got[0].at_text == "2024-01-01 00:00:00"
+
+
+def bound(monkeypatch, volumes):
+    monkeypatch.setattr(B, "LITERAL_VOLUMES", volumes)
+
+
+@pytest.mark.parametrize("volumes", [64, 1])
+def test_volume_tables_mean_the_same_on_both_sides_of_the_bound(spark, monkeypatch, volumes):
+    bound(monkeypatch, volumes)
+    rows = [("C:", 1), ("C:", 5), ("D:", 2), ("E:", 3), (None, 4)]
+    log = spark.createDataFrame(rows, "volume string, sequence long")
+    cursors = spark.createDataFrame([("C:", 3), ("D:", 9), ("E:", None), (None, 7)], "volume string, last_sequence long")
+    assert {tuple(r) for r in B.after_cursor(log, cursors).collect()} == {("C:", 5), ("E:", 3), (None, 4)}
+    listed = cursors.select("volume").filter("volume <> 'E:'")
+    assert {tuple(r) for r in B.drop_volumes(log, listed).collect()} == {("E:", 3), (None, 4)}
+    spans = spark.createDataFrame([("C:", 1, 9), ("D:", 0, 2), (None, 0, 9)], "volume string, start_seq long, end_seq long")
+    assert {tuple(r) for r in B.in_window(log, spans).collect()} == {("C:", 5), ("D:", 2)}
+    states = spark.createDataFrame(
+        [("C:", "BaselineScanning", False), ("D:", "Deleted", False), ("E:", LIVE, False)], "volume string, state string, replaying boolean"
+    )
+    marked = {(r.volume, r.volume_incomplete) for r in M.with_incomplete(log, states).collect()}
+    assert marked == {("C:", True), ("D:", True), ("E:", False), (None, False)}
+
+
+@pytest.mark.parametrize("volumes", [64, 1])
+def test_prune_keeps_rows_without_time_or_volume(spark, monkeypatch, volumes):
+    bound(monkeypatch, volumes)
+    log = spark.createDataFrame(
+        [("C:", 1, at(0)), ("C:", 2, None), ("C:", 3, at(90_000)), (None, 4, at(0)), ("D:", 5, at(0)), ("E:", 6, at(0)), ("F:", 7, at(0))],
+        "volume string, sequence long, at timestamp",
+    )
+    states = spark.createDataFrame(
+        [("C:", LIVE, False), ("D:", LIVE, True), ("E:", LIVE, False)], "volume string, state string, replaying boolean"
+    )
+    now = at(100_000)
+    kept, runs = M.retention_prune(log, states, timedelta(seconds=50_000), now)
+    assert {r.sequence for r in kept.collect()} == {2, 3, 4, 5, 7}
+    assert {(r.volume, r.status, r.details.startswith("Deleted 1 ")) for r in runs.collect()} == {
+        ("C:", "SUCCESS", True), ("D:", "SKIPPED", False), ("E:", "SUCCESS", True),
+    }
+
+    def broken(df):
+        df.select(F.raise_error(F.lit("disk"))).collect()
+
+    failed = M.prune(log, states, timedelta(seconds=50_000), now, broken)
+    assert {(r.volume, r.status) for r in failed.collect()} == {("C:", "FAILED"), ("D:", "SKIPPED"), ("E:", "FAILED")}
+    done = M.prune(log, states, timedelta(seconds=50_000), now, lambda df: df.collect())
+    assert {r.status for r in done.collect()} == {"SUCCESS", "SKIPPED"}
+
+
+def test_more_hot_keys_than_any_list_would_hold(spark):
+    df = spark.range(36_000).selectExpr("id % 12000 as k", "id as o")
+    assert hot_keys(df, ["k"], 2).count() == 12_000
+    got = Ordered(df, ["k"], "o", 2).look_back(total={"n": F.lit(1)}).df
+    assert got.groupBy("n").count().orderBy("n").collect() == [(0, 12_000), (1, 12_000), (2, 12_000)]
+
+
+def test_chunks_follow_the_rows_and_not_the_time(spark):
+    """Almost all rows of the hot key lie in one second of a long span."""
+    rows = [(1, i if i < 950 else i * 1_000_000) for i in range(1000)] + [(2, 5)]
+    df = spark.createDataFrame(rows, "k long, o long")
+    cut = Ordered(df, ["k"], "o", 100)
+    sizes = [r["count"] for r in cut.df.filter("_chunk is not null").groupBy("_chunk").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 200
+
+
+@pytest.mark.parametrize("over", [5, 10_000])
+def test_join_unique_splits_hot_keys(spark, over):
+    left = spark.createDataFrame([(i % 3 if i < 60 else i, i) for i in range(80)] + [(None, 99)], "k long, v long")
+    right = spark.createDataFrame([(0, "a"), (2, "c"), (65, "d")], "k long, w string")
+    for how in ("inner", "left"):
+        got = join_unique(left, right, ["k"], how, over).select("k", "v", "w")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(
+            map(tuple, left.join(right, "k", how).select("k", "v", "w").collect()), key=str
+        )
+
+
+def test_as_of_keeps_machines_apart(spark):
+    left = spark.createDataFrame([("m1", 7, at(10)), ("m2", 7, at(10))], "m string, pid long, t timestamp")
+    right = spark.createDataFrame([("m1", 7, at(5)), ("m2", 7, at(8))], "m string, pid long, u timestamp")
+    got = as_of(left, right, (("m", "pid"), "t"), (("m", "pid"), "u"), "near")
+    assert {(r.m, r.near.u) for r in got.collect()} == {("m1", at(5)), ("m2", at(8))}
+
+
+def test_long_tokens_are_kept(spark):
+    name = "report " + "deadbeef" * 7 + " final.txt"
+    df = spark.createDataFrame([(name,)], "name string")
+    assert df.select(text.tokens(F.col("name"))).first()[0] == ["report", "deadbeef" * 7, "final", "txt"]

@@ -169,3 +169,20 @@ def test_chains_of_deleted_folders(spark):
     assert got[4] == "live/second/deep" and got[3] == "live/second" and got[5] == "r6/r5" and 77 not in got
     kept = tree.chains(tree.directories(facts))
     assert paths([2], kept) == {1: "", 2: "live"}
+
+
+def test_rechain_walks_only_the_changed_part(spark):
+    rng = random.Random(8)
+    rows = [("C:", 1, 1, "C:")] + [("C:", i, rng.randint(1, i - 1), f"d{i}") for i in range(2, 200)] + [("D:", 1, 1, "D:"), ("D:", 2, 1, "x")]
+    schema = "volume string, file_id long, parent_file_id long, name string"
+    before = spark.createDataFrame(rows, schema)
+    chain = tree.chains(before)
+    moved = {150: (3, "moved"), 40: (2, "d40"), 300: (40, "new"), 301: (300, "newer"), 7: (1, "renamed")}
+    after = [r for r in rows if r[0] == "D:" or r[1] not in moved] + [("C:", i, p, n) for i, (p, n) in moved.items()]
+    nodes = spark.createDataFrame(after, schema)
+    changed = spark.createDataFrame([("C:", i) for i in moved], "volume string, file_id long")
+    got = {(r.volume, r.file_id): tuple(a.id for a in r.visited) + (r.looped,) for r in tree.rechain(chain, nodes, changed).collect()}
+    want = {(r.volume, r.file_id): tuple(a.id for a in r.visited) + (r.looped,) for r in tree.chains(nodes).collect()}
+    assert got == want
+    stale = tree.below(chain, changed).count()
+    assert 3 <= stale < 200

@@ -212,13 +212,13 @@ def held_out() -> Column:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learn from labelled documents that are not held out."""
-    rows = (
-        docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-        .select("text", "lang", F.xxhash64("doc_id").alias("_order"), "doc_id")
-        .orderBy("_order", "doc_id", "lang", "text")
-        .limit(sample)
-        .collect()
-    )
+    known = docs.filter(
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
+    ).select("doc_id", "lang", "text")
+    # Ids first, so that no task sends more texts than are wanted.
+    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = known.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text")
+    rows = texts.limit(sample).collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
 

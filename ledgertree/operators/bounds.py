@@ -20,16 +20,37 @@ class WindowExpired(ValueError):
     """The window starts before the oldest row kept."""
 
 
-def bounds_since(log: DataFrame, since: datetime) -> DataFrame:
+def log_stats(log: DataFrame) -> DataFrame:
+    """Ends of the log per volume: min and max of sequence and time.
+
+    A table of one row per volume to keep beside the log: :func:`merge_stats` adds a
+    batch of new rows, and a prune makes it anew for the volumes it touched. The
+    functions below take it as ``stats`` and then need no pass over the log for an end.
+    """
+    return log.groupBy("volume").agg(
+        *[f(c).alias(f"{n}_{c}") for c in ("sequence", "at") for n, f in (("min", F.min), ("max", F.max))]
+    )
+
+
+def merge_stats(stats: DataFrame, more: DataFrame) -> DataFrame:
+    return stats.unionByName(more).groupBy("volume").agg(
+        *[f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("sequence", "at") for n, f in (("min", F.min), ("max", F.max))]
+    )
+
+
+def _ends(log: DataFrame, stats: DataFrame | None, column: str) -> DataFrame:
+    known = log_stats(log) if stats is None else stats
+    return known.select("volume", column)
+
+
+def bounds_since(log: DataFrame, since: datetime, stats: DataFrame | None = None) -> DataFrame:
     """(volume, start_seq, end_seq] from the first row at or after ``since``.
 
-    A volume without such a row gets no window.
+    A volume without such a row gets no window. The time reaches the scan as a filter.
     """
-    first = F.min(F.when(F.col("at") >= F.lit(since), F.col("sequence")))
-    return (
-        log.groupBy("volume")
-        .agg((first - 1).alias("start_seq"), F.max("sequence").alias("end_seq"))
-        .filter("start_seq is not null")
+    recent = log.filter(F.col("at") >= F.lit(since)).groupBy("volume").agg(F.min("sequence").alias("first"))
+    return recent.join(_ends(log, stats, "max_sequence"), "volume").select(
+        "volume", (F.col("first") - 1).alias("start_seq"), F.col("max_sequence").alias("end_seq")
     )
 
 
@@ -138,11 +159,11 @@ def after_cursor(log: DataFrame, cursors: DataFrame) -> DataFrame:
     )
 
 
-def history_findings(log: DataFrame, since: datetime, now: datetime) -> DataFrame:
+def history_findings(log: DataFrame, since: datetime, now: datetime, stats: DataFrame | None = None) -> DataFrame:
     """Days of log per volume against the days asked for."""
     needed = (now - since).total_seconds() / 86400
-    available = (F.unix_timestamp(F.lit(now)) - F.unix_timestamp(F.min("at"))) / 86400.0
-    found = log.groupBy("volume").agg(F.round(available, 4).alias("days_available"))
+    available = (F.unix_timestamp(F.lit(now)) - F.unix_timestamp("min_at")) / 86400.0
+    found = _ends(log, stats, "min_at").select("volume", F.round(available, 4).alias("days_available"))
     return found.select(
         "volume",
         "days_available",
@@ -151,8 +172,8 @@ def history_findings(log: DataFrame, since: datetime, now: datetime) -> DataFram
     )
 
 
-def check_history(log: DataFrame, since: datetime, now: datetime) -> None:
-    short = history_findings(log, since, now).filter("not sufficient").orderBy("days_available").first()
+def check_history(log: DataFrame, since: datetime, now: datetime, stats: DataFrame | None = None) -> None:
+    short = history_findings(log, since, now, stats).filter("not sufficient").orderBy("days_available").first()
     if short:
         missing = -int(-(short.days_needed - short.days_available) // 1)
         raise InsufficientHistory(
@@ -160,9 +181,11 @@ def check_history(log: DataFrame, since: datetime, now: datetime) -> None:
         )
 
 
-def window_findings(log: DataFrame, bounds: "DataFrame | Windows") -> DataFrame:
+def window_findings(
+    log: DataFrame, bounds: "DataFrame | Windows", stats: DataFrame | None = None
+) -> DataFrame:
     """Whether each window starts before the oldest log row still kept."""
-    oldest = log.groupBy("volume").agg(F.min("sequence").alias("oldest_seq"))
+    oldest = _ends(log, stats, "min_sequence").withColumnRenamed("min_sequence", "oldest_seq")
     joined = windows(bounds).joinable().join(oldest, "volume", "left")
     joined = joined.withColumn("oldest_seq", F.coalesce("oldest_seq", F.lit(0)))
     return joined.select(
@@ -173,7 +196,7 @@ def window_findings(log: DataFrame, bounds: "DataFrame | Windows") -> DataFrame:
     )
 
 
-def check_window(log: DataFrame, bounds: "DataFrame | Windows") -> None:
-    late = window_findings(log, bounds).filter("expired").first()
+def check_window(log: DataFrame, bounds: "DataFrame | Windows", stats: DataFrame | None = None) -> None:
+    late = window_findings(log, bounds, stats).filter("expired").first()
     if late:
         raise WindowExpired(f"{late.volume}: window starts at {late.start_seq}, oldest row kept is {late.oldest_seq}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgertree.functions.display import displayable, human_delta, relative_age
 from ledgertree.functions.text import ascii_lower
-from ledgertree.operators import tree
+from ledgertree.operators import bounds as B, tree
 from ledgertree.operators.ordered import CHUNK_ROWS, Ordered, join_unique
 from ledgertree.schema import MODIFIED, RENAMED
 
@@ -147,10 +147,13 @@ def page(rows: DataFrame, limit: int = DEFAULT_LIMIT, cursor: str | None = None)
     return rows.filter(F.col("sequence") > position).orderBy("sequence").limit(limit)
 
 
-def truncated(log: DataFrame, now: datetime, retention: timedelta, since: datetime | None = None) -> DataFrame:
-    """Per volume: may older rows of the asked range have been pruned?"""
+def truncated(
+    log: DataFrame, now: datetime, retention: timedelta, since: datetime | None = None, stats: DataFrame | None = None
+) -> DataFrame:
+    """Per volume: may older rows of the asked range have been pruned? ``stats``: see ``bounds.log_stats``."""
     cutoff = now - retention
-    oldest = log.groupBy("volume").agg(F.min("at").alias("oldest_at"))
+    known = B.log_stats(log) if stats is None else stats
+    oldest = known.select("volume", F.col("min_at").alias("oldest_at"))
     if since is not None:
         return oldest.withColumn("truncated", F.lit(since < cutoff))
     return oldest.withColumn("truncated", F.col("oldest_at") <= F.lit(cutoff + timedelta(minutes=5)))

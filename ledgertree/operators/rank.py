@@ -206,6 +206,7 @@ def top(
     cursor: str | None = None,
     now: datetime | None = None,
     chain: DataFrame | None = None,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """One ranking, as a page with paths.
 
@@ -215,7 +216,7 @@ def top(
     ``between`` (two snapshot ids) the ranking is by change, of folders unless
     ``files`` is set; otherwise it is by current size, of files unless
     ``folders`` is set. ``chain`` saves computing the folder chains of ``facts`` when
-    the caller keeps them.
+    the caller keeps them, and ``stats``, see ``bounds.log_stats``, the passes for ends of the log.
     """
     if since is not None and between is not None:
         raise ValueError("since and between are mutually exclusive")
@@ -228,16 +229,17 @@ def top(
     if within is not None:
         facts = facts.filter(F.col("volume") == within[0])
         log = log.filter(F.col("volume") == within[0]) if log is not None else None
+        stats = stats.filter(F.col("volume") == within[0]) if stats is not None else None
 
     items = None
     if interval:
         if since is not None:
             if now is not None:
-                B.check_history(log, since, now)
-            window = B.windows(B.bounds_since(log, since))
+                B.check_history(log, since, now, stats)
+            window = B.windows(B.bounds_since(log, since, stats))
         else:
             window = B.windows(B.bounds_between(volume_snapshots, *between))
-            B.check_window(log, window)
+            B.check_window(log, window, stats)
         items = materialize(changed_items(B.in_window(log, window)), "items")
     if interval:
         chain = change_chains(facts, items, chain)

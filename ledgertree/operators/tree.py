@@ -245,15 +245,20 @@ def lookup_paths(
             F.reverse(F.transform(F.slice("visited", F.lit(1), top_at - 1), lambda a: ascii_lower(a["name"]))), "/"
         ).alias("folder"),
     )
-    placed = wanted.join(folders, ["volume", "folder"], "left")
+    # Inner joins, so that the asked paths may be the side that is broadcast; they come
+    # together with those that were not found at the end.
+    placed = wanted.join(folders, ["volume", "folder"])
     children = facts.select(
         "volume", F.col("parent_file_id").alias("folder_id"), ascii_lower(F.col("name")).alias("leaf"),
         F.col("file_id").alias("child_id"),
     ).filter("child_id <> folder_id")
-    matched = placed.join(children, ["volume", "folder_id", "leaf"], "left")
-    hit = F.when(F.col("leaf").isNull(), F.col("folder_id")).otherwise(F.col("child_id"))
-    live = matched.groupBy("path", "volume", "parts", "leaf").agg(F.min(hit).alias("file_id"))
-    live = live.withColumn("found_in", F.when(F.col("file_id").isNotNull(), F.lit("facts")))
+    below = placed.filter("leaf is not null").join(children, ["volume", "folder_id", "leaf"])
+    hits = below.select("path", F.col("child_id").alias("hit")).unionByName(
+        placed.filter("leaf is null").select("path", F.col("folder_id").alias("hit"))
+    )
+    found = hits.groupBy(F.col("path").alias("_path")).agg(F.min("hit").alias("file_id"))
+    live = wanted.join(found, F.col("path") == F.col("_path"), "left")
+    live = live.select("path", "volume", "parts", "leaf", "file_id").withColumn("found_in", F.when(F.col("file_id").isNotNull(), F.lit("facts")))
     if log is None:
         return live.select("path", "volume", "file_id", "found_in")
     return _lookup_deleted(live, facts, log, chain)

@@ -149,11 +149,13 @@ def rows_to_json(fx: Fixtures):
     return tables.to_json_rows(fx.table("fx_tool"))
 
 
-@query("table_io", f"select {FACT_TEXT} from fx_facts")
+@query("table_io", f"select {FACT_TEXT} from fx_facts where volume <> 'C:'")
 def table_io(fx: Fixtures):
+    """Two published versions, the second without one volume; readers take the second."""
     root = new_path(fx.spark, "tables")
-    tables.save(S.facts(fx), root, "facts")
-    return tables.load(fx.spark, root, "facts")
+    tables.publish(S.facts(fx), root, "facts")
+    tables.publish(tables.current(fx.spark, root, "facts").filter("volume <> 'C:'"), root, "facts")
+    return tables.current(fx.spark, root, "facts")
 
 
 # --- state reduction ---------------------------------------------------------------------

@@ -11,6 +11,7 @@ from ledgertree.plans import shared as S
 from ledgertree.plans.fixtures import Fixtures
 from ledgertree.plans.ingest_queries import LOG_COLUMNS, LOG_TEXT
 from ledgertree.plans.registry import part, query, stamp
+from ledgertree.schema import LIVE
 from ledgertree.session import new_path
 from ledgertree.sources import tables
 from ledgertree.sources.listing import upsert_latest
@@ -39,11 +40,19 @@ def retention_prune(fx: Fixtures):
     return left.join(runs.select("volume", "details"), "volume")
 
 
+# A run per volume and day with changes, at the last of them; runs of volumes in replay were skipped.
+part("daily_runs", "", """
+ select max("at") as run_at, case when s.state = 'Live' then 'SUCCESS' else 'SKIPPED' end as status
+ from fx_log l join vstate s on s.volume = l.volume group by l.volume, s.state, cast("at" as date)""")
+
+
 @query("prune_due", f"""
 select {stamp("max(run_at) filter (where status = 'SUCCESS')")} as last_success,
-       max(run_at) filter (where status = 'SUCCESS') <= timestamp '2024-02-01 18:00:00' as due from prune_runs""")
+       max(run_at) filter (where status = 'SUCCESS') <= timestamp '2024-01-31 00:00:00' as due from daily_runs""")
 def prune_due(fx: Fixtures):
-    return M.prune_due(_pruned(fx)[1], datetime(2024, 2, 2, 18))
+    days = S.log(fx).groupBy("volume", F.to_date("at").alias("d")).agg(F.max("at").alias("run_at"))
+    status = F.when(F.col("state") == LIVE, "SUCCESS").otherwise("SKIPPED")
+    return M.prune_due(days.join(S.states(fx), "volume").select("run_at", status.alias("status")), S.NOW_AT)
 
 
 @query("prune_log_latest", f"select volume, {stamp('run_at')} as run_at, status, details from prune_runs")

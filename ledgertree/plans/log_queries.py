@@ -136,8 +136,8 @@ select volume, {stamp('min("at")')} as oldest_at, min("at") <= timestamp '2024-0
        true as asked_truncated from fx_log group by volume""")
 def history_truncated_flag(fx: Fixtures):
     month = timedelta(days=30)
-    flag = history.truncated(S.log(fx), S.NOW_AT, month)
-    asked = history.truncated(S.log(fx), S.NOW_AT, month, since=datetime(2024, 1, 1))
+    flag = history.truncated(S.log(fx), S.NOW_AT, month, stats=S.log_stats(fx))
+    asked = history.truncated(S.log(fx), S.NOW_AT, month, since=datetime(2024, 1, 1), stats=S.log_stats(fx))
     return flag.join(asked.select("volume", F.col("truncated").alias("asked_truncated")), "volume")
 
 
@@ -173,11 +173,20 @@ def snapshot_create(fx: Fixtures):
     return rows.select("label", "volume", "sequence_number", "facts_count")
 
 
+# One snapshot for each day with changes, taken at the last of them; every other day's is automatic.
+part("daily", "", """
+ select case when day(d) % 2 = 1 then 'auto_' else 'own_' end || strftime(d, '%Y-%m-%d') as label, last_at as created_at
+ from (select cast("at" as date) as d, max("at") as last_at from fx_log group by 1)""")
+
+
 @query("snapshot_auto_due", f"""
 select {stamp("max(created_at) filter (where starts_with(label, 'auto_'))")} as last_at,
-       max(created_at) filter (where starts_with(label, 'auto_')) <= timestamp '2024-01-31 00:00:00' as due from parents""")
+       max(created_at) filter (where starts_with(label, 'auto_')) <= timestamp '2024-01-31 00:00:00' as due from daily""")
 def snapshot_auto_due(fx: Fixtures):
-    return snapshots.auto_snapshot_due(S.snapshot_tables(fx)[0], timedelta(days=1), S.NOW_AT)
+    days = S.log(fx).groupBy(F.to_date("at").alias("d")).agg(F.max("at").alias("created_at"))
+    kind = F.when(F.dayofmonth("d") % 2 == 1, "auto_").otherwise("own_")
+    daily = days.select(F.concat(kind, F.date_format("d", "yyyy-MM-dd")).alias("label"), "created_at")
+    return snapshots.auto_snapshot_due(daily, timedelta(days=1), S.NOW_AT)
 
 
 part("nested", "", """

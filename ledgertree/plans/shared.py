@@ -48,6 +48,10 @@ def start_cursors(fx: Fixtures) -> DataFrame:
     return raw_log(fx).filter(F.col("sequence") <= half).groupBy("volume").agg(F.max("sequence").alias("last_sequence"))
 
 
+def log_stats(fx: Fixtures) -> DataFrame:
+    return fx.keep("log-stats", lambda: bounds.log_stats(log(fx)))
+
+
 # (id, label, taken at, tenths of the log)
 SNAPSHOTS = [
     ("s_a", "a", datetime(2024, 1, 10), 3),

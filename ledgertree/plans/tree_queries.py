@@ -124,7 +124,7 @@ def top_files_by_size(fx: Fixtures):
 # Folders of every volume, the roots left out.
 part("ranked_c", "", """
  select r.*, d.dir_path from rolled r join dirpath d on d.volume = r.volume and d.file_id = r.file_id
- where r.file_id <> 1""")
+ where r.name <> r.volume""")
 
 
 @query("top_folders_by_size", """
@@ -144,7 +144,7 @@ def top_folders_by_size(fx: Fixtures):
 select volume, min(case when at >= timestamp '2024-01-15 00:00:00' then sequence end) - 1 as start_seq,
        max(sequence) as end_seq from fx_log group by volume having start_seq is not null""".replace(" at >=", ' "at" >='))
 def interval_bounds_since(fx: Fixtures):
-    return bounds.bounds_since(S.log(fx), S.SINCE)
+    return bounds.bounds_since(S.log(fx), S.SINCE, S.log_stats(fx))
 
 
 @query("interval_bounds_between", "select volume, lo as start_seq, hi as end_seq from win")
@@ -199,7 +199,9 @@ part("since_items", "", """
 select volume, file_id, name, churn, size_delta from since_items
 order by churn desc, name, file_id desc, volume limit 50""")
 def top_churn(fx: Fixtures):
-    ranked = rank.top(S.facts(fx), S.log(fx), files=True, churn=True, since=S.SINCE, limit=50, chain=S.chain(fx))
+    ranked = rank.top(
+        S.facts(fx), S.log(fx), files=True, churn=True, since=S.SINCE, limit=50, chain=S.chain(fx), stats=S.log_stats(fx)
+    )
     return ranked.select("volume", "file_id", "name", "churn", "size_delta")
 
 
@@ -227,7 +229,7 @@ select volume, round(cast(epoch(timestamp '2024-02-01 00:00:00') - floor(epoch(m
        round(cast(epoch(timestamp '2024-02-01 00:00:00') - floor(epoch(min("at"))) as bigint) / 86400.0, 4) >= 31.0 as sufficient
 from fx_log group by volume""")
 def history_sufficiency(fx: Fixtures):
-    return bounds.history_findings(S.log(fx), datetime(2024, 1, 1), S.NOW_AT)
+    return bounds.history_findings(S.log(fx), datetime(2024, 1, 1), S.NOW_AT, S.log_stats(fx))
 
 
 @query("ranking_report", """

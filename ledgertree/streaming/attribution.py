@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from ledgertree.operators import attribution as A
 from ledgertree.operators.ordered import as_of
+from ledgertree.streaming import ONCE
 
 # One row per event; type is start, stop, file or registry.
 EVENTS = StructType(
@@ -35,7 +38,11 @@ def registry_events(events: DataFrame) -> DataFrame:
 
 
 def attribution_stream(
-    events: DataFrame, sink: str, checkpoint: str
+    events: DataFrame,
+    sink: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    max_age: timedelta | None = None,
 ) -> StreamingQuery:
     """Write footprints of sessions as they close, and runtime artifacts as they happen.
 
@@ -44,6 +51,10 @@ def attribution_stream(
     closed. That remainder is a written table, so the work is ordinary joins over
     many tasks, also when one machine or process sends most of the events, and a
     retried batch rewrites the same folders.
+
+    With ``max_age`` a process that never reports its stop is closed as expired once
+    it is that much older than the newest event; such processes are written to
+    ``sink/expired``, and what is carried on is bounded by that span.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -67,6 +78,11 @@ def attribution_stream(
         lasting = members.filter("stopped is null and root_key is null").unionByName(
             members.join(still, "root_key", "left_semi").select(*members.columns)
         )
+        if max_age is not None:
+            newest = known.agg(F.max("ts")).first()[0]
+            old = F.col("started") < F.lit(newest - max_age)
+            lasting.filter(old).write.mode("overwrite").parquet(f"{sink}/expired/batch={batch_id}")
+            lasting = lasting.filter(~old)
         lives = lasting.select("pid", "started", "stopped", "root_key")
         placed = as_of(known, lives, ("pid", "ts"), ("pid", "started"), "life")
         kept = placed.filter(

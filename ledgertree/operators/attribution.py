@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgertree.functions.text import prefixes, segments, slashes
 from ledgertree.operators import tree
@@ -188,21 +188,45 @@ def attribute(paths: DataFrame, install: DataFrame, runtime: DataFrame) -> DataF
     )
 
 
-def signature(path: Column, dictionary: dict[str, str] | None = None) -> Column:
+# A dictionary is part of the plan, so it is bounded.
+MAX_SIGNATURES = 10_000
+
+
+def signature_table(spark: SparkSession) -> DataFrame:
+    """The fixed dictionary as a table (key, description)."""
+    return spark.createDataFrame(sorted(SIGNATURES.items()), "key string, description string")
+
+
+def upsert_signatures(table: DataFrame, new: DataFrame) -> DataFrame:
+    """Insert or replace by key."""
+    both = table.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return both.groupBy("key").agg(F.max_by("description", "_new").alias("description"))
+
+
+def signature(path: Column, dictionary: dict[str, str] | DataFrame | None = None) -> Column:
     """Description under the first key, in key order, that the path contains."""
+    if isinstance(dictionary, DataFrame):
+        rows = dictionary.select("key", "description").limit(MAX_SIGNATURES + 1).collect()
+        if len(rows) > MAX_SIGNATURES:
+            raise ValueError(f"more than {MAX_SIGNATURES} signatures")
+        dictionary = {r["key"]: r["description"] for r in rows}
+    known = sorted((SIGNATURES if dictionary is None else dictionary).items())
+    if not known:
+        return F.lit(None).cast("string")
     text = F.lower(slashes(path))
-    out = F.lit(None).cast("string")
-    for key, description in sorted((dictionary or SIGNATURES).items(), reverse=True):
-        out = F.when(F.contains(text, F.lit(key.lower().replace("\\", "/"))), F.lit(description)).otherwise(out)
-    return out
+    # One array in the plan, however many keys.
+    keys = F.array(*[F.lit(key.lower().replace("\\", "/")) for key, _ in known])
+    texts = F.array(*[F.lit(description) for _, description in known])
+    hits = F.filter(F.arrays_zip(keys.alias("key"), texts.alias("description")), lambda s: F.contains(text, s["key"]))
+    return F.try_element_at(hits, F.lit(1))["description"]
 
 
-def match_signatures(paths: DataFrame, dictionary: dict[str, str] | None = None) -> DataFrame:
+def match_signatures(paths: DataFrame, dictionary: dict[str, str] | DataFrame | None = None) -> DataFrame:
     return paths.select("path", signature(F.col("path"), dictionary).alias("description"))
 
 
 def explain_paths(
-    paths: DataFrame, install: DataFrame, runtime: DataFrame, dictionary: dict[str, str] | None = None
+    paths: DataFrame, install: DataFrame, runtime: DataFrame, dictionary: dict[str, str] | DataFrame | None = None
 ) -> DataFrame:
     """Text for each path: footprint, else signature, else unknown."""
     found = attribute(paths, install, runtime)

@@ -153,18 +153,40 @@ def tier_weights(query: str) -> dict[str, Column]:
     }
 
 
-def bm25_weights(docs: DataFrame, query: str) -> Column:
+def term_stats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What term scores need of the corpus: (n, length) in one row, and (token, df).
+
+    Tables to keep beside the documents; :func:`merge_term_stats` adds those of new
+    documents, or takes off those of removed ones with ``sign=-1``.
+    """
+    totals = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("length"))
+    each = docs.select(F.explode(F.array_distinct("tokens")).alias("token"))
+    return totals, each.groupBy("token").agg(F.count("*").alias("df"))
+
+
+def merge_term_stats(
+    stats: tuple[DataFrame, DataFrame], more: tuple[DataFrame, DataFrame], sign: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    totals = stats[0].unionByName(more[0].select((sign * F.col("n")).alias("n"), (sign * F.col("length")).alias("length")))
+    terms = stats[1].unionByName(more[1].select("token", (sign * F.col("df")).alias("df")))
+    return (
+        totals.agg(F.sum("n").alias("n"), F.sum("length").alias("length")),
+        terms.groupBy("token").agg(F.sum("df").alias("df")).filter("df > 0"),
+    )
+
+
+def bm25_weights(docs: DataFrame, query: str, stats: tuple[DataFrame, DataFrame] | None = None) -> Column:
     """Σ over the query words of the term score in each document.
 
-    The corpus figures are one row: documents, mean length, and documents per
-    query word, all from one pass.
+    The corpus figures are one row and one row per query word, read from ``stats``
+    where it is kept; otherwise they take a pass over the documents.
     """
     words = sorted(set(_words(query)))
-    stats = docs.agg(
-        F.count("*").alias("n"),
-        F.avg(F.size("tokens")).alias("mean"),
-        *[F.count_if(F.array_contains("tokens", w)).alias(f"df{i}") for i, w in enumerate(words)],
-    ).first()
+    totals, terms = term_stats(docs) if stats is None else stats
+    ends = totals.first()
+    found = {r["token"]: r["df"] for r in terms.filter(F.col("token").isin(words)).collect()}
+    stats = {"n": ends["n"], "mean": ends["length"] / ends["n"] if ends["n"] else None}
+    stats |= {f"df{i}": found.get(w, 0) for i, w in enumerate(words)}
     length = LENGTH_WEIGHT * F.size("tokens") / F.lit(float(stats["mean"] or 1.0))
     score = F.lit(0.0)
 
@@ -195,9 +217,15 @@ def search(
     hidden: bool | None = None,
     system: bool | None = None,
     limit: int | None = DEFAULT_LIMIT,
+    grams: DataFrame | None = None,
+    stats: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Documents matching the text and all filters, best score first.
 
+    With ``grams``, see :func:`gram_table`, a substring search reads the names that
+    hold all grams of the text instead of all names. ``stats``, see
+    :func:`term_stats`, spares ``bm25`` its pass over the documents.
+
     Everything is a row-wise expression over one scan. ``limit=None`` returns
     every hit, unordered.
     """
@@ -224,6 +252,8 @@ def search(
     if not _words(query) or query == "*":
         hits = hits.withColumn("score", F.lit(1.0))
     elif not advanced:
+        if grams is not None:
+            hits = holding_grams(hits, grams, query)
         hits = hits.filter(substring_match(query)).withColumn("score", F.lit(1.0))
     else:
         tiers = tier_weights(query)
@@ -232,7 +262,7 @@ def search(
         if bm25:
             # Phrase and term weights scale with the term score instead of 1.
             by_term = tiers["phrase"] + tiers["terms"]
-            score = matched - by_term + by_term * bm25_weights(docs, query)
+            score = matched - by_term + by_term * bm25_weights(docs, query, stats)
         hits = hits.withColumn("_matched", matched).filter("_matched > 0")
         hits = hits.withColumn("score", F.round(score, 4)).drop("_matched")
     if limit is None:
@@ -268,18 +298,12 @@ def save_gram_table(docs: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def search_grams(docs: DataFrame, grams: DataFrame, query: str) -> DataFrame:
-    """Every document of a substring search, found through the gram table.
-
-    A name that holds the text holds all its 3-grams; those names are then
-    compared in full. Texts under three characters scan the names.
-    """
-    text = query.strip().lower()
-    wanted = X.grams(text, 3, 3)
+def holding_grams(docs: DataFrame, grams: DataFrame, query: str) -> DataFrame:
+    """Documents whose names hold every 3-gram of the text; all of them for a shorter text."""
+    wanted = X.grams(query.strip().lower(), 3, 3)
     if not wanted:
-        return search(docs, query, limit=None)
-    spark = docs.sparkSession
-    one_row = spark.range(1).select(*[_gram_bucket(F.lit(g)) for g in wanted])
+        return docs
+    one_row = docs.sparkSession.range(1).select(*[_gram_bucket(F.lit(g)) for g in wanted])
     buckets = sorted(set(one_row.first()))
     having = (
         grams.filter(F.col("bucket").isin(buckets) & F.col("gram").isin(wanted))
@@ -287,7 +311,16 @@ def search_grams(docs: DataFrame, grams: DataFrame, query: str) -> DataFrame:
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") == len(wanted))
     )
-    return search(docs.join(having, ["volume", "file_id"], "left_semi"), query, limit=None)
+    return docs.join(having, ["volume", "file_id"], "left_semi")
+
+
+def search_grams(docs: DataFrame, grams: DataFrame, query: str) -> DataFrame:
+    """Every document of a substring search, found through the gram table.
+
+    A name that holds the text holds all its 3-grams; those names are then
+    compared in full. Texts under three characters scan the names.
+    """
+    return search(docs, query, limit=None, grams=grams)
 
 
 def reconcile(hits: DataFrame, facts: DataFrame) -> DataFrame:

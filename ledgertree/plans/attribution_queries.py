@@ -121,7 +121,7 @@ def _signature_sql(column: str) -> str:
 
 @query("signature_match", f"select path, {_signature_sql('path')} as description from targets")
 def signature_match(fx: Fixtures):
-    return A.match_signatures(_targets(fx))
+    return A.match_signatures(_targets(fx), A.signature_table(fx.spark))
 
 
 def _text_sql(template: str, column: str) -> str:

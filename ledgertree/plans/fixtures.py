@@ -60,6 +60,11 @@ NOW = "2024-02-01 00:00:00"
 _BUILT: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
+def forget() -> None:
+    """Let the next query write its copies anew."""
+    _BUILT.clear()
+
+
 class Fixtures:
     """Lazily written copies of the views, one per session and data folder."""
 

@@ -83,7 +83,8 @@ def _tier(fx: Fixtures, text: str, tier: str):
 
 @query("search_substring", "select uid, name, 1.0::double as score from docs where contains(name_lower, 'r_12')")
 def search_substring(fx: Fixtures):
-    return search.search(S.documents(fx), " R_12", limit=None).select(*_HIT)
+    grams = fx.keep("grams", lambda: search.gram_table(S.documents(fx)), ("bucket", "gram", "volume", "file_id"))
+    return search.search(S.documents(fx), " R_12", limit=None, grams=grams).select(*_HIT)
 
 
 @query("search_match_all", "select uid, name, 1.0::double as score from docs")
@@ -150,7 +151,8 @@ where {' + '.join(tiers.values())} > 0"""
 
 @query("search_bm25", _bm25_check("red widget"))
 def search_bm25(fx: Fixtures):
-    hits = search.search(S.names(fx), "red widget", advanced=True, bm25=True, limit=None)
+    stats = tuple(fx.keep(f"term-stats-{i}", lambda i=i: search.term_stats(S.names(fx))[i]) for i in (0, 1))
+    hits = search.search(S.names(fx), "red widget", advanced=True, bm25=True, limit=None, stats=stats)
     return hits.select("uid", "name", F.round("score", 3).alias("score"))
 
 

@@ -475,3 +475,14 @@ def test_long_tokens_are_kept(spark):
     name = "report " + "deadbeef" * 7 + " final.txt"
     df = spark.createDataFrame([(name,)], "name string")
     assert df.select(text.tokens(F.col("name"))).first()[0] == ["report", "deadbeef" * 7, "final", "txt"]
+
+
+def test_signatures_from_a_table(spark):
+    table = A.upsert_signatures(
+        spark.createDataFrame([("a/b", "old"), ("zz", "z")], "key string, description string"),
+        spark.createDataFrame([("a/b", "new"), ("a", "first")], "key string, description string"),
+    )
+    paths = spark.createDataFrame([("x\\A\\B",), ("zzz",), ("none",), (None,)], "path string")
+    got = {r.path: r.description for r in A.match_signatures(paths, table).collect()}
+    assert got == {"x\\A\\B": "first", "zzz": "z", "none": None, None: None}
+    assert {r.description for r in A.match_signatures(paths, table.limit(0)).collect()} == {None}

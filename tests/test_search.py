@@ -75,3 +75,16 @@ def test_gram_table_finds_what_a_scan_finds(spark, docs, tmp_path):
         assert names(search.search_grams(docs, grams, query)) == names(search.search(docs, query, limit=None))
     plan = search.search_grams(docs, grams, "proposal")._jdf.queryExecution().toString()
     assert "PartitionFilters: [bucket" in plan
+
+
+def test_term_stats_follow_added_and_removed_documents(spark, docs):
+    ids = sorted(r.uid for r in docs.select("uid").collect())
+    first, rest = docs.filter(F.col("uid").isin(ids[:3])), docs.filter(~F.col("uid").isin(ids[:3]))
+    merged = search.merge_term_stats(search.term_stats(first), search.term_stats(rest))
+    for got, want in zip(merged, search.term_stats(docs), strict=True):
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    back = search.merge_term_stats(merged, search.term_stats(rest), sign=-1)
+    assert sorted(map(tuple, back[1].collect())) == sorted(map(tuple, search.term_stats(first)[1].collect()))
+    found = search.search(docs, "file", advanced=True, bm25=True, limit=None, stats=merged)
+    plain = search.search(docs, "file", advanced=True, bm25=True, limit=None)
+    assert {(r.uid, r.score) for r in found.collect()} == {(r.uid, r.score) for r in plain.collect()}

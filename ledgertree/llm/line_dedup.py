@@ -12,6 +12,10 @@ and meet under the length filter, the index-prefix and positional filters and a
 64-bit sketches; surviving pairs are verified on the sets. A word's rows are held only as
 far back as the length filter reaches.
 
+A line goes as soon as one earlier line is like it, so pairs are not listed: a first round
+verifies for each class the earlier one that the sketches put nearest. Only classes that
+this leaves open and that have met further ones enter a second round, with all their pairs.
+
 Null and empty texts have no lines that count. Rows with one doc_id are taken as the same
 document. Word and set identities are 64-bit fingerprints.
 """
@@ -32,6 +36,8 @@ MIN_WORDS = 5
 COUNTERS = 1 << 20
 #: Set identities that a task remembers, so as to index a class once per task.
 SEEN = 500_000
+#: Words of 8 bytes that are broadcast at most; more are joined.
+MAX_BROADCAST = 500_000
 
 
 class Lines:
@@ -112,24 +118,27 @@ _LINES = "line_no int, set_id long, n int, bits long, prefix array<long>"
 
 
 def line_table(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(doc_id, line_no, set_id, n, bits, prefix); a class's prefix is given once per task at least."""
+    """(doc_id, line_no, set_id, n, bits, prefix); a task gives a class's prefix at the first place it has seen."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)
     rows = docs.select("doc_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, tuple] = {}
         for batch in batches:
+            docs_of = batch.column(0).to_pylist()
             for at, texts in chunks(batch.column(1).to_pylist()):
                 lines = Lines(texts)
                 sizes, token = ordered_sets(lines, shared.value)
                 ids = set_ids(sizes, token)
-                listed = ids.tolist()
                 lead = np.zeros(len(ids), dtype=bool)
-                lead[np.unique(ids, return_index=True)[1]] = True
-                lead &= np.array([x not in seen for x in listed], dtype=bool)
-                if len(seen) + len(listed) > SEEN:
+                if len(seen) + len(ids) > SEEN:
                     seen.clear()
-                seen.update(listed)
+                places = zip(ids.tolist(), lines.doc.tolist(), lines.number.tolist(), strict=True)
+                for k, (own, doc, number) in enumerate(places):
+                    doc = docs_of[at + doc]
+                    here = (doc is not None, doc, number)
+                    if own not in seen or here < seen[own]:
+                        seen[own], lead[k] = here, True
                 take = np.where(lead, prefix_size(sizes), 0)
                 first = np.cumsum(sizes) - sizes
                 spot = np.arange(int(take.sum())) + np.repeat(first - np.cumsum(take) + take, take)
@@ -148,8 +157,11 @@ def line_table(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     return materialize(rows.mapInArrow(work, f"doc_id {kind}, {_LINES}"), "lines")
 
 
-def meet(token, n, pos, ids, bits, percent: int = PERCENT) -> np.ndarray:
-    """Pairs (smaller set, larger set) that pass all filters; rows are sorted by (token, n, id)."""
+def meet(token, n, pos, ids, bits, doc, line, asked=None, percent: int = PERCENT) -> dict[str, np.ndarray]:
+    """Pairs of classes that pass all filters: ``earlier``, ``later`` and the ``bits`` they differ in.
+
+    Rows are sorted by (token, n, id). ``asked`` marks the rows that may be the later one.
+    """
     out = []
     at, step = np.arange(len(token)), 0
     while len(at):
@@ -163,38 +175,73 @@ def meet(token, n, pos, ids, bits, percent: int = PERCENT) -> np.ndarray:
         apart = np.bitwise_count((bits[at] ^ bits[other]).view(U64)).astype(np.int64)
         good = (ids[at] != ids[other]) & (pos[at] < index_size(n[at])) & (most >= need)
         good &= apart <= n[at] + n[other] - 2 * need
-        if good.any():
-            out.append(np.column_stack((ids[at[good]], ids[other[good]])))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [c.to_numpy() for c in batch.columns]
-        new = [new[0], new[1].astype(np.int64), new[2].astype(np.int64), new[3], new[4]]
-        # A task may get one class from several tasks; its rows are neighbours.
-        all_ = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        again = (all_[0][1:] == all_[0][:-1]) & (all_[3][1:] == all_[3][:-1])
-        all_ = [x[np.concatenate(([True], ~again))] for x in all_]
-        pairs = meet(*all_)
-        # Only rows of the last word that a longer set may still meet are needed further.
-        reach = (all_[0] == all_[0][-1]) & (100 * all_[1] >= PERCENT * all_[1][-1])
-        held = [x[reach] for x in all_]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
-def similar(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b): classes of lines whose similarity reaches the threshold."""
-    rows = lines.filter("size(prefix) > 0").select(
-        "n", "set_id", "bits", F.posexplode("prefix").alias("pos", "token")
-    ).select("token", "n", "pos", "set_id", "bits")
-    ordered = rows.repartition("token").sortWithinPartitions("token", "n", "set_id")
-    pairs = materialize(ordered.mapInArrow(_candidates, "a long, b long").distinct(), "pairs")
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
+        a, b = at[good], other[good]
+        late = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
+        early, later = np.where(late, b, a), np.where(late, a, b)
+        if asked is not None:
+            early, later, kept = early[asked[later]], later[asked[later]], asked[later]
+            out.append((ids[early], ids[later], apart[good][kept]))
+        elif len(a):
+            out.append((ids[early], ids[later], apart[good]))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+    return dict(zip(("earlier", "later", "bits"), columns, strict=True))
+
+
+def nearest(pairs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(earlier, later, more) with the nearest earlier class of each later one, and whether it has others."""
+    order = np.lexsort((pairs["earlier"], pairs["bits"], pairs["later"]))
+    early, later = pairs["earlier"][order], pairs["later"][order]
+    first = np.flatnonzero(np.append(True, later[1:] != later[:-1])) if len(later) else np.zeros(0, np.int64)
+    # Equal pairs from several words are one; the last differs from the first if there are others.
+    low, high = (np.minimum.reduceat(early, first), np.maximum.reduceat(early, first)) if len(first) else (early, early)
+    return early[first], later[first], low != high
+
+
+NO_DOC = -(1 << 63)
+_POSTINGS = ("token", "n", "set_id", "doc", "line_no", "pos", "bits")
+
+
+def postings(lines: DataFrame) -> DataFrame:
+    """A row for each word of the classes' prefixes."""
+    return lines.filter("size(prefix) > 0").select(
+        "n", "set_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), "line_no", "bits",
+        F.posexplode("prefix").alias("pos", "token"),
+    ).select(*_POSTINGS)
+
+
+def matched(rows: DataFrame, all_pairs: bool) -> DataFrame:
+    """(earlier, later, more) of postings that meet; with ``all_pairs`` only for rows that are ``asked``, but all."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            new = [x.astype(np.int64) if x.dtype == np.int32 else x for x in new]
+            own = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            # Several tasks may give one class; the first of its neighbouring rows has the earliest place.
+            again = (own[0][1:] == own[0][:-1]) & (own[2][1:] == own[2][:-1])
+            own = [x[np.append(True, ~again)] for x in own]
+            token, n, ids, doc, line, pos, bits = own[:7]
+            found = meet(token, n, pos, ids, bits, doc, line, own[7] if all_pairs else None)
+            if all_pairs:
+                both = np.unique(np.column_stack((found["earlier"], found["later"])), axis=0)
+                columns = (both[:, 0], both[:, 1], np.zeros(len(both), bool))
+            else:
+                columns = nearest(found)
+            # Only rows of the last word that a longer set may still meet are needed further.
+            reach = (token == token[-1]) & (100 * n >= PERCENT * n[-1])
+            held = [x[reach] for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["earlier", "later", "more"])
+
+    ordered = rows.repartition("token").sortWithinPartitions("token", "n", "set_id", "doc", "line_no")
+    return ordered.mapInArrow(work, "earlier long, later long, more boolean")
+
+
+def word_sets(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, tokens) of the classes in ``pairs``, read from the texts again."""
+    asked = pairs.select(F.explode(F.array("earlier", "later")).alias("asked")).distinct()
     where = (
         lines.filter("size(prefix) > 0")
         .join(asked, F.col("set_id") == F.col("asked"), "left_semi")
@@ -203,49 +250,77 @@ def similar(docs: DataFrame, lines: DataFrame) -> DataFrame:
         .groupBy(F.col("at.doc_id").alias("_doc"))
         .agg(F.collect_list(F.struct("at.line_no", "set_id")).alias("wanted"))
     )
-    texts = docs.select("doc_id", "text").join(where, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "wanted")
+    # The classes grow with the documents, so they are not to be broadcast at any size.
+    texts = docs.select("doc_id", "text").join(where.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")))
+    own = texts.select(F.split("text", "\n").alias("split"), F.explode("wanted").alias("w")).select(
+        F.col("w.set_id").alias("id"), F.try_element_at("split", F.col("w.line_no") + 1).alias("line")
+    )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in chunks(batch.column(0).to_pylist()):
-                lines = Lines(part)
-                token = lines.token[np.lexsort((lines.token, lines.line))].view(np.int64)
-                end = np.cumsum(lines.count)
-                places = {key: i for i, key in enumerate(zip(lines.doc.tolist(), lines.number.tolist(), strict=True))}
-                ids, sets = [], []
-                for doc, wanted in enumerate(batch.column(1).slice(at, len(part)).to_pylist()):
-                    for x in wanted:
-                        i = places.get((doc, x["line_no"]))
-                        if i is not None:
-                            ids.append(x["set_id"])
-                            own = token[end[i] - lines.count[i] : end[i]]
-                            sets.append(own[np.append(True, own[1:] != own[:-1])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["_id", "tokens"]
+            for at, part in chunks(batch.column(1).to_pylist()):
+                w = Words(part, lower=True)
+                order = np.lexsort((w.hash, w.doc))
+                token, doc = w.hash[order], w.doc[order]
+                new = np.append(True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1]))[: len(token)]
+                token, sizes = token[new], np.bincount(doc[new], minlength=len(part))
+                right = set_ids(sizes, token) == batch.column(0).slice(at, len(part)).to_numpy()
+                sets = pa.ListArray.from_arrays(
+                    pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(token.view(np.int64))
                 )
+                # Another row of the same document may have another text.
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(part)), sets], ["id", "tokens"]
+                ).filter(pa.array(right))
+
+    return materialize(own.mapInArrow(work, "id long, tokens array<long>"), "token-sets")
 
-    sets = materialize(texts.mapInArrow(work, "_id long, tokens array<long>").dropDuplicates(["_id"]), "token-sets")
-    first = sets.select(F.col("_id").alias("a"), F.col("tokens").alias("_x"))
-    second = sets.select(F.col("_id").alias("b"), F.col("tokens").alias("_y"))
-    both = pairs.join(first, "a").join(second, "b")
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(later) of the pairs whose similarity reaches the threshold."""
+    first = sets.select(F.col("id").alias("earlier"), F.col("tokens").alias("_x"))
+    second = sets.select(F.col("id").alias("later"), F.col("tokens").alias("_y"))
+    both = pairs.select("earlier", "later").join(first, "earlier").join(second, "later")
     common = F.size(F.array_intersect("_x", "_y"))
-    return both.filter((100 + PERCENT) * common >= PERCENT * (F.size("_x") + F.size("_y"))).select("a", "b")
+    like = both.filter((100 + PERCENT) * common >= PERCENT * (F.size("_x") + F.size("_y")))
+    return like.select("later").distinct()
+
+
+def repeated_classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(later): classes whose first line is like an earlier line of another class."""
+    found = matched(postings(lines), all_pairs=False).groupBy("earlier", "later").agg(F.max("more").alias("more"))
+    pairs = materialize(found, "nearest-lines")
+    done = materialize(verified(pairs, word_sets(docs, lines, pairs)), "repeated-lines")
+
+    met = pairs.groupBy("later").agg(F.max("more").alias("more"), F.count("*").alias("n"))
+    open_ = met.filter("more or n > 1").join(done, "later", "left_anti").select(F.col("later").alias("_open"))
+    open_ = materialize(open_, "open-lines")
+    if open_.isEmpty():
+        return done
+    asked = lines.filter("size(prefix) > 0").join(open_, F.col("set_id") == F.col("_open"), "left_semi")
+    tokens = materialize(asked.select(F.explode("prefix").alias("_token")).distinct(), "open-words")
+    words = F.broadcast(tokens) if tokens.count() <= MAX_BROADCAST else tokens
+    rows = postings(lines).join(words, F.col("token") == F.col("_token"), "left_semi")
+    rows = rows.join(open_, F.col("set_id") == F.col("_open"), "left")
+    rows = rows.select(*_POSTINGS, F.col("_open").isNotNull().alias("asked"))
+    more = materialize(matched(rows, all_pairs=True).select("earlier", "later").distinct(), "open-pairs")
+    more = materialize(more.join(pairs.select("earlier", "later"), ["earlier", "later"], "left_anti"), "open-pairs")
+    return done.unionByName(verified(more, word_sets(docs, lines, more))).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no) of every removed line."""
     lines = line_table(docs, rarity(docs))
-    pairs = materialize(similar(docs, lines), "similar")
-    first = lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    first = materialize(first, "first-lines")
-    other = first.select(F.col("set_id").alias("b"), F.col("first").alias("other"))
-    linked = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    earliest = linked.join(other, "b").groupBy(F.col("a").alias("_a")).agg(F.min("other").alias("other"))
-    known = first.join(earliest, F.col("set_id") == F.col("_a"), "left").select(
-        F.col("set_id").alias("_id"), F.least("first", "other").alias("earliest")
+    repeated = repeated_classes(docs, lines).select(F.col("later").alias("_later"), F.lit(True).alias("_all"))
+    first = lines.filter("size(prefix) > 0").groupBy(F.col("set_id").alias("_id")).agg(
+        F.min(F.struct("doc_id", "line_no")).alias("first")
+    )
+    known = first.join(repeated, F.col("_id") == F.col("_later"), "left").select(
+        "_id", "first", F.coalesce("_all", F.lit(False)).alias("_all")
     )
     here = F.struct("doc_id", "line_no")
-    return lines.join(known, F.col("set_id") == F.col("_id")).filter(here > F.col("earliest")).select("doc_id", "line_no")
+    marked = lines.select("doc_id", "line_no", "set_id").join(known, F.col("set_id") == F.col("_id"))
+    return marked.filter(F.col("_all") | (here > F.col("first"))).select("doc_id", "line_no")
 
 
 def report(docs: DataFrame) -> DataFrame:

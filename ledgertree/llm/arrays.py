@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 U64 = np.uint64
 

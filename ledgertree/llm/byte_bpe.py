@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,6 +101,7 @@ class Vocabulary:
             self.tokens[slot] = token
         self.ids = np.array([ranks[t] for t in self.tokens], dtype="<u4")
         self.ranks = ranks
+        self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.pattern = pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"\s", f"[{_SPACE}]").replace(
             r"\S", f"[^{_SPACE}]"
         )
@@ -123,30 +125,41 @@ class Vocabulary:
 
     def merged(self, data: bytes) -> bytes:
         """Merge the lowest-ranked adjacent pair until none is in the vocabulary."""
-        size, rank = len(data), self.ranks.get
+        size, rank, pair = len(data), self.ranks.get, self.pairs
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        live = [True] * size
-        heap = [(r, i, i + 2) for i in range(size - 1) if (r := rank(data[i : i + 2])) is not None]
+        # now[i]: rank of the token at i joined with the next one, -1 if there is none.
+        now = [pair[a << 8 | b] for a, b in zip(data, data[1:])]
+        now.append(-1)
+        shift = size.bit_length()
+        places = (1 << shift) - 1
+        heap = [r << shift | i for i, r in enumerate(now) if r >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, left, end = heapq.heappop(heap)
-            mid = after[left] if live[left] else size
-            if mid >= size or after[mid] != end:
-                continue
-            after[left], live[mid] = end, False
+            least = pop(heap)
+            left = least & places
+            if now[left] != least >> shift:
+                continue  # one of the two was merged meanwhile
+            mid = after[left]
+            end = after[mid]
+            after[left], now[mid], now[left] = end, -1, -1
             if end < size:
                 before[end] = left
-                stop = after[end]
-                if (r := rank(data[left:stop])) is not None:
-                    heapq.heappush(heap, (r, left, stop))
+                r = rank(data[left : after[end]])
+                if r is not None:
+                    now[left] = r
+                    push(heap, r << shift | left)
             first = before[left]
-            if first >= 0 and (r := rank(data[first:end])) is not None:
-                heapq.heappush(heap, (r, first, end))
+            if first >= 0:
+                r = rank(data[first:end])
+                now[first] = -1 if r is None else r
+                if r is not None:
+                    push(heap, r << shift | first)
         out, at = [], 0
         while at < size:
             out.append(self.ranks[data[at : after[at]]])
             at = after[at]
-        return np.array(out, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
 
 
 _kept: dict[str, bytes] = {}

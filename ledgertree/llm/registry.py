@@ -14,11 +14,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch that a Python worker gets at once.
+BATCH_BYTES = 8 << 20
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Let Spark hand this package's code to its Python workers, once per application."""
+    # Texts may be long: batches are bounded in bytes, not only in rows.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgertree.operators import bounds, rank, tree
 from ledgertree.plans import shared as S
 from ledgertree.plans.fixtures import Fixtures
-from ledgertree.plans.registry import part, query, stamp
+from ledgertree.plans.registry import PARTS, part, query, stamp
 
 
 @query("ancestor_closure", "select volume, file_id, node as ancestor_id, cast(depth as bigint) as depth from up where depth > 0")
@@ -109,6 +109,68 @@ def folder_rollup_delta(fx: Fixtures):
     return tree.rollup_changes(items, rank.change_chains(S.facts(fx), items))
 
 
+# Folder rows for the log: every seventh customer's folder moves to the top of its volume under
+# a new name, every eleventh is deleted, and some nations get a new folder.
+part("moves", "", """
+ select chr(67+n_regionkey)||':' as volume, cast(1000+c_custkey as bigint) as file_id,
+        case when c_custkey % 7 = 0 then cast(n_regionkey+1 as bigint) else cast(100+c_nationkey as bigint) end as parent_file_id,
+        case when c_custkey % 7 = 0 then 'moved_' || cast(c_custkey as varchar(20)) else c_name end as name,
+        case when c_custkey % 7 = 0 then 'Renamed' else 'Deleted' end as kind
+ from customer join nation on c_nationkey = n_nationkey where c_custkey % 7 = 0 or c_custkey % 11 = 0
+ union all
+ select chr(67+n_regionkey)||':', cast(500+n_nationkey as bigint), cast(100+n_nationkey as bigint), 'new_' || n_name, 'Created'
+ from nation where n_nationkey % 3 = 0""")
+part("items_m", "", """
+ select volume, file_id, parent_file_id, name, size_delta, churn from items
+ union all
+ select m.volume, file_id, parent_file_id, name, cast(0 as bigint), 1 from moves m join win w on w.volume = m.volume""")
+part("nodes_m", "", """
+ select volume, file_id, parent_file_id, name from fx_facts f
+ where is_directory and not exists (select 1 from moves m where m.volume = f.volume and m.file_id = f.file_id)
+ union all select volume, file_id, parent_file_id, name from moves""")
+part("up_m", "(volume, file_id, node, name, nxt, depth)", """
+ select volume, file_id, file_id, name,
+        case when parent_file_id <> file_id and parent_file_id <> 0 then parent_file_id end, 0 from nodes_m
+ union all
+ select u.volume, u.file_id, d.file_id, d.name,
+        case when d.parent_file_id <> d.file_id and d.parent_file_id <> 0 then d.parent_file_id end, u.depth + 1
+ from up_m u join nodes_m d on d.volume = u.volume and d.file_id = u.nxt""")
+part("rolled_changes_m", "", """
+ select u.volume, u.node as file_id, max(u.name) as name, cast(coalesce(sum(d), 0) as bigint) as size_delta,
+        cast(coalesce(sum(c), 0) as bigint) as churn, cast(coalesce(sum(n), 0) as bigint) as item_count
+ from up_m u left join (
+   select volume, parent_file_id, sum(size_delta) as d, sum(churn) as c, count(*) as n from items_m
+   where parent_file_id <> file_id group by volume, parent_file_id) s
+   on s.volume = u.volume and s.parent_file_id = u.file_id
+ group by u.volume, u.node""")
+
+
+def _moved_log(fx: Fixtures):
+    """The log with those folder rows at the end of the window."""
+    for name in ("customer", "nation"):
+        fx.base(name).createOrReplaceTempView(name)
+    ends = S.window_ab(fx).select("volume", F.col("end_seq").alias("sequence"))
+    log, moves = S.log(fx), PARTS["moves"].removeprefix("moves as (").removesuffix(")")
+    rows = fx.spark.sql(moves).join(ends, "volume")
+    rows = rows.withColumns(
+        {"is_directory": F.lit(True), "size_delta": F.lit(0), "source": F.lit("Watcher"), "at": F.lit(S.NOW_AT)}
+    )
+    known = [F.col(f.name).cast(f.dataType) for f in log.schema.fields if f.name in rows.columns]
+    return log.unionByName(rows.select(*known), allowMissingColumns=True)
+
+
+def _moved_items(fx: Fixtures):
+    rows = rank.changed_items(bounds.in_window(_moved_log(fx), S.window_ab(fx)))
+    return fx.keep("moved-items", lambda: rows)
+
+
+@query("folder_rollup_delta_moved", "select volume, file_id, name, size_delta, churn, item_count from rolled_changes_m")
+def folder_rollup_delta_moved(fx: Fixtures):
+    """Folders renamed, moved, created and deleted in the window; only their chains are walked anew."""
+    items = _moved_items(fx)
+    return tree.rollup_changes(items, rank.change_chains(S.facts(fx), items, S.chain(fx)))
+
+
 # --- rankings ------------------------------------------------------------------------------
 
 
@@ -189,6 +251,19 @@ def top_growth_folders(fx: Fixtures):
     return ranked.select("volume", "file_id", "name", "size_delta", "churn", "item_count")
 
 
+part("grown_m", "", f"select *, abs(size_delta) as value from rolled_changes_m where {_GROWN}")
+
+
+@query("top_growth_folders_moved", f"""
+select {_FOLDER} from grown_m r where {_not_nested('grown_m').replace('from up u', 'from up_m u')}
+order by value desc, name, file_id desc, volume limit 50""")
+def top_growth_folders_moved(fx: Fixtures):
+    ranked = rank.top(
+        S.facts(fx), _moved_log(fx), S.snapshot_tables(fx)[1], growth=True, between=("s_a", "s_b"), limit=50, chain=S.chain(fx)
+    )
+    return ranked.select("volume", "file_id", "name", "size_delta", "churn", "item_count")
+
+
 part("since_items", "", """
  select l.volume, l.file_id, arg_max(l.name, sequence) as name, cast(sum(size_delta) as bigint) as size_delta, count(*) as churn
  from logc l join (select volume, min(sequence) as lo from fx_log where "at" >= timestamp '2024-01-15 00:00:00' group by volume) s

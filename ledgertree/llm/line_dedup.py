@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgertree.llm.arrays import U64, Words, chunks, mix
-from ledgertree.session import materialize
+from ledgertree.llm.registry import settled
 
 PERCENT = 80
 MIN_WORDS = 5
@@ -154,7 +154,7 @@ def line_table(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return materialize(rows.mapInArrow(work, f"doc_id {kind}, {_LINES}"), "lines")
+    return settled(rows.mapInArrow(work, f"doc_id {kind}, {_LINES}"), "lines")
 
 
 def meet(token, n, pos, ids, bits, doc, line, asked=None, percent: int = PERCENT) -> dict[str, np.ndarray]:
@@ -273,7 +273,7 @@ def word_sets(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
                     [batch.column(0).slice(at, len(part)), sets], ["id", "tokens"]
                 ).filter(pa.array(right))
 
-    return materialize(own.mapInArrow(work, "id long, tokens array<long>"), "token-sets")
+    return settled(own.mapInArrow(work, "id long, tokens array<long>"), "token-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -289,22 +289,22 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def repeated_classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(later): classes whose first line is like an earlier line of another class."""
     found = matched(postings(lines), all_pairs=False).groupBy("earlier", "later").agg(F.max("more").alias("more"))
-    pairs = materialize(found, "nearest-lines")
-    done = materialize(verified(pairs, word_sets(docs, lines, pairs)), "repeated-lines")
+    pairs = settled(found, "nearest-lines")
+    done = settled(verified(pairs, word_sets(docs, lines, pairs)), "repeated-lines")
 
     met = pairs.groupBy("later").agg(F.max("more").alias("more"), F.count("*").alias("n"))
     open_ = met.filter("more or n > 1").join(done, "later", "left_anti").select(F.col("later").alias("_open"))
-    open_ = materialize(open_, "open-lines")
+    open_ = settled(open_, "open-lines")
     if open_.isEmpty():
         return done
     asked = lines.filter("size(prefix) > 0").join(open_, F.col("set_id") == F.col("_open"), "left_semi")
-    tokens = materialize(asked.select(F.explode("prefix").alias("_token")).distinct(), "open-words")
+    tokens = settled(asked.select(F.explode("prefix").alias("_token")).distinct(), "open-words")
     words = F.broadcast(tokens) if tokens.count() <= MAX_BROADCAST else tokens
     rows = postings(lines).join(words, F.col("token") == F.col("_token"), "left_semi")
     rows = rows.join(open_, F.col("set_id") == F.col("_open"), "left")
     rows = rows.select(*_POSTINGS, F.col("_open").isNotNull().alias("asked"))
-    more = materialize(matched(rows, all_pairs=True).select("earlier", "later").distinct(), "open-pairs")
-    more = materialize(more.join(pairs.select("earlier", "later"), ["earlier", "later"], "left_anti"), "open-pairs")
+    more = settled(matched(rows, all_pairs=True).select("earlier", "later").distinct(), "open-pairs")
+    more = settled(more.join(pairs.select("earlier", "later"), ["earlier", "later"], "left_anti"), "open-pairs")
     return done.unionByName(verified(more, word_sets(docs, lines, more))).distinct()
 
 

@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgertree.session import materialize
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -36,6 +38,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once and read back, and the shuffle files of what made it let go.
+
+    Spark deletes the files of a shuffle once the driver's garbage collection finds it
+    unused, which may be long after; a step that moves much data should not wait for that.
+    """
+    out = materialize(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def shipped(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """``build``, whose first argument is the session, with the code handed out before."""
 

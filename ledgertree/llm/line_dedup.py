@@ -9,7 +9,7 @@ over all lines, ties by fingerprint. Any fixed order keeps the join exact; rare
 make it fast, and the table's size is what bounds the broadcast. Equal sets are one class.
 A class is indexed under the words of its prefix. Rows of one word come sorted by set size
 and meet under the length filter, the index-prefix and positional filters and a bound from
-64-bit sketches; surviving pairs are verified on the sets. A word's rows are held only as
+128-bit sketches; surviving pairs are verified on the sets. A word's rows are held only as
 far back as the length filter reaches.
 
 A line goes as soon as one earlier line is like it, so pairs are not listed: a first round
@@ -97,12 +97,15 @@ def set_ids(sizes: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(run[end] - run[end - sizes] + mix(sizes.astype(U64))).view(np.int64)
 
 
-def sketches(sizes: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Each set as a bitmap of 64 hashed words; two differ in at most as many bits as the sets in words."""
+def sketches(sizes: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set as a bitmap of 128 hashed words; two differ in at most as many bits as the sets in words."""
     if not len(token):
-        return np.zeros(len(sizes), np.int64)
-    bit = U64(1) << (mix(token + U64(3)) >> U64(58))
-    return np.bitwise_or.reduceat(bit, np.cumsum(sizes) - sizes).view(np.int64)
+        return np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    place = mix(token + U64(3)) >> U64(57)
+    bit, first = U64(1) << (place & U64(63)), np.cumsum(sizes) - sizes
+    low = place < U64(64)
+    halves = (np.where(low, bit, U64(0)), np.where(low, U64(0), bit))
+    return tuple(np.bitwise_or.reduceat(half, first).view(np.int64) for half in halves)
 
 
 def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -114,11 +117,11 @@ def index_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - -(-2 * percent * n // (100 + percent)) + 1
 
 
-_LINES = "line_no int, set_id long, n int, bits long, prefix array<long>"
+_LINES = "line_no int, set_id long, n int, bits long, bits2 long, prefix array<long>"
 
 
 def line_table(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(doc_id, line_no, set_id, n, bits, prefix); a task gives a class's prefix at the first place it has seen."""
+    """(doc_id, line_no, set_id, n, bits, bits2, prefix); a task gives a class's prefix at the first place it has seen."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)
     rows = docs.select("doc_id", "text")
 
@@ -148,16 +151,16 @@ def line_table(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(lines.doc + at)), pa.array(lines.number, pa.int32()), pa.array(ids),
-                        pa.array(sizes, pa.int32()), pa.array(sketches(sizes, token)), prefix,
+                        pa.array(sizes, pa.int32()), *map(pa.array, sketches(sizes, token)), prefix,
                     ],
-                    ["doc_id", "line_no", "set_id", "n", "bits", "prefix"],
+                    ["doc_id", "line_no", "set_id", "n", "bits", "bits2", "prefix"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return settled(rows.mapInArrow(work, f"doc_id {kind}, {_LINES}"), "lines")
 
 
-def meet(token, n, pos, ids, bits, doc, line, asked=None, percent: int = PERCENT) -> dict[str, np.ndarray]:
+def meet(token, n, pos, ids, bits, bits2, doc, line, asked=None, percent: int = PERCENT) -> dict[str, np.ndarray]:
     """Pairs of classes that pass all filters: ``earlier``, ``later`` and the ``bits`` they differ in.
 
     Rows are sorted by (token, n, id). ``asked`` marks the rows that may be the later one.
@@ -172,7 +175,7 @@ def meet(token, n, pos, ids, bits, doc, line, asked=None, percent: int = PERCENT
         at, other = at[near], other[near]
         need = -(-percent * (n[at] + n[other]) // (100 + percent))
         most = 1 + np.minimum(n[at] - pos[at], n[other] - pos[other]) - 1
-        apart = np.bitwise_count((bits[at] ^ bits[other]).view(U64)).astype(np.int64)
+        apart = sum(np.bitwise_count((b[at] ^ b[other]).view(U64)).astype(np.int64) for b in (bits, bits2))
         good = (ids[at] != ids[other]) & (pos[at] < index_size(n[at])) & (most >= need)
         good &= apart <= n[at] + n[other] - 2 * need
         a, b = at[good], other[good]
@@ -198,13 +201,13 @@ def nearest(pairs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 NO_DOC = -(1 << 63)
-_POSTINGS = ("token", "n", "set_id", "doc", "line_no", "pos", "bits")
+_POSTINGS = ("token", "n", "set_id", "doc", "line_no", "pos", "bits", "bits2")
 
 
 def postings(lines: DataFrame) -> DataFrame:
     """A row for each word of the classes' prefixes."""
     return lines.filter("size(prefix) > 0").select(
-        "n", "set_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), "line_no", "bits",
+        "n", "set_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), "line_no", "bits", "bits2",
         F.posexplode("prefix").alias("pos", "token"),
     ).select(*_POSTINGS)
 
@@ -223,8 +226,8 @@ def matched(rows: DataFrame, all_pairs: bool) -> DataFrame:
             # Several tasks may give one class; the first of its neighbouring rows has the earliest place.
             again = (own[0][1:] == own[0][:-1]) & (own[2][1:] == own[2][:-1])
             own = [x[np.append(True, ~again)] for x in own]
-            token, n, ids, doc, line, pos, bits = own[:7]
-            found = meet(token, n, pos, ids, bits, doc, line, own[7] if all_pairs else None)
+            token, n, ids, doc, line, pos, bits, bits2 = own[:8]
+            found = meet(token, n, pos, ids, bits, bits2, doc, line, own[8] if all_pairs else None)
             if all_pairs:
                 both = np.unique(np.column_stack((found["earlier"], found["later"])), axis=0)
                 columns = (both[:, 0], both[:, 1], np.zeros(len(both), bool))

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgertree.llm.arrays import U64, Words, chunks, mix
 from ledgertree.llm.registry import settled
@@ -200,6 +200,11 @@ def nearest(pairs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     return early[first], later[first], low != high
 
 
+def size_class(n: str) -> Column:
+    """Sizes that the length filter lets meet are at most one class apart, two with rounding."""
+    return F.floor(F.log(F.col(n)) / F.log(F.lit(100 / PERCENT))).cast("int")
+
+
 NO_DOC = -(1 << 63)
 _POSTINGS = ("token", "n", "set_id", "doc", "line_no", "pos", "bits", "bits2")
 
@@ -301,9 +306,13 @@ def repeated_classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
     if open_.isEmpty():
         return done
     asked = lines.filter("size(prefix) > 0").join(open_, F.col("set_id") == F.col("_open"), "left_semi")
-    tokens = settled(asked.select(F.explode("prefix").alias("_token")).distinct(), "open-words")
-    words = F.broadcast(tokens) if tokens.count() <= MAX_BROADCAST else tokens
-    rows = postings(lines).join(words, F.col("token") == F.col("_token"), "left_semi")
+    # Only rows of about the size of an open class under one of its words can meet it.
+    reach = F.explode(F.sequence(size_class("n") - 2, size_class("n") + 2))
+    asked = asked.select("prefix", reach.alias("_size")).select(F.explode("prefix").alias("_token"), "_size")
+    words = settled(asked.distinct(), "open-words")
+    words = F.broadcast(words) if words.count() <= MAX_BROADCAST else words
+    near = (F.col("token") == F.col("_token")) & (size_class("n") == F.col("_size"))
+    rows = postings(lines).join(words, near, "left_semi")
     rows = rows.join(open_, F.col("set_id") == F.col("_open"), "left")
     rows = rows.select(*_POSTINGS, F.col("_open").isNotNull().alias("asked"))
     more = settled(matched(rows, all_pairs=True).select("earlier", "later").distinct(), "open-pairs")

@@ -10,7 +10,8 @@ value, ``decode`` the bytes again. Null texts count as empty (no ids). Rows repe
 often as they come; extra columns of the input are not read. An empty table stays empty.
 
 The vocabulary is read on the driver, so its size (at most ``MAX_TOKENS``) bounds what is
-broadcast. Each Python worker keeps at most ``CACHE`` resolved pre-tokens.
+broadcast. Each Python worker keeps at most ``CACHE`` resolved pre-tokens, namely those
+that it has met in more than one batch.
 
 Letters and numbers are those of the Unicode version that the ``regex`` package knows;
 code points that another version does not assign yet may be cut differently there.
@@ -31,7 +32,9 @@ from pyspark.sql import DataFrame, functions as F
 from ledgertree.llm.arrays import U64, fingerprints, mix
 
 MAX_TOKENS = 4_000_000
-CACHE = 600_000
+CACHE = 150_000
+#: Places of a table of pre-tokens met once; only those met again are kept.
+DOOR = 1 << 22
 _PER_BUCKET = 4
 _STEP = U64(0x9E3779B97F4A7C15)
 #: White space as the pattern's engine defines it (fixed values).
@@ -164,6 +167,7 @@ class Vocabulary:
 
 _kept: dict[str, bytes] = {}
 _kept_for: list[object] = []
+_met = np.zeros(DOOR, dtype=bool)
 
 
 def encode_texts(texts: list[str | None], vocabulary: Vocabulary) -> list[bytes]:
@@ -171,16 +175,21 @@ def encode_texts(texts: list[str | None], vocabulary: Vocabulary) -> list[bytes]
         _kept.clear()
         _kept_for[:] = [vocabulary]
     find = regex.compile(vocabulary.pattern).findall
-    out = []
-    for text in texts:
-        pieces = find(text) if text else []
-        new = list(set(pieces).difference(_kept))
-        if new:
-            if len(_kept) + len(new) > CACHE:
-                _kept.clear()
-                new = list(set(pieces))
-            _kept.update(zip(new, vocabulary.resolve(new), strict=True))
-        out.append(b"".join(map(_kept.__getitem__, pieces)))
+    all_pieces = [find(text) if text else [] for text in texts]
+    distinct = set().union(*all_pieces)
+    new = list(distinct.difference(_kept))
+    resolved = vocabulary.resolve(new)
+    # A Bloom filter of one hash: a false hit keeps a pre-token early, and no more.
+    door = (fingerprints([piece.encode() for piece in new]) % U64(DOOR)).astype(np.int64)
+    again = _met[door]
+    _met[door] = True
+    known = {piece: _kept[piece] for piece in distinct.intersection(_kept)}
+    known.update(zip(new, resolved, strict=True))
+    out = [b"".join(map(known.__getitem__, pieces)) for pieces in all_pieces]
+    if len(_kept) + int(again.sum()) > CACHE:
+        _kept.clear()
+        _met[:] = False
+    _kept.update((piece, ids) for piece, ids, twice in zip(new, resolved, again.tolist(), strict=True) if twice)
     return out
 
 

@@ -7,7 +7,7 @@ encoded texts. ``run`` applies them in order.
 1. quality rules: documents that the rules reject go.
 2. line dedup: lines that repeat an earlier one go; documents stay, if need be without text.
 3. n-gram join: of each group of near copies the document with the smallest id stays.
-4. mixing: each document comes as often as the mix takes its words, rounded.
+4. mixing: each document comes as often as the mix takes its words, fractions by a coin.
 5. byte-level BPE: ids and decoded bytes of each text, as digests.
 """
 

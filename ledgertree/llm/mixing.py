@@ -30,6 +30,8 @@ RUN = 4096
 #: Slots that one row is expanded into.
 CHUNK = 16_384
 ROUNDS = 8
+#: Sides of the coin that decides over a fraction of a copy.
+COINS = 1 << 30
 PRIME = 2_147_483_647
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -172,8 +174,16 @@ def taken_words(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes its words, rounded; rows not taken go."""
-    taken = taken_words(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_id"))
-    times = taken.agg(F.expr("cast(floor(sum(taken) / sum(size) + 0.5) as int)").alias("_times")).filter("_times > 0")
-    kept = docs.join(times, F.col("doc_id") == F.col("_id"))
-    return kept.withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
+    """``docs`` with each row as often as the mix takes its words; rows not taken go.
+
+    A row comes taken / size times, rounded down, and once more with the fraction as its
+    probability. The coin is a hash of the row, so reruns agree and a source's words meet
+    its target whatever the length of its documents.
+    """
+    taken = taken_words(docs).filter("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"))
+    share = taken.agg((F.sum("taken") / F.sum("size")).alias("_share")).filter("_share > 0")
+    same = (F.col("doc_id") == F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    coin = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "source", "text"), F.lit(COINS)) / COINS
+    kept = docs.join(share, same).withColumn("_times", F.floor(F.col("_share") + coin).cast("int"))
+    kept = kept.filter("_times > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _times)")))
+    return kept.select(*docs.columns)

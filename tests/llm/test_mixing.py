@@ -88,3 +88,19 @@ def test_mixed_and_empty(spark):
     nothing = mixing.taken_words(documents(spark, [None, ""])).collect()
     assert {(r.size, r.taken, r.target) for r in nothing} == {(0, 0, 0.0)}
     assert duckdb.__version__
+
+
+def test_mixed_meets_targets_with_long_texts(spark):
+    ship(spark)
+    # A hot source that is to give about a quarter of its words, and two to be repeated.
+    rows = [(i, f"w{i} " * 1500, "en", "a" if i % 10 < 6 else "bc"[i % 2], 0) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    share = {r.doc_id: r.taken / r.size for r in mixing.taken_words(docs).collect()}
+    times = dict.fromkeys(share, 0)
+    for r in mixing.mixed(docs.repartition(7)).collect():
+        times[r.doc_id] += 1
+    assert all(int(x) <= times[i] <= int(x) + 1 for i, x in share.items())
+    for source, target in shares({"a": 540 * 1500, "b": 180 * 1500, "c": 180 * 1500}).items():
+        words_of = 1500 * sum(times[i] for i, _, _, s, _ in rows if s == source)
+        assert words_of == pytest.approx(target, rel=0.15)
+    assert sorted(r.doc_id for r in mixing.mixed(docs).collect()) == sorted(i for i, n in times.items() for _ in range(n))

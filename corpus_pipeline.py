@@ -6,7 +6,7 @@ encoded texts. ``run`` applies them in order.
 
 1. quality rules: documents that the rules reject go.
 2. line dedup: lines that repeat an earlier one go; documents stay, if need be without text.
-3. n-gram join: of each group of near copies the document with the smallest id stays.
+3. n-gram join: of each group of near copies (5-word shingles, 80 % alike) the document with the smallest id stays.
 4. mixing: each document comes as often as the mix takes its words, fractions by a coin.
 5. byte-level BPE: ids and decoded bytes of each text, as digests.
 """
@@ -22,6 +22,9 @@ from ledgertree.session import materialize
 #: The first stage is a trained model, which SQL cannot express; tests/llm checks the stages.
 ORACLE_SQL = None
 
+#: Shingle length and similarity of near copies; those of op6 bind the query alone.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 @shipped
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 @shipped
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 @shipped

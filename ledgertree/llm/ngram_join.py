@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap, without loss.
 
-Two documents link when ``100 * intersection >= PERCENT * union`` of their distinct
-``WORDS``-word shingles. Shingles are hashed into groups, and a document is a point whose
+Two documents link when ``100 * intersection >= percent * union`` of their distinct
+shingles of ``words`` words; op6 has ``PERCENT`` and ``WORDS``. Shingles are hashed into groups, and a document is a point whose
 coordinates are its group contents.
 
 1. Tiles. Sizes fall into classes such that linked sets are in one class or neighbours. In
@@ -109,14 +109,14 @@ def tiles(sizes: np.ndarray, value: np.ndarray, percent: int = PERCENT) -> tuple
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
+def fingerprinted(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, set_id); the set is null without shingles."""
     rows = docs.select("doc_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in chunks(batch.column(1).to_pylist()):
-                sizes, value = shingle_sets(texts)
+                sizes, value = shingle_sets(texts, words)
                 ids = pa.array(set_ids(sizes, value), mask=sizes == 0)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.array(sizes), ids], ["doc_id", "n_shingles", "set_id"]
@@ -126,14 +126,14 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, f"doc_id {kind}, n_shingles long, set_id long")
 
 
-def tile_edges(docs: DataFrame) -> DataFrame:
+def tile_edges(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): sets that share a tile, each with the smallest one of the tile."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, texts in chunks(batch.column(0).to_pylist()):
-                sizes, value = shingle_sets(texts)
+                sizes, value = shingle_sets(texts, words)
                 ids = set_ids(sizes, value)
                 listed = ids.tolist()
                 new = np.array([x not in seen for x in listed], dtype=bool)
@@ -145,7 +145,7 @@ def tile_edges(docs: DataFrame) -> DataFrame:
                     seen.clear()
                 seen.update(listed)
                 value = value[np.repeat(new, sizes)]
-                tile, owner = tiles(sizes[new], value)
+                tile, owner = tiles(sizes[new], value, percent)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(tile.view(np.int64)), pa.array(ids[new][owner])], ["tile", "set_id"]
                 )
@@ -171,13 +171,13 @@ def tile_edges(docs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(link, "a long, b long").distinct()
 
 
-def parts(members: DataFrame, leaf: int = LEAF_SETS) -> DataFrame:
+def parts(members: DataFrame, leaf: int = LEAF_SETS, percent: int = PERCENT) -> DataFrame:
     """``members`` (cluster, set_id, n_shingles) once for each group it is joined in: ``pair`` and ``side``.
 
     A cluster of at most ``leaf`` sets is one group. Larger ones are cut into parts by size
     class and hash; a part meets itself, the other parts of its class and those of the next.
     """
-    bounds = class_starts(1 << 40)
+    bounds = class_starts(1 << 40, percent)
     starts = F.array(*(F.lit(int(x)) for x in bounds))
     rows = members.withColumn("_starts", starts).withColumn(
         "band", F.expr("size(filter(_starts, s -> s <= n_shingles))")
@@ -275,10 +275,10 @@ def joined(
     return tree, out
 
 
-def _join_group(table: pa.Table) -> pa.Table:
+def _join_group(table: pa.Table, percent: int) -> pa.Table:
     ids = table.column("set_id").to_numpy()
     sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
-    tree, links = joined(sets, table.column("copies").to_numpy(), table.column("side").to_numpy())
+    tree, links = joined(sets, table.column("copies").to_numpy(), table.column("side").to_numpy(), percent)
     a = [int(ids[i]) for i, _ in tree] + ids.tolist()
     b = [int(ids[j]) for _, j in tree] + [None] * len(ids)
     return pa.table(
@@ -287,13 +287,13 @@ def _join_group(table: pa.Table) -> pa.Table:
     )
 
 
-def classes(docs: DataFrame, leaf: int = LEAF_SETS) -> DataFrame:
+def classes(docs: DataFrame, leaf: int = LEAF_SETS, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of ``docs``."""
-    own = materialize(fingerprinted(docs), "sets")
+    own = materialize(fingerprinted(docs, words), "sets")
     distinct = own.filter("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies")
     )
-    clusters = components(tile_edges(docs)).withColumnsRenamed({"id": "set_id", "root": "cluster"})
+    clusters = components(tile_edges(docs, words, percent)).withColumnsRenamed({"id": "set_id", "root": "cluster"})
     members = materialize(clusters.join(distinct, "set_id"), "members")
 
     wanted = members.select(F.col("rep").alias("_rep"), F.col("set_id").alias("_set"))
@@ -304,7 +304,7 @@ def classes(docs: DataFrame, leaf: int = LEAF_SETS) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in chunks(batch.column(0).to_pylist()):
-                sizes, value = shingle_sets(part)
+                sizes, value = shingle_sets(part, words)
                 asked = batch.column(1).slice(at, len(part))
                 # An id may have several texts; only the one that was asked for counts.
                 right = set_ids(sizes, value) == asked.to_numpy()
@@ -312,9 +312,13 @@ def classes(docs: DataFrame, leaf: int = LEAF_SETS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([asked, pa.array(packed)], ["_set", "shingles"]).filter(pa.array(right))
 
     sets = texts.mapInArrow(work, "_set long, shingles binary").dropDuplicates(["_set"])
-    spread = parts(members.select("cluster", "set_id", "n_shingles", "copies"), leaf)
+    spread = parts(members.select("cluster", "set_id", "n_shingles", "copies"), leaf, percent)
     rows = spread.join(sets, F.col("set_id") == F.col("_set")).select("pair", "set_id", "copies", "side", "shingles")
-    found = materialize(rows.groupBy("pair").applyInArrow(_join_group, "a long, b long, links long"), "links")
+
+    def join(table: pa.Table) -> pa.Table:
+        return _join_group(table, percent)
+
+    found = materialize(rows.groupBy("pair").applyInArrow(join, "a long, b long, links long"), "links")
 
     roots = components(found.filter("b is not null").select("a", "b"))
     links = found.filter("b is null").groupBy(F.col("a").alias("_linked")).agg(F.sum("links").alias("links"))
@@ -334,7 +338,7 @@ def classes(docs: DataFrame, leaf: int = LEAF_SETS) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The document with the smallest id of each component, with the columns it came with."""
-    kept = classes(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = classes(docs, words=words, percent=percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")

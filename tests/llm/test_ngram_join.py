@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from helpers import corpus, documents, lowered, words
@@ -64,3 +65,17 @@ def test_empty_table_and_one_of_each(spark):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, v in brute(texts).items() if v[1] == i}
+
+
+def test_pipeline_joins_at_five_words_and_80_percent(spark):
+    ship(spark)
+    base = [f"w{i}" for i in range(94)]
+    # Two scattered edits: 80 of 100 five-word shingles are common, 83 of 99 four-word ones.
+    edited = [{30: "x", 60: "y"}.get(i, w) for i, w in enumerate(base)]
+    # A third one is too many for both.
+    far = [{30: "p", 60: "q", 75: "r"}.get(i, w) for i, w in enumerate(base)]
+    docs = documents(spark, [" ".join(base), " ".join(edited), " ".join(far), "other words that stand alone here"])
+    assert {r.doc_id for r in ngram_join.one_of_each(docs).collect()} == {0, 1, 2, 3}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {0, 2, 3}
+    links = {r.doc_id: r.n_links for r in ngram_join.classes(docs, 1, 5, 80).collect()}
+    assert links == {0: 1, 1: 1, 2: 0, 3: 0}

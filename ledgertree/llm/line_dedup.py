@@ -1,6 +1,6 @@
 """Line dedup: an exact set-similarity join of lines.
 
-A line (\\n-split) of at least ``MIN_WORDS`` words is the set of its words, A-Z lower-cased.
+A line (\\n-split) with words, however few, is the set of its words, A-Z lower-cased.
 It is removed when an earlier line, by (doc_id, line number), has a Jaccard similarity of
 at least ``PERCENT`` percent; similarity is judged on the input, not on what is left.
 
@@ -16,7 +16,7 @@ A line goes as soon as one earlier line is like it, so pairs are not listed: a f
 verifies for each class the earlier one that the sketches put nearest. Only classes that
 this leaves open and that have met further ones enter a second round, with all their pairs.
 
-Null and empty texts have no lines that count. Rows with one doc_id are taken as the same
+Null and empty texts have no lines that count, and lines without words stay. Rows with one doc_id are taken as the same
 document. Word and set identities are 64-bit fingerprints.
 """
 
@@ -32,7 +32,9 @@ from ledgertree.llm.arrays import U64, Words, chunks, mix
 from ledgertree.llm.registry import settled
 
 PERCENT = 80
-MIN_WORDS = 5
+MIN_WORDS = 1
+#: Distinct words from which a set can be like another one; smaller ones only have copies.
+LEAST_NEAR = -(-PERCENT // (100 - PERCENT))
 COUNTERS = 1 << 20
 #: Set identities that a task remembers, so as to index a class once per task.
 SEEN = 500_000
@@ -41,7 +43,7 @@ MAX_BROADCAST = 500_000
 
 
 class Lines:
-    """Lines of some texts that have enough words, with their words."""
+    """Lines of some texts that have words, with their words."""
 
     def __init__(self, texts: list[bytes], least: int = MIN_WORDS):
         w = Words(texts, lower=True)
@@ -210,8 +212,8 @@ _POSTINGS = ("token", "n", "set_id", "doc", "line_no", "pos", "bits", "bits2")
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """A row for each word of the classes' prefixes."""
-    return lines.filter("size(prefix) > 0").select(
+    """A row for each word of the prefixes of classes that can be like others."""
+    return lines.filter(f"size(prefix) > 0 and n >= {LEAST_NEAR}").select(
         "n", "set_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), "line_no", "bits", "bits2",
         F.posexplode("prefix").alias("pos", "token"),
     ).select(*_POSTINGS)

@@ -62,3 +62,13 @@ def test_against_all_pairs(spark, make):
 def test_empty_table(spark):
     ship(spark)
     assert line_dedup.report(documents(spark, ["a"]).limit(0)).collect() == []
+
+
+def test_short_lines_go_too(spark):
+    ship(spark)
+    texts = ["yes\n\nsee more\na b c d e", "YES\n \nmore see more\nno", "a b c d\nb c d\nno\nd c b\nyes no"]
+    rows = {r.doc_id: r.removed for r in line_dedup.report(documents(spark, texts)).collect()}
+    # Four of five words are 80 %, three of four are not; lines without words stay.
+    assert rows == {0: [], 1: [0, 2], 2: [0, 2, 3]}
+    kept = {r.doc_id: r.text for r in line_dedup.without_repeats(documents(spark, texts)).collect()}
+    assert kept == {0: texts[0], 1: " \nno", 2: "b c d\nyes no"}

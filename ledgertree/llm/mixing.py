@@ -182,7 +182,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     taken = taken_words(docs).filter("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"))
     share = taken.agg((F.sum("taken") / F.sum("size")).alias("_share")).filter("_share > 0")
-    same = (F.col("doc_id") == F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
     coin = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "source", "text"), F.lit(COINS)) / COINS
     kept = docs.join(share, same).withColumn("_times", F.floor(F.col("_share") + coin).cast("int"))
     kept = kept.filter("_times > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _times)")))

@@ -27,7 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgertree.llm.arrays import U64, Words, chunks, mix, ngrams
 from ledgertree.llm.components import components
@@ -287,8 +289,11 @@ def _join_group(table: pa.Table, percent: int) -> pa.Table:
     )
 
 
-def classes(docs: DataFrame, leaf: int = LEAF_SETS, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row of ``docs``."""
+def linked_sets(docs: DataFrame, leaf: int, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, set_id) of every row, and (_set, root, component_id, n_links) of every set.
+
+    A component's id is null if only rows without an id hold its sets.
+    """
     own = materialize(fingerprinted(docs, words), "sets")
     distinct = own.filter("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies")
@@ -299,7 +304,9 @@ def classes(docs: DataFrame, leaf: int = LEAF_SETS, words: int = WORDS, percent:
     wanted = members.select(F.col("rep").alias("_rep"), F.col("set_id").alias("_set"))
     # The members grow with the documents, so they are not to be broadcast at any size.
     texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("_rep"))
-    texts = texts.select("text", "_set")
+    # Rows without an id cannot be asked for; all of them are read, and the set is worked out.
+    no_id = docs.filter("doc_id is null").select("text", F.lit(None).cast("long").alias("_set"))
+    texts = texts.select("text", "_set").union(no_id)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,9 +314,10 @@ def classes(docs: DataFrame, leaf: int = LEAF_SETS, words: int = WORDS, percent:
                 sizes, value = shingle_sets(part, words)
                 asked = batch.column(1).slice(at, len(part))
                 # An id may have several texts; only the one that was asked for counts.
-                right = set_ids(sizes, value) == asked.to_numpy()
+                found = pa.array(set_ids(sizes, value))
+                right = pc.and_(pc.fill_null(pc.equal(found, asked), True), pa.array(sizes > 0))
                 packed = [x.tobytes() for x in np.split(value, np.cumsum(sizes)[:-1])]
-                yield pa.RecordBatch.from_arrays([asked, pa.array(packed)], ["_set", "shingles"]).filter(pa.array(right))
+                yield pa.RecordBatch.from_arrays([found, pa.array(packed)], ["_set", "shingles"]).filter(right)
 
     sets = texts.mapInArrow(work, "_set long, shingles binary").dropDuplicates(["_set"])
     spread = parts(members.select("cluster", "set_id", "n_shingles", "copies"), leaf, percent)
@@ -330,8 +338,14 @@ def classes(docs: DataFrame, leaf: int = LEAF_SETS, words: int = WORDS, percent:
     named = materialize(named, "named")
     least = named.groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("component_id"))
     named = named.join(least, F.col("root") == F.col("_root")).select(
-        F.col("set_id").alias("_set"), "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")
+        F.col("set_id").alias("_set"), "root", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")
     )
+    return own, named
+
+
+def classes(docs: DataFrame, leaf: int = LEAF_SETS, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row of ``docs``."""
+    own, named = linked_sets(docs, leaf, words, percent)
     return own.join(named, F.col("set_id") == F.col("_set"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
@@ -339,6 +353,27 @@ def classes(docs: DataFrame, leaf: int = LEAF_SETS, words: int = WORDS, percent:
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest id of each component, with the columns it came with."""
-    kept = classes(docs, words=words, percent=percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """The document with the smallest id of each component, with the columns it came with.
+
+    Of a component without ids one row stays; rows that have neither id nor words stay.
+    """
+    own, named = linked_sets(docs, LEAF_SETS, words, percent)
+    rows = own.join(named, F.col("set_id") == F.col("_set"), "left")
+    kept = rows.filter("doc_id = coalesce(component_id, doc_id)").select(F.col("doc_id").alias("_id")).distinct()
+    with_id = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in chunks(batch.column(at).to_pylist()):
+                sizes, value = shingle_sets(texts, words)
+                ids = pa.array(set_ids(sizes, value), mask=sizes == 0)
+                part = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "_own"])
+
+    no_id = docs.filter("doc_id is null")
+    no_id = no_id.mapInArrow(work, StructType([*docs.schema.fields, StructField("_own", LongType())]))
+    alone = named.filter("component_id is null and _set = root").select("_set")
+    one = no_id.dropDuplicates(["_own"]).join(alone, F.col("_own") == F.col("_set"), "left_semi")
+    return with_id.union(no_id.filter("_own is null").union(one).select(*docs.columns))

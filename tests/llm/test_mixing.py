@@ -104,3 +104,13 @@ def test_mixed_meets_targets_with_long_texts(spark):
         words_of = 1500 * sum(times[i] for i, _, _, s, _ in rows if s == source)
         assert words_of == pytest.approx(target, rel=0.15)
     assert sorted(r.doc_id for r in mixing.mixed(docs).collect()) == sorted(i for i, n in times.items() for _ in range(n))
+
+
+def test_mixed_keeps_null_ids(spark):
+    ship(spark)
+    # Equal shares of 1, 2 and 3 epochs at most: the third source is taken twice or more.
+    rows = [(None if s == "c" else k, f"{s}{k} " * 640, "en", s, 0) for s in "abc" for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = sum(r.taken for r in mixing.taken_words(docs).collect() if r.source == "c")
+    got = [r.text.split()[0] for r in mixing.mixed(docs).collect() if r.doc_id is None]
+    assert 640 * len(got) == pytest.approx(taken, rel=0.35) and len(set(got)) == 20

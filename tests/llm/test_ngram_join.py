@@ -3,7 +3,7 @@ from __future__ import annotations
 import corpus_pipeline
 import numpy as np
 import pytest
-from helpers import corpus, documents, lowered, words
+from helpers import DOCS, corpus, documents, lowered, words
 
 from ledgertree.llm import ngram_join
 from ledgertree.llm.registry import ship
@@ -79,3 +79,16 @@ def test_pipeline_joins_at_five_words_and_80_percent(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {0, 2, 3}
     links = {r.doc_id: r.n_links for r in ngram_join.classes(docs, 1, 5, 80).collect()}
     assert links == {0: 1, 1: 1, 2: 0, 3: 0}
+
+
+def test_null_ids(spark):
+    ship(spark)
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(5, long[0]), (None, long[0] + " x"), (None, long[1]), (None, long[1]), (None, long[1] + " y"), (None, ""), (7, long[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], DOCS)
+    found = sorted((r.doc_id or 0, r.component_id or 0, r.n_links) for r in ngram_join.classes(docs).collect())
+    assert found == [(0, 0, 0), (0, 0, 2), (0, 0, 2), (0, 0, 2), (0, 5, 1), (5, 5, 1), (7, 7, 0)]
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    kept = [(r.doc_id, r.text[:2]) for r in kept.collect()]
+    assert sorted(kept, key=str) == sorted([(5, "a0"), (None, "b0"), (None, ""), (7, "c0")], key=str)

@@ -1,11 +1,11 @@
-"""Queries over whole texts, one result row for each document: op2, op4 and op10."""
+"""Queries over whole texts, one result row for each document: op2, op4, op10 and op11."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgertree.llm import byte_bpe, language_id, quality_rules
+from ledgertree.llm import byte_bpe, language_id, pu_quality, quality_rules
 from ledgertree.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -37,3 +37,9 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predicted(docs, language_id.train(docs))
+
+
+@query("op11_pu_quality")
+def pu_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pu_quality.scored(docs, pu_quality.train(docs, table(spark, sf_dir, "labels")))

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from ledgertree.functions.display import displayable
+from ledgertree.operators import blocks as blocks_of
 from ledgertree.operators import bounds as B
 from ledgertree.operators import tree
 from ledgertree.operators.ordered import CHUNK_ROWS, Ordered
@@ -237,14 +238,25 @@ def diff(
     path_prefix: str | None = None,
     chain: DataFrame | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    stats: DataFrame | None = None,
+    blocks: blocks_of.Blocks | None = None,
 ) -> DataFrame:
     """Displayed net changes with ``path``, optionally below a path prefix.
 
+    With ``blocks``, made from this log, the changes come from summaries and the rows
+    where the windows begin and end; otherwise from all rows of the windows. ``stats``
+    saves looking for the oldest row kept. A prefix that names a volume leaves out the others.
     Order the result by path, volume and file_id for a report.
     """
     bounds = B.windows(bounds)
-    B.check_window(log, bounds)
-    changes = net_changes(log, bounds, chunk_rows).filter(displayable(F.col("kind"), F.col("size_delta")))
+    if path_prefix is not None and path_prefix[1:2] == ":":
+        bounds = bounds.for_volume(path_prefix[:2].upper())
+    B.check_window(log, bounds, stats)
+    if blocks is None:
+        changes = net_changes(log, bounds, chunk_rows)
+    else:
+        changes = blocks_of.net_changes(log, blocks, bounds)
+    changes = changes.filter(displayable(F.col("kind"), F.col("size_delta")))
     return diff_paths(changes, facts, log, path_prefix, chain)
 
 
@@ -282,6 +294,8 @@ def snapshot_diff(
     path_prefix: str | None = None,
     limit: int | None = None,
     chain: DataFrame | None = None,
+    stats: DataFrame | None = None,
+    blocks: blocks_of.Blocks | None = None,
 ) -> DataFrame:
     """Difference of two snapshots by id or label, ordered by path."""
     bounds = B.windows(B.bounds_between(children, snapshot_id(parents, a), snapshot_id(parents, b)))
@@ -289,5 +303,5 @@ def snapshot_diff(
         bounds = bounds.for_volume(volume.upper())
     if bounds.rows == []:
         raise SnapshotError("the snapshots have no volume in common")
-    out = diff(log, facts, bounds, path_prefix, chain).orderBy("path", "volume", "file_id")
+    out = diff(log, facts, bounds, path_prefix, chain, stats=stats, blocks=blocks).orderBy("path", "volume", "file_id")
     return out if limit is None else out.limit(limit)

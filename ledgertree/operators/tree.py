@@ -303,7 +303,9 @@ def known_chains(
 
     Folders missing from facts take their latest log row, and so on for the
     parents of those: one look into the log per level of deleted folders, none
-    in the usual case. ``chain`` is used when it already covers everything.
+    in the usual case. ``chain``, the chains of ``facts``, is used when it already covers
+    everything; otherwise only those of deleted folders, and of folders left below them,
+    are walked.
     """
     keys = ["volume", "file_id"]
     live = facts.select(*keys)
@@ -324,7 +326,12 @@ def known_chains(
         )
     if gone is None:
         return chain if chain is not None else chains(directories(facts))
-    return chains(directories(facts).unionByName(gone))
+    nodes = directories(facts).unionByName(gone)
+    if chain is None:
+        return chains(nodes)
+    lost = gone.select("volume", F.col("file_id").alias("parent_file_id"))
+    below_lost = directories(facts).join(lost, ["volume", "parent_file_id"], "left_semi").select(*keys)
+    return rechain(chain, nodes, gone.select(*keys).unionByName(below_lost))
 
 
 def _lookup_deleted(live: DataFrame, facts: DataFrame, log: DataFrame, chain: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgertree.plans import (  # noqa: F401
     attribution_queries,
+    folder_queries,
     ingest_queries,
     job_queries,
     log_queries,

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from ledgertree.functions.display import displayable
-from ledgertree.operators import bounds, history, snapshots, tree
+from ledgertree.operators import blocks, bounds, history, snapshots, tree
 from ledgertree.plans import shared as S
 from ledgertree.plans.fixtures import Fixtures
 from ledgertree.plans.ingest_queries import LOG_COLUMNS, LOG_TEXT
@@ -262,20 +262,24 @@ part("net_paths", "", f"""
 
 @query("snapshot_diff", "select volume, file_id, parent_file_id, name, is_directory, size_delta, kind, path from net_paths")
 def snapshot_diff(fx: Fixtures):
-    found = snapshots.snapshot_diff(S.log(fx), S.facts(fx), *S.snapshot_tables(fx), "b", "a", chain=S.chain(fx))
+    found = snapshots.snapshot_diff(
+        S.placed_log(fx), S.facts(fx), *S.snapshot_tables(fx), "b", "a",
+        chain=S.chain(fx), stats=S.log_stats(fx), blocks=S.log_blocks(fx),
+    )
     return found.drop("old_name", "old_parent_file_id")
 
 
 @query("diff_old_name", "select volume, file_id, kind, name, old_name, old_parent_file_id from net")
 def diff_old_name(fx: Fixtures):
-    changes = snapshots.net_changes(S.log(fx), S.window_ab(fx))
+    changes = blocks.net_changes(S.placed_log(fx), S.log_blocks(fx), S.window_ab(fx))
     return changes.select("volume", "file_id", "kind", "name", "old_name", "old_parent_file_id")
 
 
 @query("diff_path_prefix", "select path, kind, size_delta from net_paths where starts_with(lower(path), 'd:/nation_1')")
 def diff_path_prefix(fx: Fixtures):
     found = snapshots.snapshot_diff(
-        S.log(fx), S.facts(fx), *S.snapshot_tables(fx), "a", "b", path_prefix="D:\\nation_1"
+        S.placed_log(fx), S.facts(fx), *S.snapshot_tables(fx), "a", "b", path_prefix="D:\\nation_1",
+        chain=S.chain(fx), stats=S.log_stats(fx), blocks=S.log_blocks(fx),
     )
     return found.select("path", "kind", "size_delta")
 

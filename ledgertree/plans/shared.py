@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgertree.operators import bounds, replay, search, snapshots, tree
+from ledgertree.operators import blocks, bounds, replay, search, snapshots, tree
 from ledgertree.plans.fixtures import NOW, Fixtures
 from ledgertree.plans.registry import part
 from ledgertree.schema import PARENT_SNAPSHOTS, VOLUME_STATES
@@ -30,6 +30,24 @@ def log(fx: Fixtures) -> DataFrame:
     )
 
 
+#: Sequences in a block; the tables here are small.
+BLOCK, FAN, LEVELS = 256, 8, 3
+
+
+def placed_log(fx: Fixtures) -> DataFrame:
+    """The log whose rows know where the row before had the file."""
+    return fx.keep("placed-log", lambda: blocks.with_previous(log(fx)), ("volume", "sequence"))
+
+
+def log_blocks(fx: Fixtures) -> blocks.Blocks:
+    def table() -> DataFrame:
+        return blocks.build(placed_log(fx), log_stats(fx), None, BLOCK, FAN, LEVELS).table
+
+    made = fx.keep("log-blocks", table, ("volume", "level", "block", "file_id"))
+    ends = fx.keep("block-ends", lambda: blocks.block_ends(log_stats(fx), BLOCK))
+    return blocks.Blocks(made, ends, BLOCK, FAN, LEVELS)
+
+
 def chain(fx: Fixtures) -> DataFrame:
     return fx.keep("chain", lambda: tree.chains(tree.directories(facts(fx))))
 

@@ -106,7 +106,7 @@ def _items(fx: Fixtures):
 @query("folder_rollup_delta", "select volume, file_id, name, size_delta, churn, item_count from rolled_changes")
 def folder_rollup_delta(fx: Fixtures):
     items = _items(fx)
-    return tree.rollup_changes(items, rank.change_chains(S.facts(fx), items))
+    return tree.rollup_changes(items, rank.change_chains(S.facts(fx), items, S.chain(fx)))
 
 
 # Folder rows for the log: every seventh customer's folder moves to the top of its volume under
@@ -145,7 +145,7 @@ part("rolled_changes_m", "", """
  group by u.volume, u.node""")
 
 
-def _moved_log(fx: Fixtures):
+def moved_log(fx: Fixtures):
     """The log with those folder rows at the end of the window."""
     for name in ("customer", "nation"):
         fx.base(name).createOrReplaceTempView(name)
@@ -160,7 +160,7 @@ def _moved_log(fx: Fixtures):
 
 
 def _moved_items(fx: Fixtures):
-    rows = rank.changed_items(bounds.in_window(_moved_log(fx), S.window_ab(fx)))
+    rows = rank.changed_items(bounds.in_window(moved_log(fx), S.window_ab(fx)))
     return fx.keep("moved-items", lambda: rows)
 
 
@@ -223,7 +223,7 @@ order by abs(size_delta) desc, name, file_id desc, volume limit 50""")
 def top_growth_files(fx: Fixtures):
     ranked = rank.top(
         S.facts(fx), S.log(fx), S.snapshot_tables(fx)[1], files=True, growth=True, between=("s_a", "s_b"), limit=50,
-        chain=S.chain(fx),
+        chain=S.chain(fx), stats=S.log_stats(fx),
     )
     return ranked.select("volume", "file_id", "name", "size_delta", "churn")
 
@@ -246,7 +246,8 @@ _FOLDER = "volume, file_id, name, size_delta, churn, item_count"
 select {_FOLDER} from grown r where {_not_nested('grown')} order by value desc, name, file_id desc, volume limit 50""")
 def top_growth_folders(fx: Fixtures):
     ranked = rank.top(
-        S.facts(fx), S.log(fx), S.snapshot_tables(fx)[1], growth=True, between=("s_a", "s_b"), limit=50, chain=S.chain(fx)
+        S.facts(fx), S.log(fx), S.snapshot_tables(fx)[1], growth=True, between=("s_a", "s_b"), limit=50, chain=S.chain(fx),
+        stats=S.log_stats(fx),
     )
     return ranked.select("volume", "file_id", "name", "size_delta", "churn", "item_count")
 
@@ -259,7 +260,8 @@ select {_FOLDER} from grown_m r where {_not_nested('grown_m').replace('from up u
 order by value desc, name, file_id desc, volume limit 50""")
 def top_growth_folders_moved(fx: Fixtures):
     ranked = rank.top(
-        S.facts(fx), _moved_log(fx), S.snapshot_tables(fx)[1], growth=True, between=("s_a", "s_b"), limit=50, chain=S.chain(fx)
+        S.facts(fx), moved_log(fx), S.snapshot_tables(fx)[1], growth=True, between=("s_a", "s_b"), limit=50, chain=S.chain(fx),
+        stats=S.log_stats(fx),
     )
     return ranked.select("volume", "file_id", "name", "size_delta", "churn", "item_count")
 
@@ -283,7 +285,7 @@ def top_churn(fx: Fixtures):
 @query("nested_folder_suppression", f"select {_FOLDER} from grown r where {_not_nested('grown')}")
 def nested_folder_suppression(fx: Fixtures):
     items = _items(fx)
-    chain = rank.change_chains(S.facts(fx), items)
+    chain = rank.change_chains(S.facts(fx), items, S.chain(fx))
     kept = rank.suppress_nested(rank.folders_by_change(items, chain), chain)
     return kept.select("volume", "file_id", "name", "size_delta", "churn", "item_count")
 
@@ -319,7 +321,7 @@ select volume, file_id, name,
 from (select r.*, d.dir_path from grown r join dirpath d on d.volume = r.volume and d.file_id = r.file_id)""")
 def ranking_report(fx: Fixtures):
     items = _items(fx)
-    chain = rank.change_chains(S.facts(fx), items)
+    chain = rank.change_chains(S.facts(fx), items, S.chain(fx))
     ranked = rank.with_parent_path(rank.folders_by_change(items, chain), chain)
     report = rank.ranking_report(ranked, "growth", ("a", "b"))
     return report.select(

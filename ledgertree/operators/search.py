@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgertree.functions import text as X
-from ledgertree.operators import tree
+from ledgertree.operators import token_index, tree
 
 DEFAULT_LIMIT = 100
 
@@ -74,9 +74,13 @@ def substring_match(query: str) -> Column:
     return F.col("name_lower").contains(query.strip().lower())
 
 
+def phrase_tokens(query: str) -> list[str]:
+    return [t for t in re.split(r"[\W_]+", query.strip().lower()) if t]
+
+
 def phrase_match(query: str) -> Column:
     """The query's tokens stand next to each other in the name."""
-    wanted = [t for t in re.split(r"[\W_]+", query.strip().lower()) if t]
+    wanted = phrase_tokens(query)
     if not wanted:
         return F.lit(False)
     padded = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
@@ -219,15 +223,16 @@ def search(
     limit: int | None = DEFAULT_LIMIT,
     grams: DataFrame | None = None,
     stats: tuple[DataFrame, DataFrame] | None = None,
+    index: token_index.TokenIndex | None = None,
 ) -> DataFrame:
     """Documents matching the text and all filters, best score first.
 
     With ``grams``, see :func:`gram_table`, a substring search reads the names that
     hold all grams of the text instead of all names. ``stats``, see
-    :func:`term_stats`, spares ``bm25`` its pass over the documents.
-
-    Everything is a row-wise expression over one scan. ``limit=None`` returns
-    every hit, unordered.
+    :func:`term_stats`, spares ``bm25`` its pass over the documents. With ``index``, see
+    ``token_index.build``, an advanced search finds the names through tables of tokens
+    and reads only those; without it, it is a row-wise expression over one scan.
+    ``limit=None`` returns every hit, unordered.
     """
     hits = docs
     if volume is not None:
@@ -257,6 +262,9 @@ def search(
         hits = hits.filter(substring_match(query)).withColumn("score", F.lit(1.0))
     else:
         tiers = tier_weights(query)
+        if index is not None:
+            hits = token_index.weighted(hits, index, query)
+            tiers = {name: F.col(f"_{name}") for name in tiers}
         matched = sum(tiers.values(), F.lit(0.0))
         score = matched
         if bm25:
@@ -264,7 +272,7 @@ def search(
             by_term = tiers["phrase"] + tiers["terms"]
             score = matched - by_term + by_term * bm25_weights(docs, query, stats)
         hits = hits.withColumn("_matched", matched).filter("_matched > 0")
-        hits = hits.withColumn("score", F.round(score, 4)).drop("_matched")
+        hits = hits.withColumn("score", F.round(score, 4)).select(*docs.columns, "score")
     if limit is None:
         return hits
     return hits.orderBy(F.desc("score"), "name", "uid").limit(limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgertree.operators import search, tree
+from ledgertree.operators import search, token_index, tree
 from ledgertree.plans import shared as S
 from ledgertree.plans.fixtures import Fixtures
 from ledgertree.plans.registry import part, query
@@ -76,9 +76,8 @@ def _tier_check(text: str, tier: str) -> str:
 
 
 def _tier(fx: Fixtures, text: str, tier: str):
-    weight = search.tier_weights(text)[tier]
-    hits = S.names(fx).withColumn("score", F.round(weight, 4)).filter("score > 0")
-    return hits.select(*_HIT)
+    hits = token_index.weighted(S.names(fx), S.token_index_of(fx), text, (tier,))
+    return hits.withColumn("score", F.round(f"_{tier}", 4)).filter("score > 0").select(*_HIT)
 
 
 @query("search_substring", "select uid, name, 1.0::double as score from docs where contains(name_lower, 'r_12')")
@@ -130,7 +129,7 @@ def _score_check(text: str) -> str:
 
 @query("search_tier_score", _score_check("small gizmo"))
 def search_tier_score(fx: Fixtures):
-    return search.search(S.names(fx), "small gizmo", advanced=True, limit=None).select(*_HIT)
+    return search.search(S.names(fx), "small gizmo", advanced=True, limit=None, index=S.token_index_of(fx)).select(*_HIT)
 
 
 def _bm25_check(text: str) -> str:
@@ -152,7 +151,7 @@ where {' + '.join(tiers.values())} > 0"""
 @query("search_bm25", _bm25_check("red widget"))
 def search_bm25(fx: Fixtures):
     stats = tuple(fx.keep(f"term-stats-{i}", lambda i=i: search.term_stats(S.names(fx))[i]) for i in (0, 1))
-    hits = search.search(S.names(fx), "red widget", advanced=True, bm25=True, limit=None, stats=stats)
+    hits = search.search(S.names(fx), "red widget", advanced=True, bm25=True, limit=None, stats=stats, index=S.token_index_of(fx))
     return hits.select("uid", "name", F.round("score", 3).alias("score"))
 
 
@@ -184,7 +183,7 @@ def search_filter_attributes(fx: Fixtures):
 
 @query("search_topk", f"select * from ({_score_check('hot gear')}) order by score desc, name, uid limit 100")
 def search_topk(fx: Fixtures):
-    return search.search(S.names(fx), "hot gear", advanced=True).select(*_HIT)
+    return search.search(S.names(fx), "hot gear", advanced=True, index=S.token_index_of(fx)).select(*_HIT)
 
 
 @query("search_reconcile", """

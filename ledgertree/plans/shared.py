@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgertree.operators import blocks, bounds, replay, search, snapshots, tree
+from ledgertree.operators import blocks, bounds, replay, search, snapshots, token_index, tree
 from ledgertree.plans.fixtures import NOW, Fixtures
 from ledgertree.plans.registry import part
 from ledgertree.schema import PARENT_SNAPSHOTS, VOLUME_STATES
@@ -118,6 +118,21 @@ def names(fx: Fixtures) -> DataFrame:
     return fx.keep("names", lambda: search.build_documents(base, chain(fx)))
 
 
+def token_index_of(fx: Fixtures) -> token_index.TokenIndex:
+    """The token tables of :func:`names`."""
+    made: dict[str, DataFrame] = {}
+    build = {
+        "postings": lambda: token_index.postings_of(names(fx)),
+        "tokens": lambda: token_index.tokens_of(made["postings"]),
+        "grams": lambda: token_index.grams_of(made["tokens"]),
+        "deletions": lambda: token_index.deletions_of(made["tokens"]),
+        "name_grams": lambda: search.gram_table(names(fx)),
+    }
+    for name, table in build.items():
+        made[name] = fx.keep(f"names-{name}", table, token_index.LAYOUT[name])
+    return token_index.TokenIndex(**made)
+
+
 # --- the same in SQL ------------------------------------------------------------------------
 
 part("log_end", "", "select max(sequence) as m from fx_log")

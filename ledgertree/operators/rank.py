@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgertree.functions.display import exact_delta, human_delta, human_size
 from ledgertree.operators import bounds as B
-from ledgertree.operators import tree
+from ledgertree.operators import intervals, tree
 from ledgertree.session import materialize
 
 DEFAULT_LIMIT = 20
@@ -207,6 +207,7 @@ def top(
     now: datetime | None = None,
     chain: DataFrame | None = None,
     stats: DataFrame | None = None,
+    numbers: DataFrame | None = None,
 ) -> DataFrame:
     """One ranking, as a page with paths.
 
@@ -217,6 +218,8 @@ def top(
     ``files`` is set; otherwise it is by current size, of files unless
     ``folders`` is set. ``chain`` saves computing the folder chains of ``facts`` when
     the caller keeps them, and ``stats``, see ``bounds.log_stats``, the passes for ends of the log.
+    With ``numbers``, the labels of ``chain``, and ``facts`` stored by them (``intervals.labelled``),
+    a ranking by size ``within`` a folder reads the range of facts below it only.
     """
     if since is not None and between is not None:
         raise ValueError("since and between are mutually exclusive")
@@ -245,19 +248,25 @@ def top(
         chain = change_chains(facts, items, chain)
     elif chain is None:
         chain = tree.chains(tree.directories(facts))
+    whole = chain
+    if within is not None and numbers is not None and not interval:
+        below = intervals.folders_below(numbers, *within)
+        facts = intervals.subtree(facts, numbers, chain, *within)
+        if below is not None:
+            chain = chain.join(below, ["volume", "file_id"], "left_semi")
     if interval:
         ranked = folders_by_change(items, chain, churn) if by_folder else files_by_change(items, churn)
     else:
         ranked = folders_by_size(facts, chain) if by_folder else files_by_size(facts)
     if within is not None:
-        ranked = inside(ranked, chain, *within) if by_folder else tree.subtree(ranked, chain, *within)
+        ranked = inside(ranked, chain, *within) if by_folder else tree.subtree(ranked, whole, *within)
     if below_roots and by_folder:
         roots = chain.filter(F.col("visited")[0]["top"]).select("volume", "file_id")
         ranked = ranked.join(roots, ["volume", "file_id"], "left_anti")
     if by_folder:
         ranked = suppress_nested(ranked, chain)
     shown = page(ranked, limit, cursor)
-    return with_parent_path(shown, chain)
+    return with_parent_path(shown, whole)
 
 
 def ranking_report(

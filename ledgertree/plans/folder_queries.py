@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgertree.operators import blocks, bounds, replay, snapshots, tree
+from ledgertree.operators import blocks, bounds, replay, rollup, snapshots, tree
 from ledgertree.plans import shared as S
 from ledgertree.plans.fixtures import Fixtures
 from ledgertree.plans.log_queries import _SHOWN
@@ -40,6 +40,12 @@ def _chain(fx: Fixtures) -> DataFrame:
     return fx.keep("moved-chain", lambda: tree.rechain(S.chain(fx), tree.directories(_facts(fx)), moved))
 
 
+def _replayed(fx: Fixtures) -> DataFrame:
+    """Facts after all rows: the folder rows touch no file, and the others no folder."""
+    files = S.replayed(fx).filter("not is_directory")
+    return fx.keep("moved-replayed", lambda: files.unionByName(_facts(fx).filter("is_directory")))
+
+
 part("dirpath_m", "", """
  select volume, file_id,
         coalesce(string_agg(name, '/' order by depth desc) filter (where name <> volume), '') as dir_path
@@ -81,10 +87,36 @@ from (select path, volume, arg_max(file_id, sequence) as log_id from log_paths_m
 left join live_paths_m v on v.path = p.path""")
 def path_to_id_moved(fx: Fixtures):
     """Every path that the moved, new and deleted folders give the log's files."""
-    facts = fx.keep("moved-replayed", lambda: S.replayed(fx).filter("not is_directory").unionByName(_facts(fx).filter("is_directory")))
+    facts = _replayed(fx)
     parents = S.raw_log(fx).select("volume", F.col("parent_file_id").alias("file_id"))
     known = tree.known_chains(parents, facts, moved_log(fx), _chain(fx))
     dirs = tree.directory_paths(known).withColumnRenamed("file_id", "parent_file_id")
     folder = F.when(F.col("dir_path") != "", F.col("dir_path"))
     asked = S.raw_log(fx).join(dirs, ["volume", "parent_file_id"]).select(F.concat_ws("/", "volume", folder, "name").alias("path"))
     return tree.lookup_paths(asked, facts, _chain(fx), moved_log(fx))
+
+
+part("nodes_l", "", """
+ select * from nodes_m n where not exists (
+   select 1 from moves m where m.volume = n.volume and m.file_id = n.file_id and m.kind = 'Deleted')""")
+part("up_l", "(volume, file_id, node, name, nxt, depth)", """
+ select volume, file_id, file_id, name,
+        case when parent_file_id <> file_id and parent_file_id <> 0 then parent_file_id end, 0 from nodes_l
+ union all
+ select u.volume, u.file_id, d.file_id, d.name,
+        case when d.parent_file_id <> d.file_id and d.parent_file_id <> 0 then d.parent_file_id end, u.depth + 1
+ from up_l u join nodes_l d on d.volume = u.volume and d.file_id = u.nxt""")
+part("sizes_l", "", """
+ select volume, parent_file_id, sum(size) as size, count(*) as n from replayed where not is_directory
+ group by volume, parent_file_id""")
+
+
+@query("folder_rollup_maintained", """
+select u.volume, u.node as file_id, max(u.name) as name, cast(coalesce(sum(s.size), 0) as bigint) as size,
+       cast(coalesce(sum(s.n), 0) as bigint) as item_count
+from up_l u left join sizes_l s on s.volume = u.volume and s.parent_file_id = u.file_id group by u.volume, u.node""")
+def folder_rollup_maintained(fx: Fixtures):
+    """The stored rollup after all rows of the log, those of folders included."""
+    stored = fx.keep("rollup", lambda: rollup.build(S.facts(fx), S.chain(fx)), ("volume", "file_id"))
+    change, _ = rollup.changes(stored, S.facts(fx), _replayed(fx), moved_log(fx), S.chain(fx))
+    return rollup.applied(stored, change).select("volume", "file_id", "name", "size", "item_count")

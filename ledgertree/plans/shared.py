@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgertree.operators import blocks, bounds, replay, search, snapshots, token_index, tree
+from ledgertree.operators import blocks, bounds, intervals, replay, search, snapshots, token_index, tree
 from ledgertree.plans.fixtures import NOW, Fixtures
 from ledgertree.plans.registry import part
 from ledgertree.schema import PARENT_SNAPSHOTS, VOLUME_STATES
@@ -52,6 +52,14 @@ def chain(fx: Fixtures) -> DataFrame:
     return fx.keep("chain", lambda: tree.chains(tree.directories(facts(fx))))
 
 
+def folder_numbers(fx: Fixtures) -> DataFrame:
+    return fx.keep("folder-numbers", lambda: intervals.labels(chain(fx)), ("volume", "enter"))
+
+
+def labelled_facts(fx: Fixtures) -> DataFrame:
+    return fx.keep("labelled-facts", lambda: intervals.labelled(facts(fx), folder_numbers(fx)), ("volume", "at"))
+
+
 def replayed(fx: Fixtures) -> DataFrame:
     return fx.keep("replayed", lambda: replay.replay(facts(fx), raw_log(fx)), ("volume", "file_id"))
 

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ledgertree.operators import bounds, rank, tree
+from ledgertree.operators import bounds, intervals, rank, tree
 from ledgertree.plans import shared as S
 from ledgertree.plans.fixtures import Fixtures
 from ledgertree.plans.registry import PARTS, part, query, stamp
@@ -67,7 +67,7 @@ def path_to_id_deleted_fallback(fx: Fixtures):
 select volume, file_id, name, size from fx_facts where volume = 'C:' and file_id <> 100
   and parent_file_id in (select file_id from up where volume = 'C:' and node = 100)""")
 def subtree_filter(fx: Fixtures):
-    below = tree.subtree(S.facts(fx), S.chain(fx), "C:", 100)
+    below = intervals.subtree(S.labelled_facts(fx), S.folder_numbers(fx), S.chain(fx), "C:", 100)
     return below.select("volume", "file_id", "name", "size")
 
 
@@ -86,6 +86,12 @@ def folder_rollup_size(fx: Fixtures):
     return tree.rollup_sizes(S.facts(fx), S.chain(fx))
 
 
+@query("folder_rollup_intervals", "select volume, file_id, name, size, item_count from rolled")
+def folder_rollup_intervals(fx: Fixtures):
+    """The same from running sums over the folders' interval labels."""
+    return intervals.rollup_sizes(S.facts(fx), S.folder_numbers(fx), S.chain(fx))
+
+
 part("items", "", """
  select volume, file_id, arg_max(parent_file_id, sequence) as parent_file_id, arg_max(name, sequence) as name,
         cast(sum(size_delta) as bigint) as size_delta, count(*) as churn from logw group by volume, file_id""")
@@ -202,6 +208,37 @@ def top_folders_by_size(fx: Fixtures):
     return ranked.select("volume", "file_id", "name", "size", "item_count", "path")
 
 
+part("ranked_w", "", """
+ select r.*, d.dir_path from rolled r join dirpath d on d.volume = r.volume and d.file_id = r.file_id
+ where r.volume = 'C:' and r.file_id <> 100 and r.file_id in (select file_id from up where volume = 'C:' and node = 100)""")
+
+
+@query("top_folders_within", """
+select volume, file_id, name, size, item_count,
+       case when contains(dir_path, '/') then regexp_replace(dir_path, '/[^/]*$', '') else '' end as path
+from ranked_w r where not exists (
+  select 1 from up u join ranked_w a on a.volume = u.volume and a.file_id = u.node
+  where u.volume = r.volume and u.file_id = r.file_id and u.depth > 0
+    and (a.size > r.size or (a.size = r.size and (a.name < r.name or (a.name = r.name and a.file_id > r.file_id)))))
+order by size desc, name, file_id desc, volume limit 20""")
+def top_folders_within(fx: Fixtures):
+    """The largest folders of one nation; only the range of facts below it is read."""
+    ranked = rank.top(
+        S.labelled_facts(fx), folders=True, within=("C:", 100), chain=S.chain(fx), numbers=S.folder_numbers(fx)
+    )
+    return ranked.select("volume", "file_id", "name", "size", "item_count", "path")
+
+
+@query("top_files_within", """
+select p.volume, p.file_id, p.name, p.size, coalesce(d.dir_path, '') as path from paths p
+left join (select volume as v, file_id as parent, dir_path from dirpath) d on d.v = p.volume and d.parent = p.parent_file_id
+where not is_directory and p.volume = 'C:' and p.parent_file_id in (select file_id from up where volume = 'C:' and node = 100)
+order by size desc, name, file_id desc limit 20""")
+def top_files_within(fx: Fixtures):
+    ranked = rank.top(S.labelled_facts(fx), files=True, within=("C:", 100), chain=S.chain(fx), numbers=S.folder_numbers(fx))
+    return ranked.select("volume", "file_id", "name", "size", "path")
+
+
 @query("interval_bounds_since", """
 select volume, min(case when at >= timestamp '2024-01-15 00:00:00' then sequence end) - 1 as start_seq,
        max(sequence) as end_seq from fx_log group by volume having start_seq is not null""".replace(" at >=", ' "at" >='))

@@ -10,9 +10,11 @@ coordinates are its group contents.
    empty ones too, should it have no more than d others). Linked sets share a tile; unrelated
    ones hardly ever do, however common a passage or a shingle is. Sets that share tiles form
    clusters (``components``); exact copies count once.
-2. R-tree. Inside a cluster, sets are points of ``DIMENSIONS`` group counts, packed by size
-   into leaves with their coordinate maxima. The sum of coordinate minima bounds the overlap,
-   first for a leaf, then for a point; what survives is verified on the sets themselves.
+2. R-tree. Inside a cluster, sets are points of ``DIMENSIONS`` group counts or more (about a
+   group for eight shingles), packed by size into leaves with their coordinate maxima. The
+   sum of coordinate minima bounds the overlap, first for a leaf, then for a point. This is
+   done on the points alone, which are a thirtieth of the sets; only sets that have a
+   partner left are fetched, and pairs are verified on the sets themselves.
    Clusters above ``LEAF_SETS`` sets are cut by size class and hash into parts, and pairs of
    parts that may hold links are separate groups, so no task holds a whole large cluster.
 
@@ -33,6 +35,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgertree.llm.arrays import U64, Words, chunks, mix, ngrams
 from ledgertree.llm.components import components
+from ledgertree.llm.registry import free_names
 from ledgertree.session import materialize
 
 WORDS = 4
@@ -111,8 +114,64 @@ def tiles(sizes: np.ndarray, value: np.ndarray, percent: int = PERCENT) -> tuple
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def dimensions(sizes: np.ndarray) -> np.ndarray:
+    """Groups that a set of each size is counted in: a power of two, so that finer counts add up to coarser."""
+    return np.maximum(DIMENSIONS, 1 << np.ceil(np.log2(np.maximum(sizes, 8) / 8)).astype(np.int64))
+
+
+def points(sizes: np.ndarray, value: np.ndarray) -> list[bytes]:
+    """Group counts of each set, as 16-bit numbers."""
+    wide = dimensions(sizes)
+    start = np.cumsum(wide) - wide
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = start[owner] + (mix(value) & (wide[owner] - 1).astype(U64)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=int(wide.sum())), 65_535).astype("<u2")
+    return [counts[a : a + n].tobytes() for a, n in zip(start.tolist(), wide.tolist(), strict=True)]
+
+
+def with_partner(n: np.ndarray, packed: list[bytes], side: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which sets of a group may link with another, by their points; with two sides, of the other side."""
+    order = np.argsort(n, kind="stable")
+    size, sides, two = n[order], side[order], side.min() != side.max()
+    own = [np.frombuffer(packed[i], "<u2").astype(np.int32) for i in order]
+    wide = np.array([len(x) for x in own])
+    nodes = np.arange(0, len(size), NODE)
+    made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at_width(width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The points at least so wide, folded to that width, and the maxima of all nodes."""
+        if width not in made:
+            point = np.zeros((len(size), width), dtype=np.int32)
+            for i in range(int(np.searchsorted(wide, width)), len(size)):
+                point[i] = own[i].reshape(-1, width).sum(axis=0)
+            made[width] = point, np.maximum.reduceat(point, nodes, axis=0)
+        return made[width]
+
+    alive = np.zeros(len(size), dtype=bool)
+    for i in range(1, len(size)):
+        low = int(np.searchsorted(size, -(-percent * size[i] // 100)))
+        if low >= i:
+            continue
+        point, maxima = at_width(int(wide[low]))
+        near = np.arange(low // NODE, (i - 1) // NODE + 1)
+        bound = np.minimum(maxima[near], point[i]).sum(axis=1)
+        near = near[(100 + percent) * bound >= percent * (size[i] + np.maximum(size[nodes[near]], size[low]))]
+        js = (near[:, None] * NODE + np.arange(NODE)).ravel()
+        js = js[(js >= low) & (js < i)]
+        if two:
+            js = js[sides[js] != sides[i]]
+        bound = np.minimum(point[js], point[i]).sum(axis=1)
+        js = js[(100 + percent) * bound >= percent * (size[i] + size[js])]
+        if len(js):
+            alive[i] = True
+            alive[js] = True
+    out = np.zeros(len(size), dtype=bool)
+    out[order] = alive
+    return out
+
+
 def fingerprinted(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_id); the set is null without shingles."""
+    """(doc_id, n_shingles, set_id, point); set and point are null without shingles."""
     rows = docs.select("doc_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,12 +179,14 @@ def fingerprinted(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for at, texts in chunks(batch.column(1).to_pylist()):
                 sizes, value = shingle_sets(texts, words)
                 ids = pa.array(set_ids(sizes, value), mask=sizes == 0)
+                point = pa.array(points(sizes, value), pa.binary(), mask=sizes == 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(sizes), ids], ["doc_id", "n_shingles", "set_id"]
+                    [batch.column(0).slice(at, len(texts)), pa.array(sizes), ids, point],
+                    ["doc_id", "n_shingles", "set_id", "point"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, n_shingles long, set_id long")
+    return rows.mapInArrow(work, f"doc_id {kind}, n_shingles long, set_id long, point binary")
 
 
 def tile_edges(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -301,7 +362,23 @@ def linked_sets(docs: DataFrame, leaf: int, words: int, percent: int) -> tuple[D
     clusters = components(tile_edges(docs, words, percent)).withColumnsRenamed({"id": "set_id", "root": "cluster"})
     members = materialize(clusters.join(distinct, "set_id"), "members")
 
-    wanted = members.select(F.col("rep").alias("_rep"), F.col("set_id").alias("_set"))
+    at = own.select(F.col("set_id").alias("_set"), "point").join(
+        members.select(F.col("set_id").alias("_member")), F.col("_set") == F.col("_member"), "left_semi"
+    )
+    spread = parts(members.select("cluster", "set_id", "n_shingles", "copies"), leaf, percent)
+    rows = spread.join(at.dropDuplicates(["_set"]), F.col("set_id") == F.col("_set"))
+
+    def prune(table: pa.Table) -> pa.Table:
+        n, side = table.column("n_shingles").to_numpy(), table.column("side").to_numpy()
+        left = with_partner(n, table.column("point").to_pylist(), side, percent)
+        return table.select(["pair", "set_id", "copies", "side"]).filter(pa.array(left))
+
+    rows = rows.select("pair", "set_id", "n_shingles", "copies", "side", "point").groupBy("pair")
+    alive = materialize(rows.applyInArrow(prune, "pair string, set_id long, copies long, side int"), "alive")
+    asked = alive.select(F.col("set_id").alias("_asked")).distinct()
+    wanted = members.join(asked, F.col("set_id") == F.col("_asked"), "left_semi").select(
+        F.col("rep").alias("_rep"), F.col("set_id").alias("_set")
+    )
     # The members grow with the documents, so they are not to be broadcast at any size.
     texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("_rep"))
     # Rows without an id cannot be asked for; all of them are read, and the set is worked out.
@@ -320,8 +397,7 @@ def linked_sets(docs: DataFrame, leaf: int, words: int, percent: int) -> tuple[D
                 yield pa.RecordBatch.from_arrays([found, pa.array(packed)], ["_set", "shingles"]).filter(right)
 
     sets = texts.mapInArrow(work, "_set long, shingles binary").dropDuplicates(["_set"])
-    spread = parts(members.select("cluster", "set_id", "n_shingles", "copies"), leaf, percent)
-    rows = spread.join(sets, F.col("set_id") == F.col("_set")).select("pair", "set_id", "copies", "side", "shingles")
+    rows = alive.join(sets, F.col("set_id") == F.col("_set")).select("pair", "set_id", "copies", "side", "shingles")
 
     def join(table: pa.Table) -> pa.Table:
         return _join_group(table, percent)
@@ -357,10 +433,11 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     Of a component without ids one row stays; rows that have neither id nor words stay.
     """
+    key, own_set = free_names(docs.columns, "_id", "_own")
     own, named = linked_sets(docs, LEAF_SETS, words, percent)
     rows = own.join(named, F.col("set_id") == F.col("_set"), "left")
-    kept = rows.filter("doc_id = coalesce(component_id, doc_id)").select(F.col("doc_id").alias("_id")).distinct()
-    with_id = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    kept = rows.filter("doc_id = coalesce(component_id, doc_id)").select(F.col("doc_id").alias(key)).distinct()
+    with_id = docs.join(kept, F.col("doc_id") == F.col(key), "left_semi")
 
     at = docs.columns.index("text")
 
@@ -370,10 +447,10 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 sizes, value = shingle_sets(texts, words)
                 ids = pa.array(set_ids(sizes, value), mask=sizes == 0)
                 part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "_own"])
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, own_set])
 
     no_id = docs.filter("doc_id is null")
-    no_id = no_id.mapInArrow(work, StructType([*docs.schema.fields, StructField("_own", LongType())]))
-    alone = named.filter("component_id is null and _set = root").select("_set")
-    one = no_id.dropDuplicates(["_own"]).join(alone, F.col("_own") == F.col("_set"), "left_semi")
-    return with_id.union(no_id.filter("_own is null").union(one).select(*docs.columns))
+    no_id = no_id.mapInArrow(work, StructType([*docs.schema.fields, StructField(own_set, LongType())]))
+    alone = named.filter("component_id is null and _set = root").select(F.col("_set").alias(key))
+    one = no_id.dropDuplicates([own_set]).join(alone, F.col(own_set) == F.col(key), "left_semi")
+    return with_id.union(no_id.filter(F.col(own_set).isNull()).union(one).select(*docs.columns))

@@ -38,6 +38,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as set it apart from ``columns``."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df``, written once and read back, and the shuffle files of what made it let go.
 

@@ -9,20 +9,20 @@ from ledgertree.llm import ngram_join
 from ledgertree.llm.registry import ship
 
 
-def shingles(text):
+def shingles(text, n=4):
     w = words(lowered(text))
     if not w:
         return frozenset()
-    return frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3)))
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
 
 
-def brute(texts):
-    sets = [shingles(t) for t in texts]
+def brute(texts, n=4, percent=85):
+    sets = [shingles(t, n) for t in texts]
     root = list(range(len(texts)))
     links = [0] * len(texts)
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 links[i] += 1
                 links[j] += 1
                 a, b = root[i], root[j]
@@ -57,6 +57,37 @@ def test_tiles_lose_no_pair():
         assert same or set(tile[owner == 0].tolist()) & set(tile[owner == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_points_leave_every_link_and_few_others(percent):
+    r = np.random.default_rng(5)
+    sets = []
+    for size in (3, 40, 300, 1100, 5000, 9000):
+        for _ in range(20):
+            own = r.integers(0, 1 << 62, int(size * r.uniform(0.8, 1.2)) + 1, dtype=np.int64).astype(np.uint64)
+            sets.append(np.unique(own))
+            if r.random() < 0.2:
+                keep = own[: max(1, int(len(own) * r.uniform(0.75, 1)))]
+                sets.append(np.unique(np.concatenate((keep, r.integers(0, 1 << 62, len(own) // 40, dtype=np.int64).astype(np.uint64)))))
+    order = r.permutation(len(sets))
+    sets = [sets[i] for i in order]
+    n = np.array([len(s) for s in sets])
+    packed = ngram_join.points(n, np.concatenate(sets))
+    side = r.integers(0, 2, len(sets))
+    linked = {
+        (i, j) for i in range(len(sets)) for j in range(i)
+        if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= percent * (n[i] + n[j] - both)
+    }
+    assert len(linked) > 5
+    for sides in (np.zeros(len(sets), np.int64), side):
+        two = sides.min() != sides.max()
+        wanted = {x for p in linked if not two or sides[p[0]] != sides[p[1]] for x in p}
+        got = set(np.flatnonzero(ngram_join.with_partner(n, packed, sides, percent)).tolist())
+        assert wanted <= got
+        # Sets of hundreds of shingles that have nothing in common are told apart.
+        for i in got - wanted:
+            assert n[i] < 200 or any(len(np.intersect1d(sets[i], s)) > n[i] / 2 for j, s in enumerate(sets) if j != i)
+
+
 def test_empty_table_and_one_of_each(spark):
     ship(spark)
     texts = corpus(4, count=40)

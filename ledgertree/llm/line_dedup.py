@@ -3,6 +3,8 @@
 A line (\\n-split) with words, however few, is the set of its words, A-Z lower-cased.
 It is removed when an earlier line, by (doc_id, line number), has a Jaccard similarity of
 at least ``PERCENT`` percent; similarity is judged on the input, not on what is left.
+Null ids come first. Rows of one id, or of none, are told apart by a hash of their text,
+which also orders their lines of one number; rows equal in both get equal results.
 
 Words are ordered by rarity: by their counts in a table of ``COUNTERS`` hashed counters
 over all lines, ties by fingerprint. Any fixed order keeps the join exact; rare words first
@@ -16,8 +18,9 @@ A line goes as soon as one earlier line is like it, so pairs are not listed: a f
 verifies for each class the earlier one that the sketches put nearest. Only classes that
 this leaves open and that have met further ones enter a second round, with all their pairs.
 
-Null and empty texts have no lines that count, and lines without words stay. Rows with one doc_id are taken as the same
-document. Word and set identities are 64-bit fingerprints.
+Null and empty texts have no lines that count, and lines without words stay. Very long texts
+are read whole, in chunks of their own. No rows give none, and columns other than ``doc_id``
+and ``text`` may have any name. Word and set identities are 64-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgertree.llm.arrays import U64, Words, chunks, mix
-from ledgertree.llm.registry import settled
+from ledgertree.llm.registry import free_names, settled
 
 PERCENT = 80
 MIN_WORDS = 1
@@ -119,19 +122,19 @@ def index_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - -(-2 * percent * n // (100 + percent)) + 1
 
 
-_LINES = "line_no int, set_id long, n int, bits long, bits2 long, prefix array<long>"
+_LINES = "row long, line_no int, set_id long, n int, bits long, bits2 long, prefix array<long>"
 
 
 def line_table(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(doc_id, line_no, set_id, n, bits, bits2, prefix); a task gives a class's prefix at the first place it has seen."""
+    """(doc_id, row, line_no, set_id, n, bits, bits2, prefix); a task gives a class's prefix at the first place it has seen."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple] = {}
         for batch in batches:
-            docs_of = batch.column(0).to_pylist()
-            for at, texts in chunks(batch.column(1).to_pylist()):
+            docs_of, rows_of = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at, texts in chunks(batch.column(2).to_pylist()):
                 lines = Lines(texts)
                 sizes, token = ordered_sets(lines, shared.value)
                 ids = set_ids(sizes, token)
@@ -140,8 +143,8 @@ def line_table(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                     seen.clear()
                 places = zip(ids.tolist(), lines.doc.tolist(), lines.number.tolist(), strict=True)
                 for k, (own, doc, number) in enumerate(places):
-                    doc = docs_of[at + doc]
-                    here = (doc is not None, doc, number)
+                    own_doc, own_row = docs_of[at + doc], rows_of[at + doc]
+                    here = (own_doc is not None, own_doc, number, own_row)
                     if own not in seen or here < seen[own]:
                         seen[own], lead[k] = here, True
                 take = np.where(lead, prefix_size(sizes), 0)
@@ -152,10 +155,11 @@ def line_table(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(lines.doc + at)), pa.array(lines.number, pa.int32()), pa.array(ids),
+                        *(batch.column(k).take(pa.array(lines.doc + at)) for k in (0, 1)),
+                        pa.array(lines.number, pa.int32()), pa.array(ids),
                         pa.array(sizes, pa.int32()), *map(pa.array, sketches(sizes, token)), prefix,
                     ],
-                    ["doc_id", "line_no", "set_id", "n", "bits", "bits2", "prefix"],
+                    ["doc_id", "row", "line_no", "set_id", "n", "bits", "bits2", "prefix"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -256,12 +260,14 @@ def word_sets(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
         lines.filter("size(prefix) > 0")
         .join(asked, F.col("set_id") == F.col("asked"), "left_semi")
         .groupBy("set_id")
-        .agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-        .groupBy(F.col("at.doc_id").alias("_doc"))
+        .agg(F.min(F.struct("doc_id", "line_no", "row")).alias("at"))
+        .groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.row").alias("_row"))
         .agg(F.collect_list(F.struct("at.line_no", "set_id")).alias("wanted"))
     )
     # The classes grow with the documents, so they are not to be broadcast at any size.
-    texts = docs.select("doc_id", "text").join(where.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")))
+    texts = docs.select("doc_id", "text").join(
+        where.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_row"))
+    )
     own = texts.select(F.split("text", "\n").alias("split"), F.explode("wanted").alias("w")).select(
         F.col("w.set_id").alias("id"), F.try_element_at("split", F.col("w.line_no") + 1).alias("line")
     )
@@ -278,7 +284,7 @@ def word_sets(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
                 sets = pa.ListArray.from_arrays(
                     pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(token.view(np.int64))
                 )
-                # Another row of the same document may have another text.
+                # A line's words are those of its class unless two hashes of texts agree.
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(part)), sets], ["id", "tokens"]
                 ).filter(pa.array(right))
@@ -323,38 +329,43 @@ def repeated_classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of every removed line."""
+    """(doc_id, row, line_no) of every removed line; ``row`` is the hash of its text."""
     lines = line_table(docs, rarity(docs))
     repeated = repeated_classes(docs, lines).select(F.col("later").alias("_later"), F.lit(True).alias("_all"))
     first = lines.filter("size(prefix) > 0").groupBy(F.col("set_id").alias("_id")).agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first")
+        F.min(F.struct("doc_id", "line_no", "row")).alias("first")
     )
     known = first.join(repeated, F.col("_id") == F.col("_later"), "left").select(
         "_id", "first", F.coalesce("_all", F.lit(False)).alias("_all")
     )
-    here = F.struct("doc_id", "line_no")
-    marked = lines.select("doc_id", "line_no", "set_id").join(known, F.col("set_id") == F.col("_id"))
-    return marked.filter(F.col("_all") | (here > F.col("first"))).select("doc_id", "line_no")
+    here = F.struct("doc_id", "line_no", "row")
+    marked = lines.select("doc_id", "row", "line_no", "set_id").join(known, F.col("set_id") == F.col("_id"))
+    return marked.filter(F.col("_all") | (here > F.col("first"))).select("doc_id", "row", "line_no")
+
+
+def _with_removed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the numbers of each row's removed lines in order, NULL where none are."""
+    doc, row = free_names([*docs.columns, name], "_doc", "_row")
+    gone = removed_lines(docs).groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(
+        F.array_sort(F.collect_set("line_no")).alias(name)
+    )
+    own = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(row))
+    return docs.join(gone, own, "left").select(*docs.columns, name)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed): one row per row of ``docs``, line numbers from 0 in order."""
-    gone = removed_lines(docs).groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.array_sort(F.collect_set("line_no")).alias("removed")
-    )
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
-    rows = docs.select("doc_id", n_lines.alias("n_lines"))
     none = F.array().cast("array<int>")
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("removed", none).alias("removed"),
+    return _with_removed(docs.select("doc_id", "text"), "gone").select(
+        "doc_id", n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("gone", none).alias("removed"),
     )
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the removed lines left out of ``text``; all documents stay."""
-    gone = removed_lines(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    gone = free_names(docs.columns, "_gone")[0]
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return _with_removed(docs, gone).withColumn("text", text).select(*docs.columns)

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgertree.llm.registry import free_names
 from ledgertree.session import materialize
 
 BLOCK = 64
@@ -178,12 +179,14 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     A row comes taken / size times, rounded down, and once more with the fraction as its
     probability. The coin is a hash of the row, so reruns agree and a source's words meet
-    its target whatever the length of its documents.
+    its target whatever the length of its documents. Equal rows share their coin: they come
+    equally often.
     """
-    taken = taken_words(docs).filter("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"))
-    share = taken.agg((F.sum("taken") / F.sum("size")).alias("_share")).filter("_share > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    own_id, own_source, share_of, times, copy = free_names(docs.columns, "_id", "_source", "_share", "_times", "_copy")
+    taken = taken_words(docs).filter("size > 0").groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source))
+    share = taken.agg((F.sum("taken") / F.sum("size")).alias(share_of)).filter(F.col(share_of) > 0)
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").cast("string").eqNullSafe(F.col(own_source))
     coin = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "source", "text"), F.lit(COINS)) / COINS
-    kept = docs.join(share, same).withColumn("_times", F.floor(F.col("_share") + coin).cast("int"))
-    kept = kept.filter("_times > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _times)")))
+    kept = docs.join(share, same).withColumn(times, F.floor(F.col(share_of) + coin).cast("int"))
+    kept = kept.filter(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return kept.select(*docs.columns)

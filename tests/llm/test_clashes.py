@@ -12,6 +12,7 @@ from ledgertree.llm.registry import ship
 EXTRA = (
     "component_id set_id n_shingles kept score taken size source_size target sid start block words times removed n ids"
     " decoded doc line_no prefix token held_out lang_pred n_bytes ranges trigger pair side cluster id root label"
+    " _id _doc _gone _own _row _source _share _times _copy _set _open _size _token row gone point alive"
 ).split()
 
 

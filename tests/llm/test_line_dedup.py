@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from helpers import corpus, documents, lowered, words
+from helpers import DOCS, corpus, documents, lowered, words
 
 from ledgertree.llm import line_dedup
 from ledgertree.llm.registry import ship
@@ -72,3 +72,23 @@ def test_short_lines_go_too(spark):
     assert rows == {0: [], 1: [0, 2], 2: [0, 2, 3]}
     kept = {r.doc_id: r.text for r in line_dedup.without_repeats(documents(spark, texts)).collect()}
     assert kept == {0: texts[0], 1: " \nno", 2: "b c d\nyes no"}
+
+
+def test_rows_of_one_id_and_of_none_keep_what_only_they_have(spark):
+    ship(spark)
+    common = "a line that stands in several rows here"
+    rows = [
+        (None, f"{common}\nkeep one two three four"), (None, f"{common}\nunrelated words that must stay here"),
+        (None, f"other words first\n{common}"), (None, None), (None, ""),
+        (7, f"{common}\nfirst text of seven"), (7, f"second text of seven\nnothing else in it"), (7, f"second text of seven\nnothing else in it"),
+        (8, "nothing else in it\nall new words"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    left = sorted((r.text or "-") for r in line_dedup.without_repeats(docs).collect())
+    text = "\n".join(left)
+    # One row keeps the common line, no row loses a line that no earlier row has.
+    assert text.count(common) == 1
+    for line in ("keep one two three four", "unrelated words that must stay here", "other words first", "first text of seven", "all new words"):
+        assert text.count(line) == 1
+    assert text.count("second text of seven") == 2 and "\nnothing else in it\nall" not in text
+    assert sorted(r.n_removed for r in line_dedup.report(docs).collect()) == [0, 0, 0, 0, 0, 1, 1, 1, 1]

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ledgertree.functions.text import prefixes, segments, slashes
 from ledgertree.operators import tree
 from ledgertree.operators.ordered import CHUNK_ROWS, as_of
+from ledgertree.session import materialize
 from ledgertree.sources.listing import upsert_latest
 
 # What marks an installer image, a runtime folder, an ignored process.
@@ -188,10 +189,6 @@ def attribute(paths: DataFrame, install: DataFrame, runtime: DataFrame) -> DataF
     )
 
 
-# A dictionary is part of the plan, so it is bounded.
-MAX_SIGNATURES = 10_000
-
-
 def signature_table(spark: SparkSession) -> DataFrame:
     """The fixed dictionary as a table (key, description)."""
     return spark.createDataFrame(sorted(SIGNATURES.items()), "key string, description string")
@@ -203,17 +200,12 @@ def upsert_signatures(table: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.max_by("description", "_new").alias("description"))
 
 
-def signature(path: Column, dictionary: dict[str, str] | DataFrame | None = None) -> Column:
+def signature(path: Column, dictionary: dict[str, str] | None = None) -> Column:
     """Description under the first key, in key order, that the path contains."""
-    if isinstance(dictionary, DataFrame):
-        rows = dictionary.select("key", "description").limit(MAX_SIGNATURES + 1).collect()
-        if len(rows) > MAX_SIGNATURES:
-            raise ValueError(f"more than {MAX_SIGNATURES} signatures")
-        dictionary = {r["key"]: r["description"] for r in rows}
     known = sorted((SIGNATURES if dictionary is None else dictionary).items())
     if not known:
         return F.lit(None).cast("string")
-    text = F.lower(slashes(path))
+    text = _compared(path)
     # One array in the plan, however many keys.
     keys = F.array(*[F.lit(key.lower().replace("\\", "/")) for key, _ in known])
     texts = F.array(*[F.lit(description) for _, description in known])
@@ -221,8 +213,46 @@ def signature(path: Column, dictionary: dict[str, str] | DataFrame | None = None
     return F.try_element_at(hits, F.lit(1))["description"]
 
 
+def _compared(text: Column) -> Column:
+    return F.lower(slashes(text))
+
+
+def _pieces(text: Column, sizes: Column | list[int]) -> Column:
+    """Distinct stretches of the text of each of the sizes."""
+    length, wanted = F.length(text), sizes if isinstance(sizes, Column) else F.array(*map(F.lit, sizes))
+
+    def of_size(n: Column) -> Column:
+        starts = F.when(length >= n, F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1))))
+        return F.coalesce(F.transform(starts, lambda i: F.substr(text, i, n)), F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.transform(wanted, of_size)))
+
+
 def match_signatures(paths: DataFrame, dictionary: dict[str, str] | DataFrame | None = None) -> DataFrame:
-    return paths.select("path", signature(F.col("path"), dictionary).alias("description"))
+    """Each path with its description.
+
+    A table of keys may be of any size: a key meets the paths by one of its triples of
+    characters, the one that the fewest paths have, and is then compared in full. Keys of
+    fewer characters meet the paths by themselves.
+    """
+    if not isinstance(dictionary, DataFrame):
+        return paths.select("path", signature(F.col("path"), dictionary).alias("description"))
+    texts = paths.filter("path is not null").select("path").distinct().select("path", _compared(F.col("path")).alias("text"))
+    # Keys that compare alike are one; the first of them in key order counts.
+    keys = dictionary.select("key", "description", _compared(F.col("key")).alias("want")).filter("want is not null")
+    keys = keys.groupBy("want").agg(F.min(F.struct("key", "description")).alias("first"))
+    size = F.least(F.length("want"), F.lit(3))
+    offered = keys.select("want", "first", F.explode(_pieces(F.col("want"), F.array(size))).alias("piece"))
+    spread = texts.select("path", "text", F.explode(_pieces(F.col("text"), [0, 1, 2, 3])).alias("piece"))
+    # How many paths have a piece, among the pieces of keys.
+    held = spread.join(offered.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = offered.join(held, "piece").groupBy("want").agg(
+        F.min(F.struct("n", "piece")).alias("rarest"), F.min("first").alias("first")
+    )
+    rarest = materialize(rarest.select("want", "first", F.col("rarest.piece").alias("piece")), "rarest-pieces")
+    met = spread.join(rarest, "piece").filter(F.contains("text", F.col("want")))
+    found = met.groupBy(F.col("path").alias("of")).agg(F.min("first").alias("first"))
+    return paths.join(found, F.col("path") == F.col("of"), "left").select("path", F.col("first.description").alias("description"))
 
 
 def explain_paths(
@@ -230,9 +260,15 @@ def explain_paths(
 ) -> DataFrame:
     """Text for each path: footprint, else signature, else unknown."""
     found = attribute(paths, install, runtime)
+    if isinstance(dictionary, DataFrame):
+        known = match_signatures(found.select("path"), dictionary).withColumnRenamed("path", "of")
+        found = found.join(known, F.col("path").eqNullSafe(F.col("of")), "left")
+        described = F.col("description")
+    else:
+        described = signature(F.col("path"), dictionary)
     text = (
         F.when(F.col("mode") == "install", F.format_string(INSTALL_TEXT, "name"))
         .when(F.col("mode") == "runtime", F.format_string(RUNTIME_TEXT, "name"))
-        .otherwise(F.coalesce(signature(F.col("path"), dictionary), F.format_string(UNKNOWN_TEXT, "path")))
+        .otherwise(F.coalesce(described, F.format_string(UNKNOWN_TEXT, "path")))
     )
     return found.select("path", "mode", text.alias("explanation"))

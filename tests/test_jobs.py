@@ -316,12 +316,18 @@ def test_sql_reads_registered_tables_only(spark, tmp_path):
         f"select * from text.`{tmp_path}/x`", f"select 1 where exists (select * from text.`{tmp_path}/x`)",
         f"with t2 as (select * from text.`{tmp_path}/x`) select * from t2", "select * from hidden", "select * from t, hidden",
         "select transform(id) using 'cat' from t", "select (select max(id) from hidden)", "select * from identifier('hidden')",
+        "select s1.id from hidden s1, (select 1 as a) hidden", "select hidden.id from hidden hidden", "select * from (select * from hidden) t",
+        "select h.id from hidden h join (with hidden as (select 1 as id) select * from hidden) x on x.id = h.id",
     ):
         with pytest.raises(adhoc.NotAllowed):
             adhoc.read_only_sql(spark, bad)
     nested = "with a as (select id from t), b as (select * from a) select count(*) as n from b x join t on x.id = t.id"
     assert adhoc.read_only_sql(spark, nested).first().n == 3
     assert adhoc.read_only_sql(spark, "select 'reflect' as w from t where id in (select id from t)").count() == 3
+    other = spark.newSession()
+    other.range(9).createOrReplaceTempView("t")
+    with pytest.raises(adhoc.NotAllowed):
+        adhoc.read_only_sql(other, "select * from t")
 
 
 def test_versions_of_log_and_facts(spark, tmp_path):
@@ -486,3 +492,28 @@ def test_signatures_from_a_table(spark):
     got = {r.path: r.description for r in A.match_signatures(paths, table).collect()}
     assert got == {"x\\A\\B": "first", "zzz": "z", "none": None, None: None}
     assert {r.description for r in A.match_signatures(paths, table.limit(0)).collect()} == {None}
+
+
+def test_many_signatures_against_the_first_key_contained(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abC/\\é") for _ in range(n))
+    keys = {word(rng.randint(1, 7)) for _ in range(300)} | {f"key{i:06d}/x" for i in range(30_000)}
+    known = {k: f"about {k}" for k in keys}
+    asked = [word(rng.randint(0, 25)) for _ in range(150)] + ["p/KEY000017\\X/y", "key029999", None, "", "ab"]
+    table = spark.createDataFrame(sorted(known.items()), "key string, description string")
+    paths = spark.createDataFrame([(p,) for p in asked] + [("ab",)], "path string")
+    got = sorted(((r.path, r.description) for r in A.match_signatures(paths, table).collect()), key=str)
+
+    def first(path):
+        if path is None:
+            return None
+        text = path.replace("\\", "/").lower()
+        return next((known[k] for k in sorted(known) if k.lower().replace("\\", "/") in text), None)
+
+    assert got == sorted(((p, first(p)) for p in [*asked, "ab"]), key=str)
+    with_all = table.unionByName(spark.createDataFrame([("", "all")], table.schema))
+    assert {r.description for r in A.match_signatures(paths, with_all).collect()} == {"all", None}
+    none = spark.createDataFrame([], "app_name string, file_path string, install_time timestamp")
+    runs = spark.createDataFrame([], "process_name string, target_path string, access_time timestamp")
+    texts = {r.path: r.explanation for r in A.explain_paths(paths, none, runs, table).collect()}
+    assert all(texts[p] == first(p) for p in asked if first(p)) and len(texts) == len(set(asked))

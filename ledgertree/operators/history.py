@@ -13,6 +13,8 @@ from ledgertree.operators.ordered import CHUNK_ROWS, Ordered, join_unique
 from ledgertree.schema import MODIFIED, RENAMED
 
 DEFAULT_LIMIT = 100
+#: Sequences on each side of a cursor that a page looks at first.
+SPAN = 1 << 14
 _ITEM = ["volume", "item_id"]
 
 
@@ -147,6 +149,68 @@ def page(rows: DataFrame, limit: int = DEFAULT_LIMIT, cursor: str | None = None)
     return rows.filter(F.col("sequence") > position).orderBy("sequence").limit(limit)
 
 
+def stretch(
+    rows: DataFrame,
+    limit: int = DEFAULT_LIMIT,
+    cursor: str | None = None,
+    collapse: bool = False,
+    ends: tuple[int, int] | None = None,
+    span: int = SPAN,
+) -> DataFrame:
+    """The rows of one item around a cursor that its page needs, see :func:`fetch_page`."""
+    if ends is None:
+        found = rows.agg(F.min("sequence").alias("low"), F.max("sequence").alias("high")).first()
+        ends = (found.low, found.high)
+    oldest, newest = ends
+    if oldest is None:
+        return rows
+    way, _, text = (cursor or f"f:{oldest - 1}").rpartition(":")
+    position = min(max(int(text), oldest - 1), newest + 1)
+    backward = way == "b"
+    low, high = position - span, position + span
+    while True:
+        part = rows.filter((F.col("sequence") >= low) & (F.col("sequence") <= high))
+        seen = displayable(F.col("kind"), F.col("size_delta"))
+        wanted = F.col("sequence") < position if backward else F.col("sequence") > position
+        # The run at the far end of the stretch may go on beyond it.
+        far = F.min_by if backward else F.max_by
+        state = merge_runs(part, collapse).agg(
+            F.count_if(seen & wanted).alias("n"),
+            F.coalesce(far(seen & wanted, "sequence"), F.lit(False)).alias("open"),
+            (F.count_if(~wanted) > 0).alias("closed"),
+        ).first()
+        far_end = low <= oldest if backward else high >= newest
+        near_end = high >= newest if backward else low <= oldest
+        # A run on the other side of the cursor shows that the first on this side is whole.
+        near = state.closed or near_end
+        enough = far_end or state.n - state.open >= limit
+        if near and enough:
+            return part
+        span *= 2
+        if backward:
+            low, high = (low if enough else position - span), (high if near else position + span)
+        else:
+            low, high = (low if near else position - span), (high if enough else position + span)
+
+
+def fetch_page(
+    rows: DataFrame,
+    limit: int = DEFAULT_LIMIT,
+    cursor: str | None = None,
+    collapse: bool = False,
+    ends: tuple[int, int] | None = None,
+    span: int = SPAN,
+) -> DataFrame:
+    """The page of one item's displayed history at a cursor, from the rows around it.
+
+    What ``page(history(rows), limit, cursor)`` gives, without merging the item's whole
+    history: a stretch of sequences around the cursor is read and doubled until it holds the
+    page in whole runs. Ranges of sequences reach the scan, and a log is stored by them.
+    ``ends`` are the oldest and newest sequence of the log, where they are kept.
+    """
+    return page(shown(merge_runs(stretch(rows, limit, cursor, collapse, ends, span), collapse)), limit, cursor)
+
+
 def truncated(
     log: DataFrame, now: datetime, retention: timedelta, since: datetime | None = None, stats: DataFrame | None = None
 ) -> DataFrame:

@@ -122,11 +122,13 @@ select 'backward' as way, sequence, kind, name, size_delta from (
   select * from folder_runs where sequence < (select m // 3 from log_end) order by sequence desc limit 10)""")
 def history_page(fx: Fixtures):
     row = _busiest(fx, "parent_file_id")
-    rows = history.history(history.for_item(S.log(fx), row.volume, row.parent_file_id, True))
+    rows = history.for_item(S.log(fx), row.volume, row.parent_file_id, True)
     third = S.log_end(fx) // 3
+    known = S.log_stats(fx).filter(F.col("volume") == row.volume).first()
+    ends = (known.min_sequence, known.max_sequence)
 
     def way(name: str, cursor: str):
-        return history.page(rows, 10, cursor).select(F.lit(name).alias("way"), "sequence", "kind", "name", "size_delta")
+        return history.fetch_page(rows, 10, cursor, ends=ends, span=256).select(F.lit(name).alias("way"), "sequence", "kind", "name", "size_delta")
 
     return way("forward", f"f:{third}").unionByName(way("backward", f"b:{third}"))
 

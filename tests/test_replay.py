@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import models
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +104,44 @@ def test_history_page_both_ways(spark):
     assert page(None) == [1, 2, 3] and page("f:3") == [4, 5, 6] and page("b:4") == [1, 2, 3] and page("8") == [9, 10]
 
 
+@pytest.mark.parametrize("collapse", [False, True])
+def test_pages_fetched_around_a_cursor(spark, collapse):
+    rng = random.Random(3)
+    rows, seq = [], 5
+    while len(rows) < 260:
+        # Runs of up to thirty equal rows, gaps in the numbers, and changes too small to show.
+        kind, name, f = rng.choice(models.KINDS), f"n{rng.randint(0, 1)}", rng.randint(1, 2)
+        for _ in range(rng.choice([1, 1, 2, 30])):
+            seq += rng.randint(1, 4)
+            rows.append((seq, "V:", f, 9, name, kind, False, 0, rng.choice([0, 0, 1, 5]), models.T0, "W"))
+    log = spark.createDataFrame(rows, models.LOG_DDL).coalesce(1).cache()
+    item = history.for_item(log, "V:", 9, True)
+    whole = [tuple(r) for r in history.history(item, collapse=collapse).orderBy("sequence").collect()]
+    at = 2  # the sequence
+    ends = (rows[0][0], rows[-1][0])
+    cursors = [None, "f:0", f"f:{seq}", "b:0", f"b:{seq + 9}", str(rows[40][0])]
+    cursors += [f"{w}:{rng.randint(0, seq)}" for w in "fb" for _ in range(3)]
+    for cursor in cursors:
+        got = [tuple(r) for r in history.fetch_page(item, 4, cursor, collapse, ends, 3).collect()]
+        way, _, text = (cursor or "f:0").rpartition(":")
+        if way == "b":
+            want = [r for r in whole if r[at] < int(text)][-4:]
+        else:
+            want = [r for r in whole if r[at] > int(text)][:4]
+        assert got == want, cursor
+
+
+def test_a_page_reads_rows_in_proportion_to_it(spark):
+    rows = [(s, "V:", s % 7, 9, f"n{s % 5}", "Modified", False, 0, 5, models.T0, "W") for s in range(1, 40_001)]
+    log = spark.createDataFrame(rows, models.LOG_DDL)
+    item = history.for_item(log, "V:", 9, True)
+    for cursor in ("f:20000", "b:20000", "f:39990", None):
+        part = history.stretch(item, 10, cursor, ends=(1, 40_000), span=8)
+        assert part.count() <= 100
+        assert history.fetch_page(item, 10, cursor, ends=(1, 40_000), span=8).count() == 10
+    assert history.fetch_page(item.limit(0), 10, None).collect() == []
+
+
 def test_items_with_hot_keys(case, spark):
     _, log, _, log_df = case
     rows = [("V:", 1, False), ("V:", 2, False), ("V:", 1001, True), ("V:", 1002, True), ("W:", 1, False)]

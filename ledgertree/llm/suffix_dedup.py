@@ -18,9 +18,13 @@ judged on the input.
    are dealt by string instead, after a first sort where they are read.
 4. Repeats of parse and dictionary are laid over the texts.
 
-Documents that are whole copies are parsed once per task. Rows with one doc_id are one
-document, whose strings are placed by start. A null text is empty and a null doc_id comes
-before all others. Trigger and phrase fingerprints have 64 bits each and both must agree.
+Documents that are whole copies are parsed once per task. Rows with one doc_id are the parts
+of one document, in the order of a hash of their text: places carry that hash above
+``PLACE_BITS`` bits, so each row loses only what is found in itself. Rows without doc_id are
+documents of their own, in the order of that hash, before all others (real ids are not below
+-2^62). Rows equal in both get equal results. A null text is empty; long texts are parsed in
+overlapping pieces; no rows give none; other columns may have any name. Trigger and phrase
+fingerprints have 64 bits each and both must agree.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgertree.llm.arrays import CHUNK, U64, mix, spans, sums
 from ledgertree.session import materialize
@@ -44,13 +48,33 @@ SEEN = 200_000
 SORT_STRINGS = 1 << 18
 _PLACE_BITS = U64(22)
 NO_ID = -(1 << 63)
+#: Bits of a place that count bytes; a text is shorter. The row's number stands above.
+PLACE_BITS = 31
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, row, text): ``doc`` orders documents, ``row`` the rows of one id."""
+    mark = F.xxhash64("text")
+    return docs.select(
+        "doc_id",
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(mark, 2)).alias("doc"),
+        mark.bitwiseAND(F.lit((1 << 32) - 1)).alias("row"),
+        "text",
+    )
+
+
+def _row_of(start: str) -> Column:
+    return F.shiftright(start, PLACE_BITS)
 
 
-def pieces(texts: list[tuple[int, bytes]], length: int = LENGTH) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Runs of (doc, offset, bytes) of about ``CHUNK`` bytes; pieces of a long text overlap by a string less one byte."""
+def pieces(texts: list[tuple[int, int, bytes]], length: int = LENGTH) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Runs of (doc, place, bytes) of about ``CHUNK`` bytes; pieces of a long text overlap by a string less one byte.
+
+    A text comes with the place of its first byte.
+    """
     part: list[tuple[int, int, bytes]] = []
     size = 0
-    for doc, data in texts:
+    for doc, base, data in texts:
         for at in range(0, max(1, len(data) - length + 1), CHUNK):
             piece = data[at : at + CHUNK + length - 1]
             if len(piece) < length:
@@ -58,7 +82,7 @@ def pieces(texts: list[tuple[int, bytes]], length: int = LENGTH) -> Iterator[lis
             if part and size + len(piece) > CHUNK:
                 yield part
                 part, size = [], 0
-            part.append((doc, at, piece))
+            part.append((doc, base + at, piece))
             size += len(piece)
     if part:
         yield part
@@ -122,7 +146,7 @@ def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[bytes, int] = {}
     for batch in batches:
         todo = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = (text or "").encode()
             if len(data) < LENGTH:
                 continue
@@ -132,12 +156,12 @@ def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(seen) >= SEEN:
                 seen.clear()
             seen[mark] = doc
-            todo.append((doc, data))
+            todo.append((doc, row << PLACE_BITS, data))
         for part in pieces(todo):
             rows = parse(part)
             order = np.lexsort((rows["start"], rows["doc"], rows["phrase"], rows["trigger"]))
             rows = {k: v[order] for k, v in rows.items()}
-            known = _same_as_before(rows["trigger"], rows["phrase"])
+            known = _same_as_before(rows["trigger"], rows["phrase"]) & ~_same_as_before(rows["doc"], rows["start"])
             # Repeats found here need no meeting with others; any task may have them.
             spread = mix(rows["doc"].astype(U64) + mix(rows["start"].astype(U64))).view(np.int64)
             rows["trigger"] = np.where(known, spread, rows["trigger"])
@@ -147,6 +171,7 @@ def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated phrases (without trigger) and dictionary phrases that share a trigger, from sorted rows."""
     last: tuple[int, int] | None = None  # trigger and phrase of the row before
+    place: tuple | None = None  # the whole row before
     waiting: list[np.ndarray] | None = None  # a lone dictionary phrase of the last trigger
     for batch in batches:
         if not batch.num_rows:
@@ -155,6 +180,11 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(i).fill_null(0).to_numpy() for i in range(5)]
         repeats = [columns[i][known] for i in (2, 3, 4)]
         trigger, phrase, doc, start, strings = (c[~known] for c in columns)
+        if len(trigger):  # a row that comes twice is one
+            twin = _same_as_before(trigger, phrase, doc, start)
+            twin[0] = place == (trigger[0], phrase[0], doc[0], start[0])
+            place = (trigger[-1], phrase[-1], doc[-1], start[-1])
+            trigger, phrase, doc, start, strings = (c[~twin] for c in (trigger, phrase, doc, start, strings))
         shared = np.zeros(0, bool)
         again = shared
         if len(trigger):
@@ -210,9 +240,10 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = (text or "").encode()
             for x in wanted:
                 start, strings = x["start"], x["strings"]
-                piece = data[start : start + strings - 1 + LENGTH]
+                at = start & ((1 << PLACE_BITS) - 1)
+                piece = data[at : at + strings - 1 + LENGTH]
                 if len(piece) != strings - 1 + LENGTH:
-                    continue  # another row of this id
+                    continue  # a row of this id whose text has the same hash
                 if x["hot"]:
                     hot.append((doc, start, piece, x["trigger"]))
                 else:
@@ -239,7 +270,7 @@ def _pack(rows: list[tuple]) -> pa.RecordBatch:
 
 def _deal(hot: list[tuple[int, int, bytes, int]]) -> pa.RecordBatch:
     """Each string of phrases with a hot trigger on its own; repeats among these are known at once."""
-    hot = sorted(hot, key=lambda x: x[:2])
+    hot = sorted({x[:2]: x for x in hot}.values(), key=lambda x: x[:2])  # rows that come twice are one
     row, place = repeats([x[:3] for x in hot])
     known = set(zip(row.tolist(), place.tolist(), strict=True))
     out = []
@@ -259,7 +290,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, start, strings) of repeats among phrases that come sorted by trigger, document and start."""
 
     def found(rows: list[tuple]) -> pa.RecordBatch:
-        rows = sorted(rows, key=lambda x: x[1:3])
+        rows = sorted({x[1:3]: x for x in rows}.values(), key=lambda x: x[1:3])  # rows that come twice are one
         row, place = repeats([x[1:4] for x in rows])
         order = np.lexsort((place, row))
         row, place = row[order], place[order]
@@ -303,7 +334,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
 
     Whole copies of a text need not be among them, see ``deduplicated``.
     """
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    own = _rows(docs).select("doc", "row", "text")
     rows = own.mapInArrow(_parse_rows, _ROWS).repartition("trigger")
     rows = rows.sortWithinPartitions("trigger", "phrase", "doc", "start").mapInArrow(_sort_out, _ROWS)
     rows = materialize(rows, "phrases")
@@ -312,8 +343,8 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     shared = shared.join(hot, F.col("trigger") == F.col("_hot"), "left").select(
         "doc", F.struct("start", "strings", "trigger", F.col("_hot").isNotNull().alias("hot")).alias("x")
     )
-    wanted = shared.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("x").alias("wanted"))
-    texts = own.join(wanted, F.col("doc") == F.col("_doc")).select("doc", "text", "wanted")
+    wanted = shared.groupBy(F.col("doc").alias("_doc"), _row_of("x.start").alias("_row")).agg(F.collect_list("x").alias("wanted"))
+    texts = own.join(wanted, (F.col("doc") == F.col("_doc")) & (F.col("row") == F.col("_row"))).select("doc", "text", "wanted")
     kind = "trigger long, doc long, start long, piece binary, known boolean"
     phrases = texts.mapInArrow(_strings, kind).repartition("trigger").sortWithinPartitions("trigger", "doc", "start")
     inside = phrases.mapInArrow(_suffixes, "doc long, start long, strings int")
@@ -333,17 +364,21 @@ def remaining(data: bytes, starts: np.ndarray, strings: np.ndarray, length: int
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` holds the bytes that stay."""
-    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    own = _rows(docs)
     # Later copies of a whole text are one run of repeats; found without moving the texts.
     marks = own.filter(F.octet_length("text") >= LENGTH).select(
-        "doc", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size")
+        "doc", "row", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size")
     )
     least = marks.groupBy(F.col("sha").alias("_sha")).agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     copies = marks.join(least.filter("least < most"), (F.col("sha") == F.col("_sha")) & (F.col("doc") > F.col("least")))
-    whole = copies.select("doc", F.lit(0).cast("long").alias("start"), (F.col("size") - LENGTH + 1).alias("strings"))
+    whole = copies.select("doc", F.shiftleft("row", PLACE_BITS).alias("start"), (F.col("size") - LENGTH + 1).alias("strings"))
     found = materialize(repeated_strings(docs).unionByName(whole), "repeats")
-    ranges = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "strings")).alias("ranges"))
-    rows = own.join(ranges, F.col("doc") == F.col("_doc"), "left").select("doc_id", "text", "ranges")
+    at = F.col("start").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("start")
+    ranges = found.groupBy(F.col("doc").alias("_doc"), _row_of("start").alias("_row")).agg(
+        F.collect_list(F.struct(at, "strings")).alias("ranges")
+    )
+    rows = own.join(ranges, (F.col("doc") == F.col("_doc")) & (F.col("row") == F.col("_row")), "left")
+    rows = rows.select("doc_id", "text", "ranges")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgertree.session import materialize
+
 MIN_REVISIT = 1_000
 SEGMENT = 32_768
 CHUNK = 4_096
@@ -290,12 +292,17 @@ def resolved(found: DataFrame) -> DataFrame:
         "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("size"),
         F.when(F.col("payload").isNotNull(), F.sha1("payload")).alias("sha"), "problem",
     )
+    # Written without payloads, so that the archives are read once.
+    rows = materialize(rows, "records")
     referred = (
         rows.filter("record_type = 'response'")
         .groupBy(F.col("page_id").alias("_id"))
         .agg(F.max("size").alias("_size"), F.max("sha").alias("_sha"))
     )
-    return rows.join(referred, F.col("refers_to") == F.col("_id"), "left").select(
+    # Only records that refer to another one meet it; those that do not would all be one key.
+    again = rows.filter("refers_to is not null").join(referred, F.col("refers_to") == F.col("_id"), "left")
+    own = rows.filter("refers_to is null").withColumns({"_size": F.lit(None).cast("long"), "_sha": F.lit(None).cast("string")})
+    return again.drop("_id").unionByName(own).select(
         "page_id",
         F.coalesce("size", "_size").alias("payload_bytes"),
         F.coalesce("sha", "_sha").alias("payload_digest"),

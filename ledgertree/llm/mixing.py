@@ -187,6 +187,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     share = taken.agg((F.sum("taken") / F.sum("size")).alias(share_of)).filter(F.col(share_of) > 0)
     same = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").cast("string").eqNullSafe(F.col(own_source))
     coin = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "source", "text"), F.lit(COINS)) / COINS
-    kept = docs.join(share, same).withColumn(times, F.floor(F.col(share_of) + coin).cast("int"))
+    # One row for each id, which grow with the documents: never broadcast.
+    kept = docs.join(share.hint("merge"), same).withColumn(times, F.floor(F.col(share_of) + coin).cast("int"))
     kept = kept.filter(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return kept.select(*docs.columns)

@@ -42,6 +42,8 @@ WORDS = 4
 PERCENT = 85
 DIMENSIONS = 128
 LEAF_SETS = 1_500
+#: A group of points may have so many times the sets.
+POINT_LEAVES = 4
 NODE = 32
 #: Sets a task remembers to leave out exact copies that it meets again.
 SEEN = 500_000
@@ -129,10 +131,10 @@ def points(sizes: np.ndarray, value: np.ndarray) -> list[bytes]:
     return [counts[a : a + n].tobytes() for a, n in zip(start.tolist(), wide.tolist(), strict=True)]
 
 
-def with_partner(n: np.ndarray, packed: list[bytes], side: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Which sets of a group may link with another, by their points; with two sides, of the other side."""
+def with_partner(n: np.ndarray, packed: list[bytes], side: np.ndarray, two: bool, percent: int = PERCENT) -> np.ndarray:
+    """Which sets of a group may link with another, by their points; of ``two`` parts, with one of the other side."""
     order = np.argsort(n, kind="stable")
-    size, sides, two = n[order], side[order], side.min() != side.max()
+    size, sides = n[order], side[order]
     own = [np.frombuffer(packed[i], "<u2").astype(np.int32) for i in order]
     wide = np.array([len(x) for x in own])
     nodes = np.arange(0, len(size), NODE)
@@ -276,11 +278,11 @@ def parts(members: DataFrame, leaf: int = LEAF_SETS, percent: int = PERCENT) ->
 
 
 def joined(
-    sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, percent: int = PERCENT
+    sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, two: bool, percent: int = PERCENT
 ) -> tuple[list[tuple[int, int]], np.ndarray]:
     """(tree of links, links of each set counting copies) among the sets of one group.
 
-    With two sides only sets of different sides are joined.
+    Of ``two`` parts only sets of different sides are joined; one of them may have no sets.
     """
     n = np.array([len(s) for s in sets], dtype=np.int64)
     order = np.argsort(n, kind="stable")
@@ -293,7 +295,7 @@ def joined(
     point = point.reshape(len(size), DIMENSIONS).astype(np.int32)
     nodes = np.arange(0, len(size), NODE)
     maxima, smallest = np.maximum.reduceat(point, nodes, axis=0), size[nodes]
-    sides, two = side[order], side.min() != side.max()
+    sides = side[order]
     root = list(range(len(size)))
 
     def find(x: int) -> int:
@@ -341,7 +343,8 @@ def joined(
 def _join_group(table: pa.Table, percent: int) -> pa.Table:
     ids = table.column("set_id").to_numpy()
     sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
-    tree, links = joined(sets, table.column("copies").to_numpy(), table.column("side").to_numpy(), percent)
+    two = not table.column("same")[0].as_py()
+    tree, links = joined(sets, table.column("copies").to_numpy(), table.column("side").to_numpy(), two, percent)
     a = [int(ids[i]) for i, _ in tree] + ids.tolist()
     b = [int(ids[j]) for _, j in tree] + [None] * len(ids)
     return pa.table(
@@ -365,20 +368,19 @@ def linked_sets(docs: DataFrame, leaf: int, words: int, percent: int) -> tuple[D
     at = own.select(F.col("set_id").alias("_set"), "point").join(
         members.select(F.col("set_id").alias("_member")), F.col("_set") == F.col("_member"), "left_semi"
     )
-    spread = parts(members.select("cluster", "set_id", "n_shingles", "copies"), leaf, percent)
+    # Points are small, so their groups may be larger, and a set is in fewer of them.
+    spread = parts(members.select("cluster", "set_id", "n_shingles"), POINT_LEAVES * leaf, percent)
     rows = spread.join(at.dropDuplicates(["_set"]), F.col("set_id") == F.col("_set"))
 
     def prune(table: pa.Table) -> pa.Table:
         n, side = table.column("n_shingles").to_numpy(), table.column("side").to_numpy()
-        left = with_partner(n, table.column("point").to_pylist(), side, percent)
-        return table.select(["pair", "set_id", "copies", "side"]).filter(pa.array(left))
-
-    rows = rows.select("pair", "set_id", "n_shingles", "copies", "side", "point").groupBy("pair")
-    alive = materialize(rows.applyInArrow(prune, "pair string, set_id long, copies long, side int"), "alive")
-    asked = alive.select(F.col("set_id").alias("_asked")).distinct()
-    wanted = members.join(asked, F.col("set_id") == F.col("_asked"), "left_semi").select(
-        F.col("rep").alias("_rep"), F.col("set_id").alias("_set")
-    )
+        left = with_partner(n, table.column("point").to_pylist(), side, not table.column("same")[0].as_py(), percent)
+        return table.select(["set_id"]).filter(pa.array(left))
+
+    rows = rows.select("pair", "set_id", "n_shingles", "side", "same", "point").groupBy("pair")
+    alive = rows.applyInArrow(prune, "set_id long").select(F.col("set_id").alias("_asked")).distinct()
+    left = materialize(members.join(alive, F.col("set_id") == F.col("_asked"), "left_semi"), "alive")
+    wanted = left.select(F.col("rep").alias("_rep"), F.col("set_id").alias("_set"))
     # The members grow with the documents, so they are not to be broadcast at any size.
     texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("_rep"))
     # Rows without an id cannot be asked for; all of them are read, and the set is worked out.
@@ -397,7 +399,8 @@ def linked_sets(docs: DataFrame, leaf: int, words: int, percent: int) -> tuple[D
                 yield pa.RecordBatch.from_arrays([found, pa.array(packed)], ["_set", "shingles"]).filter(right)
 
     sets = texts.mapInArrow(work, "_set long, shingles binary").dropDuplicates(["_set"])
-    rows = alive.join(sets, F.col("set_id") == F.col("_set")).select("pair", "set_id", "copies", "side", "shingles")
+    spread = parts(left.select("cluster", "set_id", "n_shingles", "copies"), leaf, percent)
+    rows = spread.join(sets, F.col("set_id") == F.col("_set")).select("pair", "set_id", "copies", "side", "same", "shingles")
 
     def join(table: pa.Table) -> pa.Table:
         return _join_group(table, percent)

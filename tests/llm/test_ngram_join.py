@@ -81,7 +81,7 @@ def test_points_leave_every_link_and_few_others(percent):
     for sides in (np.zeros(len(sets), np.int64), side):
         two = sides.min() != sides.max()
         wanted = {x for p in linked if not two or sides[p[0]] != sides[p[1]] for x in p}
-        got = set(np.flatnonzero(ngram_join.with_partner(n, packed, sides, percent)).tolist())
+        got = set(np.flatnonzero(ngram_join.with_partner(n, packed, sides, bool(two), percent)).tolist())
         assert wanted <= got
         # Sets of hundreds of shingles that have nothing in common are told apart.
         for i in got - wanted:

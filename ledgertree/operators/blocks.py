@@ -72,7 +72,7 @@ def row_summaries(rows: DataFrame) -> DataFrame:
     name = F.coalesce("previous.name", F.when(F.col("previous").isNull(), F.col("name")))
     parent = F.coalesce("previous.parent_file_id", F.when(F.col("previous").isNull(), F.col("parent_file_id")))
     old = F.struct(name.alias("name"), parent.alias("parent_file_id"))
-    kept = [c for c in rows.columns if c in (*_KEYS, "block")]
+    kept = [c for c in rows.columns if c in (*_KEYS, "span", "level", "block")]
     return rows.select(
         *kept,
         seq.alias("first_seq"),
@@ -225,8 +225,8 @@ def build(
     """Summaries of all whole blocks of ``log``, which has ``previous``.
 
     With ``known``, its blocks are kept and only newer ones are made: from log rows past its
-    ends, and from blocks of the level below. Order the table by volume, level and block
-    when it is stored.
+    ends, and from blocks of the level below. The table is written in stretches of the log,
+    each of them in order of volume, level, block and file.
     """
     if known is not None:
         block, fan, levels = known.block, known.fan, known.levels
@@ -237,21 +237,22 @@ def build(
         ends = ends.join(known.ends.withColumnRenamed("built_to", "done_to"), "volume", "left").fillna(0, ["done_to"])
     ends = materialize(ends, "block-ends")
     fresh = ends.selectExpr("volume", "done_to - 1 as start_seq", "built_to - 1 as end_seq")
-    rows = B.in_window(log, fresh).withColumn("block", F.expr(f"sequence div {block}"))
     columns = ["volume", "level", "block", "file_id", *FIELDS]
-
-    def of_level(level: int, summaries: DataFrame) -> DataFrame:
-        made = combine(summaries, [*_KEYS, "block"]).withColumn("level", F.lit(level))
-        return materialize(made.select(*columns), "blocks")
-
-    made = [of_level(0, row_summaries(rows))]
-    for level in range(1, levels):
-        below = made[-1]
+    order = ["volume", "level", "block", "file_id"]
+    # Levels made from the rows themselves: as long as a block's rows fit one task.
+    lowest = 1
+    while known is None and lowest < levels and block * fan**lowest <= CHUNK_ROWS:
+        lowest += 1
+    made = [materialize(_lowest(B.in_window(log, fresh), ends, block, fan, lowest).select(*columns).sortWithinPartitions(*order), "blocks")]
+    for level in range(lowest, levels):
+        below = made[-1].filter(F.col("level") == level - 1)
         if known is not None:
             below = below.unionByName(known.table.filter(F.col("level") == level - 1).select(*columns))
         above = below.drop("level").withColumn("block", F.expr(f"block div {fan}")).join(ends, "volume")
         end = (F.col("block") + 1) * block * fan**level
-        made.append(of_level(level, above.filter((end <= F.col("built_to")) & (end > F.col("done_to")))))
+        whole = above.filter((end <= F.col("built_to")) & (end > F.col("done_to")))
+        summaries = combine(whole, [*_KEYS, "block"]).withColumn("level", F.lit(level))
+        made.append(materialize(summaries.select(*columns), "blocks"))
     if known is not None:
         made.insert(0, known.table.select(*columns))
     table = made[0]
@@ -260,6 +261,26 @@ def build(
     return Blocks(table, ends.select("volume", "built_to"), block, fan, levels)
 
 
+def _lowest(rows: DataFrame, ends: DataFrame, block: int, fan: int, levels: int) -> DataFrame:
+    """Summaries of the whole blocks of the lowest ``levels``, all from one pass over the rows.
+
+    The log rows, which are much smaller than summaries, move once: to stretches of the log
+    as long as a block of the highest of these levels, in which every block of them ends.
+    """
+    span = block * fan ** (levels - 1)
+    needed = ["volume", "file_id", "sequence", "kind", "parent_file_id", "name", "is_directory", "size_delta", "previous"]
+    ended = rows.join(ends.select("volume", "built_to"), "volume")
+    moved = ended.select(*needed, "built_to", F.expr(f"sequence div {span}").alias("span")).repartitionByRange("volume", "span")
+    held = [
+        F.struct(F.lit(level).alias("level"), F.expr(f"sequence div {block * fan**level}").alias("block"))
+        for level in range(levels)
+    ]
+    each = moved.select("*", F.inline(F.array(*held)))
+    size = F.lit(block) * F.pow(F.lit(fan), F.col("level")).cast("long")
+    each = each.filter((F.col("block") + 1) * size <= F.col("built_to"))
+    return combine(row_summaries(each), [*_KEYS, "span", "level", "block"])
+
+
 def cover(bounds: DataFrame | B.Windows, blocks: Blocks) -> DataFrame:
     """The windows with the ranges [lo, hi) of blocks of each level that lie inside them.
 

@@ -104,5 +104,17 @@ class Fixtures:
             self._tables[name] = self._written(name, build(), layout)
         return self._tables[name]
 
+    def stored(self, name: str, build, order: tuple[str, ...]) -> DataFrame:
+        """A derived table of many small rows: each task writes its rows in ``order``, none are moved."""
+        if name not in self._tables:
+            self._tables[name] = self._written(name, build().sortWithinPartitions(*order))
+        return self._tables[name]
+
+    def hold(self, name: str, build) -> DataFrame:
+        """A derived table that its builder has written itself, in the order it needs."""
+        if name not in self._tables:
+            self._tables[name] = build()
+        return self._tables[name]
+
 
 LAYOUT = {"fx_log": ("volume", "sequence"), "fx_facts": ("volume", "file_id")}

@@ -22,7 +22,7 @@ def _blocks(fx: Fixtures) -> blocks.Blocks:
     def table() -> DataFrame:
         return blocks.build(_placed(fx), stats, None, S.BLOCK, S.FAN, S.LEVELS).table
 
-    made = fx.keep("moved-blocks", table, ("volume", "level", "block", "file_id"))
+    made = fx.hold("moved-blocks", table)
     return blocks.Blocks(made, fx.keep("moved-ends", lambda: blocks.block_ends(stats, S.BLOCK)), S.BLOCK, S.FAN, S.LEVELS)
 
 

@@ -43,7 +43,7 @@ def log_blocks(fx: Fixtures) -> blocks.Blocks:
     def table() -> DataFrame:
         return blocks.build(placed_log(fx), log_stats(fx), None, BLOCK, FAN, LEVELS).table
 
-    made = fx.keep("log-blocks", table, ("volume", "level", "block", "file_id"))
+    made = fx.hold("log-blocks", table)
     ends = fx.keep("block-ends", lambda: blocks.block_ends(log_stats(fx), BLOCK))
     return blocks.Blocks(made, ends, BLOCK, FAN, LEVELS)
 
@@ -61,7 +61,7 @@ def labelled_facts(fx: Fixtures) -> DataFrame:
 
 
 def replayed(fx: Fixtures) -> DataFrame:
-    return fx.keep("replayed", lambda: replay.replay(facts(fx), raw_log(fx)), ("volume", "file_id"))
+    return fx.stored("replayed", lambda: replay.replay(facts(fx), raw_log(fx)), ("volume", "file_id"))
 
 
 def log_end(fx: Fixtures) -> int:
@@ -137,7 +137,9 @@ def token_index_of(fx: Fixtures) -> token_index.TokenIndex:
         "name_grams": lambda: search.gram_table(names(fx)),
     }
     for name, table in build.items():
-        made[name] = fx.keep(f"names-{name}", table, token_index.LAYOUT[name])
+        # A token is looked up by value; the other tables are pruned by the pages of each file.
+        store = fx.keep if name == "tokens" else fx.stored
+        made[name] = store(f"names-{name}", table, token_index.LAYOUT[name])
     return token_index.TokenIndex(**made)
 
 

@@ -104,6 +104,25 @@ def test_blocks_and_places_in_batches(spark, logs):
     assert sorted(map(str, table.ends.collect())) == sorted(map(str, once.ends.collect()))
 
 
+def test_all_levels_come_from_one_move_of_the_log(spark, logs, monkeypatch):
+    _, log = logs
+    stats, written = bounds.log_stats(log), []
+
+    def recorded(df, name):
+        written.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return materialize(df, name)
+
+    materialize = blocks.materialize
+    monkeypatch.setattr(blocks, "materialize", recorded)
+    once = blocks.build(log, stats, None, 4, 2, 3).table
+    plans = [plan for name, plan in written if name == "blocks"]
+    assert len(plans) == 1 and plans[0].count("Exchange ") == 1
+    # Blocks too long for one task are made from those below them.
+    monkeypatch.setattr(blocks, "CHUNK_ROWS", 8)
+    steps = blocks.build(log, stats, None, 4, 2, 3).table
+    assert sorted(map(str, once.collect())) == sorted(map(str, steps.collect()))
+
+
 def test_a_window_reads_few_rows_and_none_before_it(spark, logs):
     rows, log = logs
     table = blocks.build(log, bounds.log_stats(log), None, 8, 2, 4)

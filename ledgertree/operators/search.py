@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgertree.functions import text as X
 from ledgertree.operators import token_index, tree
+from ledgertree.session import spread
 
 DEFAULT_LIMIT = 100
 
@@ -295,7 +296,8 @@ def gram_table(docs: DataFrame) -> DataFrame:
     name = F.col("name_lower")
     spots = F.sequence(F.lit(1), F.length(name) - 2)
     grams = F.array_distinct(F.transform(spots, lambda i: F.substr(name, i, F.lit(3))))
-    rows = docs.filter(F.length(name) >= 3).select(F.explode(grams).alias("gram"), "volume", "file_id")
+    long = spread(docs.filter(F.length(name) >= 3).select("volume", "file_id", "name_lower"), "volume", "file_id")
+    rows = long.select(F.explode(grams).alias("gram"), "volume", "file_id")
     return rows.select(_gram_bucket(F.col("gram")).alias("bucket"), "gram", "volume", "file_id")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgertree.functions import text as X
 from ledgertree.operators import search as S
-from ledgertree.session import materialize
+from ledgertree.session import materialize, spread
 
 #: Longest token that has rows in ``deletions``.
 LONG = 32
@@ -57,7 +57,8 @@ def _bucket(text: Column) -> Column:
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
-    rows = docs.filter(F.size("tokens") > 0).select(*_KEYS, "tokens", F.explode(F.array_distinct("tokens")).alias("token"))
+    named = spread(docs.filter(F.size("tokens") > 0).select(*_KEYS, "tokens"), *_KEYS)
+    rows = named.select(*_KEYS, "tokens", F.explode(F.array_distinct("tokens")).alias("token"))
     spots = F.sequence(F.lit(0), F.size("tokens") - 1)
     here = F.filter(spots, lambda i: F.get("tokens", i) == F.col("token"))
     return rows.select("token", *_KEYS, here.alias("positions"), F.size("tokens").alias("length"))
@@ -74,7 +75,7 @@ def grams_of(tokens: DataFrame) -> DataFrame:
         spots = F.when(size >= n, F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))))
         return F.coalesce(F.transform(spots, lambda i: F.substr("token", i, F.lit(n))), F.array().cast("array<string>"))
 
-    rows = tokens.select("token", F.explode(F.array_distinct(F.concat(cut(2), cut(3)))).alias("gram"))
+    rows = spread(tokens.select("token"), "token").select("token", F.explode(F.array_distinct(F.concat(cut(2), cut(3)))).alias("gram"))
     return rows.select(_bucket(F.col("gram")).alias("bucket"), "gram", "token")
 
 
@@ -87,7 +88,8 @@ def _without_one(text: Column) -> Column:
 
 def deletions_of(tokens: DataFrame) -> DataFrame:
     own = F.col("token")
-    rows = tokens.filter(F.length(own) <= LONG).select("token", F.array_distinct(_without_one(own)).alias("one"))
+    short = spread(tokens.select("token").filter(F.length(own) <= LONG), "token")
+    rows = short.select("token", F.array_distinct(_without_one(own)).alias("one"))
     twice = F.flatten(F.transform("one", _without_one))
     rows = rows.select("token", F.explode(F.array_distinct(F.concat(F.array("token"), "one", twice))).alias("left"))
     return rows.select(_bucket(F.col("left")).alias("bucket"), "left", "token")
@@ -173,7 +175,7 @@ def _standing_for(index: TokenIndex, query: str, tiers: tuple[str, ...]) -> Data
     spark = index.tokens.sparkSession
     if "terms" in tiers:
         for k, word in enumerate(words):
-            add("terms", k, spark.createDataFrame([(word,)], "token string"))
+            add("terms", k, spark.range(1).select(F.lit(word).alias("token")))
     if "prefix" in tiers:
         for k, word in enumerate(words):
             add("prefix", k, starting_with(index, word))

@@ -82,7 +82,7 @@ def _tier(fx: Fixtures, text: str, tier: str):
 
 @query("search_substring", "select uid, name, 1.0::double as score from docs where contains(name_lower, 'r_12')")
 def search_substring(fx: Fixtures):
-    grams = fx.keep("grams", lambda: search.gram_table(S.documents(fx)), ("bucket", "gram", "volume", "file_id"))
+    grams = fx.stored("grams", lambda: search.gram_table(S.documents(fx)), ("bucket", "gram", "volume", "file_id"))
     return search.search(S.documents(fx), " R_12", limit=None, grams=grams).select(*_HIT)
 
 

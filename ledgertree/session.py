@@ -74,6 +74,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{_scopes[-1] if _scopes else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt to as many tasks as a shuffle has, before a step that makes many rows of each.
+
+    Such a table may be one small file, and its size on disk tells nothing of the work. The number
+    is given, so that small partitions are not put together again.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 

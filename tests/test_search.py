@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgertree.functions import text as X
-from ledgertree.operators import search, tree
+from ledgertree.operators import search, token_index, tree
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +88,11 @@ def test_term_stats_follow_added_and_removed_documents(spark, docs):
     found = search.search(docs, "file", advanced=True, bm25=True, limit=None, stats=merged)
     plain = search.search(docs, "file", advanced=True, bm25=True, limit=None)
     assert {(r.uid, r.score) for r in found.collect()} == {(r.uid, r.score) for r in plain.collect()}
+
+
+def test_tables_of_one_small_file_are_made_by_many_tasks(docs):
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = docs.coalesce(1)
+    tokens = token_index.tokens_of(token_index.postings_of(one)).coalesce(1)
+    made = [search.gram_table(one), token_index.postings_of(one), token_index.grams_of(tokens), token_index.deletions_of(tokens)]
+    assert all(df.rdd.getNumPartitions() >= tasks for df in made)

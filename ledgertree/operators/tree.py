@@ -261,7 +261,8 @@ def lookup_paths(
     live = live.select("path", "volume", "parts", "leaf", "file_id").withColumn("found_in", F.when(F.col("file_id").isNotNull(), F.lit("facts")))
     if log is None:
         return live.select("path", "volume", "file_id", "found_in")
-    return _lookup_deleted(live, facts, log, chain)
+    # Read three times below; what finds the asked paths is worked out once.
+    return _lookup_deleted(materialize(live, "live"), facts, log, chain)
 
 
 def resolve_path(path: str, facts: DataFrame, log: DataFrame | None = None) -> tuple[str, int]:

@@ -186,3 +186,14 @@ def test_rechain_walks_only_the_changed_part(spark):
     assert got == want
     stale = tree.below(chain, changed).count()
     assert 3 <= stale < 200
+
+
+def test_asked_paths_are_worked_out_once(spark, rolled, tmp_path):
+    asked = str(tmp_path / "asked")
+    spark.createDataFrame([("C:/dir1/file1.txt",), ("C:/dir1/gone.txt",), ("C:/none",)], "path string").write.parquet(asked)
+    log = spark.createDataFrame([(1, "C:", 9, 2, "gone.txt")], "sequence long, volume string, file_id long, parent_file_id long, name string")
+    found = tree.lookup_paths(spark.read.parquet(asked), rolled, tree.chains(tree.directories(rolled)), log)
+    assert {(r.path, r.file_id, r.found_in) for r in found.collect()} == {
+        ("C:/dir1/file1.txt", 3, "facts"), ("C:/dir1/gone.txt", 9, "log"), ("C:/none", None, None),
+    }
+    assert not any(f.endswith("/asked") or "/asked/" in f for f in found.inputFiles())

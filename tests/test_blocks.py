@@ -116,7 +116,7 @@ def test_all_levels_come_from_one_move_of_the_log(spark, logs, monkeypatch):
     monkeypatch.setattr(blocks, "materialize", recorded)
     once = blocks.build(log, stats, None, 4, 2, 3).table
     plans = [plan for name, plan in written if name == "blocks"]
-    assert len(plans) == 1 and plans[0].count("Exchange ") == 1
+    assert len(plans) == 1 and plans[0].count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plans[0]
     # Blocks too long for one task are made from those below them.
     monkeypatch.setattr(blocks, "CHUNK_ROWS", 8)
     steps = blocks.build(log, stats, None, 4, 2, 3).table

@@ -17,7 +17,7 @@ CHECKS: dict[str, str] = {}
 
 
 #: Bytes of an Arrow batch that a Python worker gets at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _shipped: set[str] = set()
 

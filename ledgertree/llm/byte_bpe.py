@@ -209,6 +209,20 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     return rows.mapInArrow(work, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
+def by_rank(vocabulary: Vocabulary) -> list[bytes]:
+    """The tokens at the places of their ids."""
+    table = [b""] * (int(vocabulary.ids.max()) + 1)
+    for token, rank in vocabulary.ranks.items():
+        table[rank] = token
+    return table
+
+
+def decode_ids(packed: list[bytes | None], table: list[bytes]) -> list[bytes | None]:
+    return [
+        None if ids is None else b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())) for ids in packed
+    ]
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
     """The input with a column ``decoded``, the bytes that the ids stand for; null ids stay null."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
@@ -219,17 +233,10 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: list[bytes] = []
         for batch in batches:
-            if not table:
-                words = shared.value
-                table = [b""] * (int(words.ids.max()) + 1)
-                for token, rank in words.ranks.items():
-                    table[rank] = token
+            table = table or by_rank(shared.value)
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                texts = [
-                    None if ids is None else b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                    for ids in part.column(at).to_pylist()
-                ]
+                texts = decode_ids(part.column(at).to_pylist(), table)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in kept), pa.array(texts, pa.binary())],
                     [*(f.name for f in fields), "decoded"],
@@ -237,3 +244,27 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") ->
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return encoded.mapInArrow(work, f"{schema}, decoded binary")
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded): ``decode`` of ``encode``, both done by one Python worker of a task.
+
+    Two steps of Python in one stage take two workers for each task, and each holds the vocabulary.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: list[bytes] = []
+        for batch in batches:
+            table = table or by_rank(shared.value)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids = encode_texts(part.column(1).to_pylist(), shared.value)
+                texts = decode_ids(ids, table)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], ["id", "ids", "decoded"]
+                )
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(work, f"id {kind}, ids binary, decoded binary").withColumnRenamed("id", id_col)

@@ -13,7 +13,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     words = byte_bpe.Vocabulary.read(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    both = byte_bpe.decode(byte_bpe.encode(docs, words), words)
+    both = byte_bpe.round_trip(docs, words)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

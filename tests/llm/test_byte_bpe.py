@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 from helpers import corpus, documents
 
-from ledgertree.llm import byte_bpe
+from ledgertree.llm import byte_bpe, text_queries
 from ledgertree.llm.registry import ship
 
 
@@ -63,3 +63,14 @@ def test_cache_may_overflow(monkeypatch, vocabulary, library):
 def test_empty_table(spark, vocabulary):
     ship(spark)
     assert byte_bpe.encode(documents(spark, ["a"]).limit(0), vocabulary).collect() == []
+
+
+def test_digests_take_one_python_step(spark, vocabulary):
+    ship(spark)
+    docs = documents(spark, corpus(7, 30) + [None, "", "<|endoftext|> é"])
+    plan = text_queries.bpe_digests(docs)._jdf.queryExecution().executedPlan().toString()
+    # Each such step of a stage has a Python worker of its own for every task.
+    assert plan.count("MapInArrow") == 1
+    both = byte_bpe.decode(byte_bpe.encode(docs, vocabulary), vocabulary)
+    assert sorted(map(tuple, byte_bpe.round_trip(docs, vocabulary).collect())) == sorted(map(tuple, both.collect()))
+    assert byte_bpe.round_trip(docs.limit(0), vocabulary).collect() == []

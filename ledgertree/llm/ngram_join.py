@@ -5,18 +5,21 @@ shingles of ``words`` words; op6 has ``PERCENT`` and ``WORDS``. Shingles are has
 coordinates are its group contents.
 
 1. Tiles. Sizes fall into classes such that linked sets are in one class or neighbours. In
-   class k linked sets differ in at most d shingles, so of more than d groups one has equal
+   class k linked sets differ in at most d shingles, so of more than d groups some have equal
    contents on both sides. A set's tiles are its non-empty groups with their contents (the
-   empty ones too, should it have no more than d others). Linked sets share a tile; unrelated
-   ones hardly ever do, however common a passage or a shingle is. Sets that share tiles form
-   clusters (``components``); exact copies count once.
-2. R-tree. Inside a cluster, sets are points of ``DIMENSIONS`` group counts or more (about a
+   empty ones too, should it have no more than d others; there are an eighth more groups than
+   d, as empty ones are alike in unrelated sets). Of f non-empty groups, linked sets share
+   f - d or more. So a set that shares fewer tiles has no links, and each set leaves out
+   its f - d - 1 most common tiles: linked sets still meet in the rarest one they share.
+   Sets of a tile meet under its smallest one; exact copies count once.
+2. R-tree. Sets that meet are points of ``DIMENSIONS`` group counts or more (about a
    group for eight shingles), packed by size into leaves with their coordinate maxima. The
    sum of coordinate minima bounds the overlap, first for a leaf, then for a point. This is
-   done on the points alone, which are a thirtieth of the sets; only sets that have a
-   partner left are fetched, and pairs are verified on the sets themselves.
-   Clusters above ``LEAF_SETS`` sets are cut by size class and hash into parts, and pairs of
-   parts that may hold links are separate groups, so no task holds a whole large cluster.
+   done on the points alone, which are a thirtieth of the sets. Only pairs that pass make
+   clusters (``components``), so sets that merely share common shingles do not grow into one.
+3. Sets of a cluster are fetched, and pairs are verified on the sets themselves.
+   Groups and clusters above ``LEAF_SETS`` sets are cut by size class and hash into parts, and pairs
+   of parts that may hold links are separate groups, so no task holds a whole large one.
 
 Shingles are 64-bit fingerprints, and so is a set's identity. Null and empty texts have no
 shingles and link with nothing. Texts of fewer words are one shingle. Rows with equal ids
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgertree.llm.arrays import U64, Words, chunks, mix, ngrams
@@ -45,6 +48,8 @@ LEAF_SETS = 1_500
 #: A group of points may have so many times the sets.
 POINT_LEAVES = 4
 NODE = 32
+#: Points that a set is compared with before it leaves out those it is joined with by now.
+STEP = 256
 #: Sets a task remembers to leave out exact copies that it meets again.
 SEEN = 500_000
 
@@ -86,19 +91,23 @@ def class_starts(largest: int, percent: int = PERCENT) -> np.ndarray:
     return np.array([*starts, 100 * starts[-1] // percent + 1], dtype=np.int64)
 
 
-def tiles(sizes: np.ndarray, value: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(tile, set index) of the sets, see the module's text."""
+def tiles(sizes: np.ndarray, value: np.ndarray, percent: int = PERCENT, needs: bool = False) -> tuple[np.ndarray, ...]:
+    """(tile, set index) of the sets, see the module's text.
+
+    With ``needs`` also how many tiles of this level a linked set shares with the tile's set
+    at least, doubled, plus 1 in the upper one of the set's two levels.
+    """
     if not len(value):
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))[: 2 + needs]
     starts = class_starts(int(sizes.max()), percent)
     own = np.searchsorted(starts, sizes, side="right") - 1
     code = mix(value + U64(29))
-    keys, owners = [], []
+    keys, owners, need = [], [], []
     for step in (0, 1):
         level = np.maximum(own, 0) + step
         top = starts[level + 1] - 1
         d = 2 * top * (100 - percent) // (100 + percent)
-        groups = np.where((d > 0) & (sizes > 0), d + 4 + d // 64, 0)
+        groups = np.where((d > 0) & (sizes > 0), d + 4 + d // 8, 0)
         first = np.cumsum(groups) - groups
         of = np.repeat(np.arange(len(sizes)), sizes)
         used = groups[of] > 0
@@ -113,7 +122,9 @@ def tiles(sizes: np.ndarray, value: np.ndarray, percent: int = PERCENT) -> tuple
         within = (kept - first[owner[kept]]).astype(U64)
         keys.append(mix(content[kept] + mix(within + (level[owner[kept]].astype(U64) << U64(40)))))
         owners.append(owner[kept])
-    return np.concatenate(keys), np.concatenate(owners)
+        # A set of few filled groups may meet one that leaves its empty groups out.
+        need.append((2 * np.maximum(some - d, 1) + step)[owner[kept]])
+    return (np.concatenate(keys), np.concatenate(owners), np.concatenate(need))[: 2 + needs]
 
 
 def dimensions(sizes: np.ndarray) -> np.ndarray:
@@ -131,8 +142,14 @@ def points(sizes: np.ndarray, value: np.ndarray) -> list[bytes]:
     return [counts[a : a + n].tobytes() for a, n in zip(start.tolist(), wide.tolist(), strict=True)]
 
 
-def with_partner(n: np.ndarray, packed: list[bytes], side: np.ndarray, two: bool, percent: int = PERCENT) -> np.ndarray:
-    """Which sets of a group may link with another, by their points; of ``two`` parts, with one of the other side."""
+def with_partner(
+    n: np.ndarray, packed: list[bytes], side: np.ndarray, two: bool, percent: int = PERCENT,
+    tree: list[tuple[int, int]] | None = None,
+) -> np.ndarray:
+    """Which sets of a group may link with another, by their points; of ``two`` parts, with one of the other side.
+
+    ``tree`` gets pairs that may link and join all such pairs' sets with each other.
+    """
     order = np.argsort(n, kind="stable")
     size, sides = n[order], side[order]
     own = [np.frombuffer(packed[i], "<u2").astype(np.int32) for i in order]
@@ -150,6 +167,8 @@ def with_partner(n: np.ndarray, packed: list[bytes], side: np.ndarray, two: bool
         return made[width]
 
     alive = np.zeros(len(size), dtype=bool)
+    # Sets that may link, directly or through others, have one number; nothing is left to find among them.
+    joint = np.arange(len(size))
     for i in range(1, len(size)):
         low = int(np.searchsorted(size, -(-percent * size[i] // 100)))
         if low >= i:
@@ -162,11 +181,19 @@ def with_partner(n: np.ndarray, packed: list[bytes], side: np.ndarray, two: bool
         js = js[(js >= low) & (js < i)]
         if two:
             js = js[sides[js] != sides[i]]
-        bound = np.minimum(point[js], point[i]).sum(axis=1)
-        js = js[(100 + percent) * bound >= percent * (size[i] + size[js])]
-        if len(js):
-            alive[i] = True
-            alive[js] = True
+        js = js[joint[js] != joint[i]]
+        while len(js):
+            at, js = js[:STEP], js[STEP:]
+            bound = np.minimum(point[at], point[i]).sum(axis=1)
+            at = at[(100 + percent) * bound >= percent * (size[i] + size[at])]
+            if len(at):
+                alive[i] = True
+                alive[at] = True
+                found, lead = np.unique(joint[at], return_index=True)
+                if tree is not None:
+                    tree.extend((int(order[i]), int(order[j])) for j in at[lead])
+                joint[np.isin(joint, found)] = joint[i]
+                js = js[joint[js] != joint[i]]
     out = np.zeros(len(size), dtype=bool)
     out[order] = alive
     return out
@@ -192,7 +219,11 @@ def fingerprinted(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def tile_edges(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b): sets that share a tile, each with the smallest one of the tile."""
+    """(a, b): sets that share a tile, each with the smallest one of the tile.
+
+    Tiles that show nothing are left out, see the module's text: those of sets that share too
+    few for a link, and of each set the most common ones, one fewer than a link needs.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -210,11 +241,33 @@ def tile_edges(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
                     seen.clear()
                 seen.update(listed)
                 value = value[np.repeat(new, sizes)]
-                tile, owner = tiles(sizes[new], value, percent)
+                tile, owner, need = tiles(sizes[new], value, percent, needs=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tile.view(np.int64)), pa.array(ids[new][owner])], ["tile", "set_id"]
+                    [pa.array(tile.view(np.int64)), pa.array(ids[new][owner]), pa.array(need.astype(np.int32))],
+                    ["tile", "set_id", "need"],
                 )
 
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of tiles with two sets or more, each set once; the last row waits for the next batch."""
+        held, open_tile = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            tile, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # Copies that other tasks have met follow each other.
+            first = np.concatenate(([True], (tile[1:] != tile[:-1]) | (own[1:] != own[:-1])))
+            batch, tile = batch.filter(pa.array(first)), tile[first]
+            same = np.concatenate(([tile[0] == open_tile], tile[1:] == tile[:-1]))
+            held, keep = batch.slice(len(tile) - 1), same.copy()
+            keep[:-1] |= same[1:]
+            # Whether the row that waits has company so far.
+            open_tile = tile[-1] if same[-1] else None
+            yield batch.slice(0, len(tile) - 1).filter(pa.array(keep[:-1]))
+        if held is not None and open_tile is not None:
+            yield held
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = lead = None
         for batch in batches:
@@ -231,9 +284,19 @@ def tile_edges(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
             pair = np.unique(np.column_stack((first[apart], own[apart])), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    rows = docs.select("text").mapInArrow(emit, "tile long, set_id long")
+    rows = docs.select("text").mapInArrow(emit, "tile long, set_id long, need int")
     ordered = rows.repartition("tile").sortWithinPartitions("tile", "set_id")
-    return ordered.mapInArrow(link, "a long, b long").distinct()
+    met = materialize(ordered.mapInArrow(shared, "tile long, set_id long, need int"), "tiles")
+    common = met.groupBy(F.col("tile").alias("_tile")).agg(F.count("*").alias("sets"))
+    level = Window.partitionBy("set_id", "need")
+    ranked = (
+        met.join(common, F.col("tile") == F.col("_tile"))
+        .withColumn("place", F.row_number().over(level.orderBy(F.desc("sets"), "tile")))
+        .filter(F.col("place") >= F.shiftright("need", 1))
+    )
+    return ranked.select("tile", "set_id").repartition("tile").sortWithinPartitions("tile", "set_id").mapInArrow(
+        link, "a long, b long"
+    ).distinct()
 
 
 def parts(members: DataFrame, leaf: int = LEAF_SETS, percent: int = PERCENT) -> DataFrame:
@@ -362,24 +425,31 @@ def linked_sets(docs: DataFrame, leaf: int, words: int, percent: int) -> tuple[D
     distinct = own.filter("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies")
     )
-    clusters = components(tile_edges(docs, words, percent)).withColumnsRenamed({"id": "set_id", "root": "cluster"})
-    members = materialize(clusters.join(distinct, "set_id"), "members")
+    edges = materialize(tile_edges(docs, words, percent), "tile-edges")
+    met = edges.select(F.col("a").alias("cluster"), F.col("b").alias("set_id")).union(edges.select("a", F.col("a").alias("b")).distinct())
+    met = met.join(distinct.select(F.col("set_id").alias("_set"), "n_shingles"), F.col("set_id") == F.col("_set"))
+    met = materialize(met.select("cluster", "set_id", "n_shingles"), "met")
 
     at = own.select(F.col("set_id").alias("_set"), "point").join(
-        members.select(F.col("set_id").alias("_member")), F.col("_set") == F.col("_member"), "left_semi"
+        met.select(F.col("set_id").alias("_member")), F.col("_set") == F.col("_member"), "left_semi"
     )
     # Points are small, so their groups may be larger, and a set is in fewer of them.
-    spread = parts(members.select("cluster", "set_id", "n_shingles"), POINT_LEAVES * leaf, percent)
+    spread = parts(met, POINT_LEAVES * leaf, percent)
     rows = spread.join(at.dropDuplicates(["_set"]), F.col("set_id") == F.col("_set"))
 
     def prune(table: pa.Table) -> pa.Table:
         n, side = table.column("n_shingles").to_numpy(), table.column("side").to_numpy()
-        left = with_partner(n, table.column("point").to_pylist(), side, not table.column("same")[0].as_py(), percent)
-        return table.select(["set_id"]).filter(pa.array(left))
+        tree: list[tuple[int, int]] = []
+        with_partner(n, table.column("point").to_pylist(), side, not table.column("same")[0].as_py(), percent, tree)
+        i, j = np.array(tree, dtype=np.int64).reshape(-1, 2).T
+        ids = table.column("set_id").to_numpy()
+        return pa.table({"a": pa.array(ids[i]), "b": pa.array(ids[j])})
 
     rows = rows.select("pair", "set_id", "n_shingles", "side", "same", "point").groupBy("pair")
-    alive = rows.applyInArrow(prune, "set_id long").select(F.col("set_id").alias("_asked")).distinct()
-    left = materialize(members.join(alive, F.col("set_id") == F.col("_asked"), "left_semi"), "alive")
+    clusters = components(rows.applyInArrow(prune, "a long, b long"))
+    clusters = clusters.select(F.col("id").alias("_asked"), F.col("root").alias("cluster"))
+    left = distinct.join(clusters, F.col("set_id") == F.col("_asked")).drop("_asked")
+    left = materialize(left, "alive")
     wanted = left.select(F.col("rep").alias("_rep"), F.col("set_id").alias("_set"))
     # The members grow with the documents, so they are not to be broadcast at any size.
     texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("_rep"))

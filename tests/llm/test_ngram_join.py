@@ -123,3 +123,75 @@ def test_null_ids(spark):
     assert kept.columns == docs.columns
     kept = [(r.doc_id, r.text[:2]) for r in kept.collect()]
     assert sorted(kept, key=str) == sorted([(5, "a0"), (None, "b0"), (None, ""), (7, "c0")], key=str)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_unrelated_sets_share_no_tiles(percent):
+    r = np.random.default_rng(6)
+    sizes = np.concatenate([r.integers(n * 3 // 4, n, 60) for n in (300, 800, 3000)])
+    value = r.integers(0, 1 << 62, int(sizes.sum()), dtype=np.int64).astype(np.uint64)
+    tile, _ = ngram_join.tiles(sizes, value, percent)
+    assert len(np.unique(tile)) == len(tile)
+
+
+def test_linked_sets_share_as_many_tiles_as_they_need():
+    r = np.random.default_rng(7)
+    linked = 0
+    for _ in range(300):
+        n = int(r.integers(5, 400))
+        base = r.integers(0, 1 << 62, 2 * n, dtype=np.int64).astype(np.uint64)
+        a, b = np.unique(base[:n]), np.unique(base[int(n * r.uniform(0, 0.2)) : n + int(n * r.uniform(0, 0.1))])
+        both = len(np.intersect1d(a, b))
+        if len(a) == len(b) == both or 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        linked += 1
+        tile, owner, need = ngram_join.tiles(np.array([len(a), len(b)]), np.concatenate((a, b)), 80, needs=True)
+        common = np.isin(tile, tile[owner == 0]) & np.isin(tile, tile[owner == 1])
+        # Of one of the levels both sets have tiles of.
+        assert any(
+            (common & (owner == 0) & (need == x)).sum() >= x >> 1 and (common & (owner == 1) & (need == y)).sum() >= y >> 1
+            for x in set(need[common & (owner == 0)].tolist())
+            for y in set(need[common & (owner == 1)].tolist())
+        )
+    assert linked > 50
+
+
+def test_tree_joins_all_that_may_link():
+    r = np.random.default_rng(8)
+    sets = []
+    for _ in range(6):
+        own = r.integers(0, 1 << 62, 400, dtype=np.int64).astype(np.uint64)
+        sets += [np.unique(np.concatenate((own[: int(r.integers(330, 400))], own[:300]))) for _ in range(120)]
+    sets = [sets[i] for i in r.permutation(len(sets))]
+    n = np.array([len(s) for s in sets])
+    tree = []
+    alive = ngram_join.with_partner(n, ngram_join.points(n, np.concatenate(sets)), np.zeros(len(n), int), False, 80, tree)
+    root = list(range(len(n)))
+    for a, b in tree:
+        assert root[a] != root[b]
+        root = [root[a] if x == root[b] else x for x in root]
+    assert alive.all()
+    assert len(set(root)) == 6
+    assert all(len(np.intersect1d(sets[i], sets[root[i]])) >= 300 for i in range(len(n)))
+
+
+def test_common_phrases_do_not_make_clusters(spark):
+    ship(spark)
+    r = np.random.default_rng(9)
+    phrases = [" ".join(f"p{i}x{k}" for k in range(6)) for i in range(12)]
+    texts = []
+    for d in range(240):
+        own = [f"d{d}w{k}" for k in range(int(r.integers(150, 300)))]
+        for at in sorted(r.integers(0, len(own), 6).tolist(), reverse=True):
+            own[at:at] = [phrases[int(r.integers(len(phrases)))]]
+        texts.append(" ".join(own))
+    near = [t.replace(f"d{d}w50 ", "other ") for d, t in enumerate(texts[:9])]
+    docs = documents(spark, texts + near).repartition(3)
+    edges = [{r.a, r.b} for r in ngram_join.tile_edges(docs, 5, 80).collect()]
+    # Common phrases would add hundreds.
+    assert 9 <= len(edges) <= 12
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert found(ngram_join.classes(docs, 2, 5, 80)) == brute(texts + near, 5, 80)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
